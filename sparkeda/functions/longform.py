@@ -12,15 +12,12 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sparkeda.functions.kinds import numeric_columns, present, quoted, string_columns
 
-EMPTY_LONG = "SELECT CAST(NULL AS STRING) AS column, CAST(NULL AS {t}) AS value WHERE false"
-
 
 def empty_like(df: DataFrame, ddl: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], T._parse_datatype_string(ddl))
+    return df.sparkSession.createDataFrame([], ddl)
 
 
 def _unpivot(df: DataFrame, cols: Sequence[str], value_type: str) -> DataFrame:

@@ -81,8 +81,8 @@ def search_all(
     """
     runs = list(queries)[:QUERIES_RUN]
     matched = F.filter(
-        F.array(*[F.when(_has(F.lit(q)), F.lit(i)) for i, q in enumerate(runs)]), lambda i: i.isNotNull())
-    hits = catalog.select("*", F.explode(matched).cast("long").alias("query_no"))
+        F.array(*[F.when(_has(F.lit(q)), F.lit(i).cast("long")) for i, q in enumerate(runs)]), lambda i: i.isNotNull())
+    hits = catalog.select("*", F.explode(matched).alias("query_no"))
     listed = F.col("source").isin(list(list_sources))
     order = [F.desc_nulls_last("stars"), F.asc("title"), F.asc("url")]
     each = W.partitionBy("source", "query_no").orderBy(*order)

@@ -21,7 +21,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkeda.functions.kinds import kind_of, numeric_columns, present, quoted, round_to, string_columns
+from sparkeda.functions.kinds import numeric_columns, present, quoted, round_to, string_columns
 from sparkeda.functions.longform import empty_like
 from sparkeda.operators.metrics import classification_report, regression_metrics
 
@@ -119,10 +119,10 @@ class Prepared:
     labels: list[str] = field(default_factory=list)
 
 
-def _with_target(df: DataFrame, target: str, task: str) -> DataFrame:
+def _with_target(df: DataFrame, target: str, task: str, keys: Sequence[str]) -> DataFrame:
     known = df.where(present(df, target).isNotNull())
-    integers = [f.name for f in df.schema if kind_of(f.dataType) == "numeric" and f.name != target]
-    known = known.withColumns({c: present(df, c).cast("double") for c in integers})
+    numbers = [c for c in numeric_columns(df) if c not in (target, *keys)]
+    known = known.withColumns({c: present(df, c).cast("double") for c in numbers})
     if task == "classification":
         return known.withColumn("__target", quoted(target).cast("string"))
     return known.withColumn(LABEL, quoted(target).cast("double"))
@@ -136,11 +136,12 @@ def prepare(
     if task is None:
         task = detect_task(df, target).first()["task"]
     keys = [key] if isinstance(key, str) else list(key)
-    known = _with_target(df, target, task)
+    known = _with_target(df, target, task, keys)
     rest = known.where(~in_test(known, keys, test, seed))
     fitted = feature_stages(df, target, task, [*exclude, *keys]).fit(
         rest if task == "regression" else known)      # labels of both parts must be known
-    parts = [fitted.transform(p).select(*keys, LABEL, FEATURES) for p in (rest, known.where(in_test(known, keys, test, seed)))]
+    held_out = known.where(in_test(known, keys, test, seed))
+    parts = [fitted.transform(p).select(*keys, LABEL, FEATURES) for p in (rest, held_out)]
     labels = list(fitted.stages[-1].labels) if task == "classification" else []
     names = vector_names(parts[0], feature_sources(df, target, [*exclude, *keys]))
     return Prepared(parts[0], parts[1], task, len(labels), names, fitted, labels)

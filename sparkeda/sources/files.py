@@ -110,7 +110,7 @@ def export_hits(hits: DataFrame, path: str) -> str:
 
 
 def write_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """Write ``(line_no, line)`` as one text file in line order; a report has a bounded number of lines."""
+    """Write ``(line_no, line)`` as one text file, ordered by number and text; a report is as long as the schema."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"])
     lines.agg(F.array_join(ordered, "\n").alias("value")).coalesce(1).write.mode(mode).text(path)
     return path

@@ -85,12 +85,72 @@ def documents_nokey(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("text", "lang", "n_chars")
 
 
+def lineitem_pred(spark: SparkSession, d: str) -> DataFrame:
+    """Labels from the table, predictions and scores from arithmetic on its keys."""
+    k = F.col("l_orderkey") * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber")
+    binary = F.when(F.col("l_linestatus") == "F", "1").otherwise("0")
+    return load(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"),
+        F.when(k % 5 < 3, F.col("l_returnflag")).when(k % 2 == 0, "A").otherwise("R").alias("flag_pred"),
+        binary.alias("label"), F.when(k % 4 < 3, binary).otherwise("1").alias("prediction"),
+        ((k % 1000) / F.lit(1000.0) + F.when(binary == "1", 0.25).otherwise(0.0)).alias("score"))
+
+
+def orders_pred(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("y"),
+        (F.col("o_totalprice") * 0.9 + F.col("o_custkey")).alias("prediction"))
+
+
+def conversations_code(spark: SparkSession, d: str) -> DataFrame:
+    """Turns with a fenced block or a JSON object written into the text."""
+    t, k = F.col("text"), F.col("turn") + F.col("conv_id")
+    n = F.col("turn").cast("string")
+    python = F.concat(t, F.lit("\n```python\nx = "), n, F.lit("\nprint(x)\n```\nthen\n```python\ny = 2\n```"))
+    plain = F.concat(t, F.lit("\n```\nSELECT "), n, F.lit("\n```"))
+    fenced = F.concat(t, F.lit('\n```json\n{"turn": '), n, F.lit(', "ok": true}\n```'))
+    whole = F.concat(F.lit('  {"turn": '), n, F.lit(', "tags": [1, 2]}\n'))
+    braces = F.concat(t, F.lit(" {not json} and {\"a\": "), n, F.lit("} end"))
+    return load(spark, d, "conversations").withColumn(
+        "text", F.when(k % 6 == 0, python).when(k % 6 == 1, plain).when(k % 6 == 2, fenced)
+        .when(k % 6 == 3, whole).when(k % 6 == 4, braces).otherwise(t))
+
+
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a dataset catalog: first line as title, text as description, length as stars."""
+    docs = load(spark, d, "documents")
+    return docs.select(
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.when(F.col("doc_id") % 50 != 0, F.col("text")).alias("description"),
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("url"),
+        "source", F.col("lang").alias("type"), F.col("n_chars").alias("stars"))
+
+
 DERIVED: dict[str, Query] = {
+    "lineitem_pred": lineitem_pred, "orders_pred": orders_pred, "conversations_code": conversations_code,
+    "catalog": catalog,
     "lineitem_nulls": lineitem_nulls, "lineitem_corr": lineitem_corr, "lineitem_const": lineitem_const,
     "orders_tokens": orders_tokens, "orders_text": orders_text, "documents_nokey": documents_nokey,
 }
 
+_K = "(l_orderkey * 7 + l_partkey * 3 + l_linenumber)"
+_B = "(CASE WHEN l_linestatus = 'F' THEN '1' ELSE '0' END)"
 SQL_DERIVED = {
+    "lineitem_pred": f"""SELECT l_orderkey, l_linenumber, l_returnflag AS flag,
+        CASE WHEN {_K} % 5 < 3 THEN l_returnflag WHEN {_K} % 2 = 0 THEN 'A' ELSE 'R' END AS flag_pred,
+        {_B} AS label, CASE WHEN {_K} % 4 < 3 THEN {_B} ELSE '1' END AS prediction,
+        CAST({_K} % 1000 AS DOUBLE) / 1000.0::DOUBLE + CASE WHEN {_B} = '1' THEN 0.25::DOUBLE ELSE 0 END AS score
+        FROM lineitem""",
+    "orders_pred": """SELECT o_orderkey, o_totalprice AS y,
+        o_totalprice * 0.9::DOUBLE + o_custkey AS prediction FROM orders""",
+    "conversations_code": """SELECT * REPLACE (CASE (turn + conv_id) % 6
+        WHEN 0 THEN text || E'\\n```python\\nx = ' || turn || E'\\nprint(x)\\n```\\nthen\\n```python\\ny = 2\\n```'
+        WHEN 1 THEN text || E'\\n```\\nSELECT ' || turn || E'\\n```'
+        WHEN 2 THEN text || E'\\n```json\\n{"turn": ' || turn || E', "ok": true}\\n```'
+        WHEN 3 THEN '  {"turn": ' || turn || E', "tags": [1, 2]}\\n'
+        WHEN 4 THEN text || ' {not json} and {"a": ' || turn || '} end' ELSE text END AS text) FROM conversations""",
+    "catalog": """SELECT split_part(text, chr(10), 1) AS title, CASE WHEN doc_id % 50 <> 0 THEN text END AS description,
+        'doc/' || doc_id AS url, source, lang AS type, n_chars AS stars FROM documents""",
     "lineitem_nulls": """SELECT * REPLACE (
         CASE WHEN l_orderkey % 7 <> 0 THEN l_tax END AS l_tax,
         CASE WHEN l_orderkey % 5 <> 0 THEN l_discount END AS l_discount,

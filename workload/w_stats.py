@@ -95,7 +95,6 @@ R.add("normality_moments", on("lineitem", stats.normality_moments), f"""
           avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3 AS k
         FROM (SELECT *, avg(value) OVER (PARTITION BY "column") AS m FROM ({long_sql('lineitem', LINEITEM_NUMBERS)}))
         GROUP BY 1))""")
-R.add("normality_ks", on("events", lambda df: stats.normality_ks(df, ["value", "user_id"])))
 
 
 def corr_sql(table: str, a: str, b: str) -> str:
