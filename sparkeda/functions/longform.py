@@ -72,3 +72,11 @@ def column_order(df: DataFrame, cols: Sequence[str]) -> Column:
     for i, c in enumerate(cols):
         mapping += [F.lit(c), F.lit(i)]
     return F.create_map(*mapping)[F.col("column")] if mapping else F.lit(0)
+
+
+def held(small: DataFrame) -> DataFrame:
+    """A result as long as the schema (rows per column or column pair), computed now and kept.
+
+    Several operators can then start from it without scanning the table again.
+    """
+    return small.sparkSession.createDataFrame(small.collect(), small.schema)

@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkeda.functions.kinds import numeric_columns, present
-from sparkeda.functions.longform import empty_like, numeric_long, rows_from
+from sparkeda.functions.kinds import numeric_columns
+from sparkeda.functions.longform import empty_like, numeric_long
 
 RANGES = 4096
 ONE_TASK_ROWS = 4_000_000
@@ -116,17 +116,9 @@ def _quantiles_by_ranges(long: DataFrame, probs: Sequence[float], rows: int) ->
     )
 
 
-def _quantiles_built_in(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def _quantiles_built_in(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    values = {c: present(df, c).cast("double") for c in cols}
-    one = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values.values())],
-        *[F.percentile(v, wanted).alias(f"q{i}") for i, v in enumerate(values.values())],
-    )
-    rows = [
-        [("column", F.lit(c)), ("nn", F.col(f"n{i}")), ("q", F.col(f"q{i}"))] for i, c in enumerate(cols)
-    ]
-    return rows_from(one, rows).where(F.col("nn") > 0)
+    return long.groupBy("column").agg(F.count("*").alias("nn"), F.percentile("value", wanted).alias("q"))
 
 
 def exact_quantiles(
@@ -143,7 +135,7 @@ def exact_quantiles(
         return empty_like(df, "column string, nn long, q array<double>")
     rows = df.count()
     if rows * len(names) <= one_task_cells:
-        return _quantiles_built_in(df, names, probs)
+        return _quantiles_built_in(numeric_long(df, names), probs)
     return _quantiles_by_ranges(numeric_long(df, names), probs, rows)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,11 +13,20 @@ from sparkeda.functions.longform import numeric_long, string_long, text_long
 from sparkeda.operators.quality import nunique
 from sparkeda.operators.stats import moments
 
-# Datetime layouts tried on text columns.
-DATETIME_FORMATS = [
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "MMM dd, yyyy", "yyyyMMdd",
-]
+# Datetime layouts tried on text columns, each with the shape a text must have to be tried.
+DATETIME_FORMATS = {
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{6}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "MM/dd/yyyy": r"^\d{2}/\d{2}/\d{4}$",
+    "dd-MM-yyyy": r"^\d{2}-\d{2}-\d{4}$",
+    "dd MMM yyyy": r"^\d{2} [A-Za-z]{3} \d{4}$",
+    "MMM dd, yyyy": r"^[A-Za-z]{3} \d{2}, \d{4}$",
+    "yyyyMMdd": r"^\d{8}$",
+}
+NUMBER_START = r"^\s*[-+.0-9nNiI]"
 
 
 def value_totals(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -36,10 +45,18 @@ def value_counts(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10)
     return top_values(value_totals(df, cols), k)
 
 
-def high_cardinality(df: DataFrame, cols: Sequence[str] | None = None, limit: int = 50) -> DataFrame:
+def _distinct(df: DataFrame, names: Sequence[str], known: DataFrame | None) -> DataFrame:
+    """``(column, nunique)`` of ``names``: from ``known`` distinct counts, or counted here."""
+    if not names:
+        return _no_columns(df)
+    return nunique(df, names) if known is None else known.where(F.col("column").isin(list(names)))
+
+
+def high_cardinality(
+    df: DataFrame, cols: Sequence[str] | None = None, limit: int = 50, distinct: DataFrame | None = None
+) -> DataFrame:
     """String columns with more than ``limit`` distinct values."""
-    names = string_columns(df, cols)
-    return nunique(df, names).where(F.col("nunique") > limit) if names else _no_columns(df)
+    return _distinct(df, string_columns(df, cols), distinct).where(F.col("nunique") > limit)
 
 
 def _no_columns(df: DataFrame) -> DataFrame:
@@ -60,13 +77,14 @@ def _balance(totals: DataFrame) -> DataFrame:
 
 
 def class_imbalance(
-    df: DataFrame, cols: Sequence[str] | None = None, limit: float = 0.2, classes: tuple[int, int] = (2, 20)
+    df: DataFrame, cols: Sequence[str] | None = None, limit: float = 0.2, classes: tuple[int, int] = (2, 20),
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """``(column, classes, imbalance_ratio, distribution)`` of string columns with few, uneven classes.
 
     ``distribution`` lists the top ten values as ``value=count``, most frequent first.
     """
-    totals = value_totals(df, cols)
+    totals = value_totals(df, cols) if totals is None else totals
     uneven = _balance(totals).where(F.col("classes").between(*classes) & (F.col("ratio") < limit))
     listed = top_values(totals, 10).groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
@@ -93,31 +111,39 @@ def target_imbalance(df: DataFrame, target: str) -> DataFrame:
         round_to(F.col("count") / whole["top"], 3).alias("ratio_to_largest"))
 
 
-def constant_columns(df: DataFrame) -> DataFrame:
+def constant_columns(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
     """Columns with at most one distinct value, all-missing ones included."""
-    return nunique(df).where(F.col("nunique") <= 1)
+    return _distinct(df, df.columns, distinct).where(F.col("nunique") <= 1)
 
 
-def low_variance(df: DataFrame, cols: Sequence[str] | None = None, limit: float = 0.01) -> DataFrame:
-    return moments(df, cols).where(F.col("var") < limit).select("column", round_to(F.col("var"), 6).alias("variance"))
+def low_variance(
+    df: DataFrame, cols: Sequence[str] | None = None, limit: float = 0.01, moment: DataFrame | None = None
+) -> DataFrame:
+    """``(column, variance)`` of numeric columns whose sample variance is below ``limit``."""
+    return (moments(df, cols) if moment is None else moment).where(F.col("var") < limit).select("column", round_to(F.col("var"), 6).alias("variance"))
 
 
-def leakage_columns(df: DataFrame, share: float = 0.9) -> DataFrame:
+def leakage_columns(df: DataFrame, share: float = 0.9, distinct: DataFrame | None = None) -> DataFrame:
     """``(column, nunique, unique_pct)`` of columns whose values are nearly all distinct."""
     rows = df.agg(F.count("*")).scalar()
-    return nunique(df).where(F.col("nunique") > F.lit(share) * rows).select(
+    return _distinct(df, df.columns, distinct).where(F.col("nunique") > F.lit(share) * rows).select(
         "column", "nunique", round_to(F.col("nunique") * 100.0 / rows, 2).alias("unique_pct"))
 
 
 def dtype_suggestions(
-    df: DataFrame, cols: Sequence[str] | None = None, formats: Sequence[str] = DATETIME_FORMATS
+    df: DataFrame, cols: Sequence[str] | None = None, formats: Mapping[str, str] = DATETIME_FORMATS,
+    distinct: DataFrame | None = None,
 ) -> DataFrame:
-    """``(column, suggestion)`` per string column: numeric, else datetime, else category below 20 values."""
+    """``(column, suggestion)`` per string column: numeric, else datetime, else category below 20 values.
+
+    A failed parse is costly, so a text is parsed only when its shape allows.
+    """
     names = string_columns(df, cols)
     if not names:
         return df.limit(0).select(F.lit("").alias("column"), F.lit("").alias("suggestion"))
-    number = F.trim("value").try_cast("double")
-    moment = F.coalesce(*[F.try_to_timestamp("value", F.lit(f)) for f in formats])
+    text = F.col("value")
+    number = F.when(text.rlike(NUMBER_START), F.trim(text).try_cast("double"))
+    moment = F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in formats.items()])
     parses = string_long(df, names, keep_null=True).groupBy("column").agg(
         F.count_if(F.col("value").isNotNull() & number.isNull()).alias("not_number"),
         F.count_if(F.col("value").isNotNull() & moment.isNull()).alias("not_time"),
@@ -127,14 +153,14 @@ def dtype_suggestions(
         .when(F.col("not_time") == 0, "Convert to datetime")
         .when(F.col("nunique") < 20, "Convert to category")
     )
-    return parses.join(nunique(df, names), "column").select(
+    return parses.join(_distinct(df, names, distinct), "column").select(
         "column", advice.alias("suggestion")).where(F.col("suggestion").isNotNull())
 
 
 def cardinality_summary(df: DataFrame, first: int = 5) -> DataFrame:
     """Distinct counts of the first string columns."""
     names = string_columns(df)[:first]
-    return nunique(df, names) if names else _no_columns(df)
+    return _distinct(df, names, None)
 
 
 def numeric_as_category(df: DataFrame, cols: Sequence[str] | None = None, most: int = 10) -> DataFrame:
@@ -148,17 +174,16 @@ def numeric_as_category(df: DataFrame, cols: Sequence[str] | None = None, most:
     return totals.join(F.broadcast(few.select("column")), "column", "left_semi").select("column", "value", "count")
 
 
-def encoding_advice(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def encoding_advice(
+    df: DataFrame, cols: Sequence[str] | None = None, distinct: DataFrame | None = None
+) -> DataFrame:
     """``(column, nunique, encoding)``: one-hot up to 10 values, label up to 50, frequency up to 90 % of rows, else drop."""
-    names = string_columns(df, cols)
-    if not names:
-        return _no_columns(df).withColumn("encoding", F.lit(""))
     rows = df.agg(F.count("*")).scalar()
     u = F.col("nunique")
     pick = (
         F.when(u <= 10, "one-hot").when(u <= 50, "label").when(u <= F.lit(0.9) * rows, "frequency").otherwise("drop")
     )
-    return nunique(df, names).withColumn("encoding", pick)
+    return _distinct(df, string_columns(df, cols), distinct).withColumn("encoding", pick)
 
 
 def _advice(frame: DataFrame, text: str, other: Column | None = None) -> DataFrame:

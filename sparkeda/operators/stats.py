@@ -97,9 +97,14 @@ def variance_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         "column", round_to(F.col("var"), 3).alias("variance"), round_to(F.col("q50"), 4).alias("median"))
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str] | None = None, fence: float = FENCE) -> DataFrame:
-    """``(column, nn, q25, q50, q75, lower, upper)``, one row per numeric column."""
-    q = exact_quantiles(df, cols, QUARTILES).select(
+def iqr_bounds(
+    df: DataFrame, cols: Sequence[str] | None = None, fence: float = FENCE, spread: DataFrame | None = None
+) -> DataFrame:
+    """``(column, nn, q25, q50, q75, lower, upper)``, one row per numeric column.
+
+    ``spread`` may hand in quartiles already taken by :func:`exact_quantiles`.
+    """
+    q = (exact_quantiles(df, cols, QUARTILES) if spread is None else spread).select(
         "column", "nn", *[F.col("q")[i].alias(f"q{int(p * 100)}") for i, p in enumerate(QUARTILES)])
     reach = F.lit(fence) * (F.col("q75") - F.col("q25"))
     return q.withColumns({"lower": F.col("q25") - reach, "upper": F.col("q75") + reach})
@@ -137,6 +142,25 @@ def zscore_outliers(df: DataFrame, cols: Sequence[str] | None = None, limit: flo
     )
 
 
+def outlier_counts(df: DataFrame, spread: DataFrame, moment: DataFrame, rows: DataFrame) -> DataFrame:
+    """Both outlier tests in one pass over ready quartiles and moments.
+
+    ``(column, iqr_outliers, iqr_pct, lower, upper, z_outliers, z_pct)``; counts may be 0.
+    """
+    z_ok = (F.col("n") > 2) & (F.col("pstd") > 0)
+    limits = iqr_bounds(df, spread=spread).select("column", "lower", "upper").join(
+        moment.select("column", F.col("nn").alias("n"), "mean", "pstd"), "column")
+    far = z_ok & (F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("pstd"))) > 3.0)
+    total = rows.scalar()
+    return (
+        numeric_long(df).join(F.broadcast(limits), "column")
+        .groupBy("column", "lower", "upper").agg(F.count_if(_beyond()).alias("i"), F.count_if(far).alias("z"))
+        .select("column", F.col("i").alias("iqr_outliers"), percent(F.col("i"), total).alias("iqr_pct"),
+                round_to(F.col("lower"), 3).alias("lower"), round_to(F.col("upper"), 3).alias("upper"),
+                F.col("z").alias("z_outliers"), percent(F.col("z"), total).alias("z_pct"))
+    )
+
+
 def outlier_rows(df: DataFrame, col: str, method: str = "iqr", limit: float | None = None) -> DataFrame:
     """The rows whose ``col`` lies outside the IQR fences, or beyond ``limit`` deviations."""
     x = present(df, col).cast("double")

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import kind_of, numeric_columns, percent, round_to, string_columns
-from sparkeda.functions.longform import empty_like, rows_from
+from sparkeda.functions.longform import empty_like, held
 from sparkeda.operators import categorical as cat
 from sparkeda.operators import quality as qual
 from sparkeda.operators import relate, stats
@@ -48,38 +48,80 @@ def stack(frames: list[DataFrame]) -> DataFrame:
 
 
 
-def _overview(df: DataFrame) -> DataFrame:
+class Facts:
+    """A table and the schema-sized statistics several sections start from.
+
+    Each is computed on first use, in one scan, and held; a report then scans the table once per
+    kind of statistic instead of once per operator.
+    """
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return held(qual._missing(self.df, self.df.columns))
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.missing.agg(F.max("rows"))
+
+    @cached_property
+    def distinct(self) -> DataFrame:
+        return held(qual.nunique(self.df))
+
+    @cached_property
+    def moments(self) -> DataFrame:
+        return held(stats.moments(self.df))
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        return held(stats.exact_quantiles(self.df, None, stats.QUARTILES))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return held(relate.pair_stats(self.df))
+
+
+def _type_rows(df: DataFrame) -> DataFrame:
     types: dict[str, int] = {}
     for f in df.schema:
         types[f.dataType.simpleString()] = types.get(f.dataType.simpleString(), 0) + 1
-    per_type = rows_from(df.limit(0).agg(F.count("*")), [[
-        ("column", F.lit("*")), ("metric", F.lit(f"columns_{t}")), ("value", F.lit(float(k))), ("label", _text(None)),
-    ] for t, k in types.items()])
-    dtypes = rows_from(df.limit(0).agg(F.count("*")), [[
-        ("column", F.lit(f.name)), ("metric", F.lit("dtype")), ("value", F.lit(None).cast("double")),
-        ("label", F.lit(f.dataType.simpleString())),
-    ] for f in df.schema])
+    rows = [("*", f"columns_{t}", float(k), None) for t, k in types.items()]
+    return df.sparkSession.createDataFrame(rows, LONG)
+
+
+def _dtype_rows(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame(
+        [(f.name, "dtype", None, f.dataType.simpleString()) for f in df.schema], LONG)
+
+
+def _overview(facts: Facts) -> DataFrame:
+    df = facts.df
     table = _values(qual.table_overview(df), "rows", "cols", "duplicates", "bytes", column=F.lit("*"))
-    return stack([table, per_type, dtypes])
+    return stack([table, _type_rows(df), _dtype_rows(df)])
 
 
-def _quality(df: DataFrame) -> DataFrame:
+def _quality(facts: Facts) -> DataFrame:
+    df = facts.df
     tokens = qual.placeholders(df).select(
         "column", F.concat(F.lit("placeholder "), F.col("token")).alias("metric"),
         F.col("count").cast("double").alias("value"), _text(None).alias("label"))
+    gaps = facts.missing.where("missing > 0").select(
+        "column", "missing", percent(F.col("missing"), F.col("rows")).alias("missing_pct"))
+    total = facts.missing.agg(F.sum("missing").alias("missing_cells"), F.sum("rows").alias("total_cells")).withColumn(
+        "completeness_pct", percent(F.col("total_cells") - F.col("missing_cells"), F.col("total_cells")))
     return stack([
-        _values(qual.missing_by_column(df), "missing", "missing_pct"),
-        _values(qual.missing_totals(df), "missing_cells", "total_cells", "completeness_pct", column=F.lit("*")),
+        _values(gaps, "missing", "missing_pct"),
+        _values(total, "missing_cells", "total_cells", "completeness_pct", column=F.lit("*")),
         _values(qual.complete_rows(df), "complete_rows", "complete_pct", column=F.lit("*")),
         tokens,
     ])
 
 
-def _statistics(df: DataFrame) -> DataFrame:
+def _statistics(facts: Facts) -> DataFrame:
     """Description, shape and flags from one moments pass and one quantile pass."""
-    moment = stats.moments(df)
-    spread = stats.exact_quantiles(df, None, stats.QUARTILES).drop("nn")
-    every = moment.join(spread, "column").select(
+    every = facts.moments.join(facts.spread.drop("nn"), "column").select(
         "column", F.col("nn").alias("count"), *[round_to(F.col(c), 4).alias(c) for c in ("mean", "std", "min")],
         *[round_to(F.col("q")[i], 4).alias(f"q{int(p * 100)}") for i, p in enumerate(stats.QUARTILES)],
         round_to(F.col("max"), 4).alias("max"), round_to(F.col("skew"), 3).alias("skewness"),
@@ -89,58 +131,65 @@ def _statistics(df: DataFrame) -> DataFrame:
     return _values(every, *[c for c in every.columns if c != "column"])
 
 
-def _outliers(df: DataFrame) -> DataFrame:
-    iqr = stats.iqr_outliers(df).select(
-        "column", F.col("count").alias("iqr_outliers"), F.col("pct").alias("iqr_pct"), "lower", "upper")
-    z = stats.zscore_outliers(df).select("column", F.col("count").alias("z_outliers"), F.col("pct").alias("z_pct"))
-    return stack([_values(iqr, "iqr_outliers", "iqr_pct", "lower", "upper"), _values(z, "z_outliers", "z_pct")])
+def _outliers(facts: Facts) -> DataFrame:
+    both = held(stats.outlier_counts(facts.df, facts.spread, facts.moments, facts.rows))
+    return stack([
+        _values(both.where("iqr_outliers > 0"), "iqr_outliers", "iqr_pct", "lower", "upper"),
+        _values(both.where("z_outliers > 0"), "z_outliers", "z_pct"),
+    ])
 
 
-def _correlation(df: DataFrame) -> DataFrame:
-    pairs = relate.pair_stats(df)
-    both = pairs.select("col1", "col2", "r").select(
-        F.col("col1").alias("column"), F.col("col2").alias("label"), F.col("r"))
+def _correlation(facts: Facts) -> DataFrame:
+    both = facts.pairs.select(F.col("col1").alias("column"), F.col("col2").alias("label"), F.col("r"))
     matrix = both.select("column", F.lit("corr").alias("metric"), round_to(F.col("r"), 3).alias("value"), "label")
     high = both.where(F.abs("r") > 0.8).select(
         "column", F.lit("high_corr").alias("metric"), round_to(F.abs("r"), 3).alias("value"), "label")
     return stack([matrix, high])
 
 
-def _categorical(df: DataFrame) -> DataFrame:
+def _categorical(facts: Facts) -> DataFrame:
+    df = facts.df
     names = string_columns(df)
     if not names:
         return empty_like(df, LONG)
-    totals = cat.value_totals(df)
-    top = cat.top_values(totals, 10).select(
+    top = cat.top_values(cat.value_totals(df), 10).select(
         "column", F.lit("value_count").alias("metric"), F.col("count").cast("double").alias("value"),
         F.col("value").alias("label"))
     balance = cat.class_balance_all(df)
     return stack([
-        _values(qual.nunique(df, names), "nunique"), top,
+        _values(facts.distinct.where(F.col("column").isin(names)), "nunique"), top,
         melt(balance, {"imbalance_ratio": "value", "min_class": "label", "max_class": "label"}),
     ])
 
 
-def _risk(df: DataFrame) -> DataFrame:
-    skewed = stats.moments(df).where(F.abs("skew") > 1).select("column", F.lit("log").alias("transform"))
+def _flat_or_constant(facts: Facts) -> list[DataFrame]:
+    df = facts.df
+    return [
+        _values(cat.constant_columns(df, facts.distinct).withColumnRenamed("nunique", "constant"), "constant"),
+        _values(cat.low_variance(df, moment=facts.moments).withColumnRenamed("variance", "low_variance"),
+                "low_variance"),
+    ]
+
+
+def _risk(facts: Facts) -> DataFrame:
+    df = facts.df
+    skewed = facts.moments.where(F.abs("skew") > 1).select("column", F.lit("log").alias("transform"))
+    leaks = cat.leakage_columns(df, distinct=facts.distinct).withColumnRenamed("unique_pct", "leakage_pct")
     return stack([
-        _values(cat.leakage_columns(df).select("column", F.col("unique_pct").alias("leakage_pct")), "leakage_pct"),
-        _values(cat.constant_columns(df).select("column", F.col("nunique").alias("constant")), "constant"),
-        _values(cat.low_variance(df).select("column", F.col("variance").alias("low_variance")), "low_variance"),
-        melt(skewed, {"transform": "label"}),
-        melt(cat.encoding_advice(df).select("column", "encoding"), {"encoding": "label"}),
+        _values(leaks, "leakage_pct"), *_flat_or_constant(facts), melt(skewed, {"transform": "label"}),
+        melt(cat.encoding_advice(df, distinct=facts.distinct), {"encoding": "label"}),
     ])
 
 
 # The default tasks in priority order.
-TASKS: dict[str, Callable[[DataFrame], DataFrame]] = {
+TASKS: dict[str, Callable[[Facts], DataFrame]] = {
     "overview": _overview, "quality": _quality, "statistics": _statistics, "outliers": _outliers,
     "correlation": _correlation, "categorical": _categorical, "risk": _risk,
 }
 
 
 def enterprise_eda(
-    df: DataFrame, tasks: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None
+    df: DataFrame, tasks: Mapping[str, Callable[[Facts], DataFrame]] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """All tasks in order: ``(results, status)``.
 
@@ -149,54 +198,47 @@ def enterprise_eda(
     while running leaves only an error in its status row and the others stand.
     """
     shared_dir(df.sparkSession)
-    done, status = [], []
+    facts, done, status = Facts(df), [], []
     for priority, (name, build) in enumerate((tasks or TASKS).items(), start=1):
         try:
-            done.append(build(df).select(F.lit(name).alias("task"), "column", "metric", "value", "label").checkpoint())
+            done.append(
+                build(facts).select(F.lit(name).alias("task"), "column", "metric", "value", "label").checkpoint())
             status.append((priority, name, "ok", None))
         except Exception as exc:  # noqa: BLE001 - a failed task must not stop the rest
             status.append((priority, name, "failed", str(exc)[:300]))
-    empty = empty_like(df, f"task string, {LONG}")
     states = df.sparkSession.createDataFrame(status, "priority long, task string, status string, error string")
-    return (stack(done) if done else empty), states
-
-
-def _dtype_text(df: DataFrame) -> DataFrame:
-    if not string_columns(df):
-        return empty_like(df, LONG)
-    return melt(cat.dtype_suggestions(df), {"suggestion": "label"})
+    return (stack(done) if done else empty_like(df, f"task string, {LONG}")), states
 
 
 def deep_eda(df: DataFrame) -> DataFrame:
-    """``(section, column, metric, value, label)``: overview, cleaning, summary and insights, lazily."""
-    describe_text = melt(stats.describe_categorical(df).select("column", "count", "unique", "top", "freq"),
-                         {"count": "value", "unique": "value", "freq": "value", "top": "label"})
-    insights = [
-        _values(cat.high_cardinality(df).select("column", F.col("nunique").alias("high_cardinality")), "high_cardinality"),
-        melt(cat.class_imbalance(df), {"imbalance_ratio": "value", "distribution": "label"}),
-        _values(cat.constant_columns(df).select("column", F.col("nunique").alias("constant")), "constant"),
-        _values(cat.low_variance(df).select("column", F.col("variance").alias("low_variance")), "low_variance"),
-        _dtype_text(df),
-    ]
-    sections = [
-        ("overview", _overview(df)), ("cleaning", _quality(df)),
-        ("summary", stack([_statistics(df), describe_text, _outliers(df), _correlation(df)])),
-        ("insights", stack(insights)),
-    ]
+    """``(section, column, metric, value, label)``: overview, cleaning, summary and insights."""
+    facts = Facts(df)
+    texts = string_columns(df)
+    summary, insights = [_statistics(facts), _outliers(facts), _correlation(facts)], _flat_or_constant(facts)
+    if texts:
+        totals = cat.value_totals(df)
+        summary.append(melt(stats.describe_categorical(df), {
+            "count": "value", "unique": "value", "freq": "value", "top": "label"}))
+        insights += [
+            _values(cat.high_cardinality(df, distinct=facts.distinct).withColumnRenamed("nunique", "high_cardinality"),
+                    "high_cardinality"),
+            melt(cat.class_imbalance(df, totals=totals), {"imbalance_ratio": "value", "distribution": "label"}),
+            melt(cat.dtype_suggestions(df, distinct=facts.distinct), {"suggestion": "label"}),
+        ]
+    sections = [("overview", _overview(facts)), ("cleaning", _quality(facts)), ("summary", stack(summary)),
+                ("insights", stack(insights))]
     return stack([f.select(F.lit(s).alias("section"), "column", "metric", "value", "label") for s, f in sections])
 
 
 def profile_context(df: DataFrame, max_described: int = 20) -> DataFrame:
     """``(column, metric, value, label)``: shape, kinds, missing counts and shares, distinct counts, description."""
     names = df.columns[:max_described]
-    facts = qual._missing(df, df.columns).withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
-    shape = facts.agg(F.max("rows").alias("rows"), F.count("*").alias("cols"))
-    kinds = rows_from(df.limit(0).agg(F.count("*")), [[
-        ("column", F.lit(f.name)), ("dtype", F.lit(f.dataType.simpleString())), ("kind", F.lit(kind_of(f.dataType))),
-    ] for f in df.schema])
+    gaps = held(qual._missing(df, df.columns).withColumn("missing_pct", percent(F.col("missing"), F.col("rows"))))
+    shape = gaps.agg(F.max("rows").alias("rows"), F.count("*").alias("cols"))
+    kinds = df.sparkSession.createDataFrame([(f.name, "kind", None, kind_of(f.dataType)) for f in df.schema], LONG)
     parts = [
-        _values(shape, "rows", "cols", column=F.lit("*")), melt(kinds, {"dtype": "label", "kind": "label"}),
-        _values(facts, "missing", "missing_pct"), _values(qual.nunique(df), "nunique"),
+        _values(shape, "rows", "cols", column=F.lit("*")), _dtype_rows(df), kinds,
+        _values(gaps, "missing", "missing_pct"), _values(qual.nunique(df), "nunique"),
     ]
     if numeric_columns(df, names):
         parts.append(_values(stats.describe_numeric(df, names), "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
@@ -210,17 +252,11 @@ def data_report(df: DataFrame) -> DataFrame:
     """``(column, metric, value, label)`` of the chat report: shape, size, types, missing, numbers, first texts."""
     size = qual.estimated_bytes(df).agg(F.sum("bytes").alias("bytes"))
     shape = df.agg(F.count("*").alias("rows")).select("rows", F.lit(len(df.columns)).alias("cols"))
-    types: dict[str, int] = {}
-    for f in df.schema:
-        types[f.dataType.simpleString()] = types.get(f.dataType.simpleString(), 0) + 1
-    per_type = rows_from(df.limit(0).agg(F.count("*")), [[
-        ("column", F.lit("*")), ("metric", F.lit(f"columns_{t}")), ("value", F.lit(float(k))), ("label", _text(None)),
-    ] for t, k in types.items()])
     rows = F.col("rows")
     missing = qual._missing(df, df.columns).where("missing > 0").select(
         "column", "missing", percent(F.col("missing"), rows, 1).alias("missing_pct"))
     parts = [
-        _values(shape, "rows", "cols", column=F.lit("*")), _values(size, "bytes", column=F.lit("*")), per_type,
+        _values(shape, "rows", "cols", column=F.lit("*")), _values(size, "bytes", column=F.lit("*")), _type_rows(df),
         _values(missing, "missing", "missing_pct"),
     ]
     if numeric_columns(df):
@@ -302,10 +338,11 @@ def column_report(df: DataFrame) -> DataFrame:
     Associations are Pearson r between numbers, the correlation ratio of a number by a text
     column, and the uncertainty coefficient between text columns.
     """
-    facts = qual._missing(df, df.columns).withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
-    parts = [_values(facts, "rows", "missing", "missing_pct"), _values(qual.nunique(df), "nunique")]
+    facts = Facts(df)
+    gaps = facts.missing.withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
+    parts = [_values(gaps, "rows", "missing", "missing_pct"), _values(facts.distinct, "nunique")]
     if numeric_columns(df):
-        parts.append(_statistics(df))
+        parts.append(_statistics(facts))
     if string_columns(df):
         parts.append(melt(stats.describe_categorical(df), {"top": "label", "freq": "value"}))
 
@@ -313,6 +350,6 @@ def column_report(df: DataFrame) -> DataFrame:
         return frame.select(F.col("col1").alias("column"), F.lit(metric).alias("metric"), "value",
                             F.col("col2").alias("label"))
 
-    r = relate.pair_stats(df).select("col1", "col2", round_to(F.col("r"), 3).alias("value"))
+    r = facts.pairs.select("col1", "col2", round_to(F.col("r"), 3).alias("value"))
     return stack([*parts, linked(r, "pearson"), linked(correlation_ratio(df), "correlation_ratio"),
                   linked(uncertainty(df), "uncertainty")])

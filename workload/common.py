@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkeda.sources.files import read_parquet
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -32,7 +34,7 @@ class Registry:
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def on(name: str, work: Callable[[DataFrame], DataFrame]) -> Query:

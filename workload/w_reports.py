@@ -172,7 +172,7 @@ def _broken(df):
     """The status table when one task cannot run: its cast fails inside Spark."""
     tasks = {
         "overview": reports.TASKS["overview"],
-        "broken": lambda t: t.select(
+        "broken": lambda facts: facts.df.select(
             F.lit("*").alias("column"), F.lit("x").alias("metric"), F.col("l_returnflag").cast("double").alias("value"),
             F.lit("").alias("label")),
         "quality": reports.TASKS["quality"],
