@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
-from functools import cached_property, reduce
+from collections.abc import Callable, Iterator, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from functools import cached_property, partial, reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +16,10 @@ from sparkeda.functions.longform import empty_like, held
 from sparkeda.operators import categorical as cat
 from sparkeda.operators import quality as qual
 from sparkeda.operators import relate, stats
-from sparkeda.sources.files import shared_dir
 
 LONG = "column string, metric string, value double, label string"
+KEPT_CELLS = 50_000_000
+SPREAD_ROWS = 100_000
 
 
 def _text(label: Column | None) -> Column:
@@ -48,6 +52,25 @@ def stack(frames: list[DataFrame]) -> DataFrame:
 
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """The table for the length of a report: persisted and spread over the cores if it is small.
+
+    Small means at most ``KEPT_CELLS`` cells by a count. A larger table is read again for each kind of
+    statistic, with only the columns that one needs. Lost cache blocks are simply recomputed.
+    """
+    rows = df.count()
+    if rows * len(df.columns) > KEPT_CELLS:
+        yield df
+        return
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    copy = (df.repartition(cores) if rows > SPREAD_ROWS else df).persist()
+    try:
+        yield copy
+    finally:
+        copy.unpersist()
+
+
 class Facts:
     """A table and the schema-sized statistics several sections start from.
 
@@ -58,6 +81,12 @@ class Facts:
     def __init__(self, df: DataFrame) -> None:
         self.df = df
 
+    def gather(self, *names: str) -> Facts:
+        """Compute several statistics as concurrent jobs, which fill cores a single job leaves idle."""
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(inheritable_thread_target(self.df.sparkSession)(partial(getattr, self)), names))
+        return self
+
     @cached_property
     def missing(self) -> DataFrame:
         return held(qual._missing(self.df, self.df.columns))
@@ -194,35 +223,38 @@ def enterprise_eda(
     """All tasks in order: ``(results, status)``.
 
     results is ``(task, column, metric, value, label)``, status ``(priority, task, status, error)``.
-    Each task is run and its small result checkpointed to the shared folder, so a task that fails
-    while running leaves only an error in its status row and the others stand.
+    Each task is run and its result, as long as the schema, held; a task that fails while running
+    leaves only an error in its status row and the others stand.
     """
-    shared_dir(df.sparkSession)
-    facts, done, status = Facts(df), [], []
-    for priority, (name, build) in enumerate((tasks or TASKS).items(), start=1):
-        try:
-            done.append(
-                build(facts).select(F.lit(name).alias("task"), "column", "metric", "value", "label").checkpoint())
-            status.append((priority, name, "ok", None))
-        except Exception as exc:  # noqa: BLE001 - a failed task must not stop the rest
-            status.append((priority, name, "failed", str(exc)[:300]))
+    done, status = [], []
+    with kept(df) as table:
+        facts = Facts(table)
+        for priority, (name, build) in enumerate((tasks or TASKS).items(), start=1):
+            try:
+                done.append(held(build(facts).select(F.lit(name).alias("task"), "column", "metric", "value", "label")))
+                status.append((priority, name, "ok", None))
+            except Exception as exc:  # noqa: BLE001 - a failed task must not stop the rest
+                status.append((priority, name, "failed", str(exc)[:300]))
     states = df.sparkSession.createDataFrame(status, "priority long, task string, status string, error string")
     return (stack(done) if done else empty_like(df, f"task string, {LONG}")), states
 
 
 def deep_eda(df: DataFrame) -> DataFrame:
     """``(section, column, metric, value, label)``: overview, cleaning, summary and insights."""
-    facts = Facts(df)
-    texts = string_columns(df)
+    with kept(df) as table:
+        return held(_deep_sections(Facts(table).gather("missing", "distinct", "moments", "spread", "pairs")))
+
+
+def _deep_sections(facts: Facts) -> DataFrame:
+    df = facts.df
     summary, insights = [_statistics(facts), _outliers(facts), _correlation(facts)], _flat_or_constant(facts)
-    if texts:
-        totals = cat.value_totals(df)
+    if string_columns(df):
         summary.append(melt(stats.describe_categorical(df), {
             "count": "value", "unique": "value", "freq": "value", "top": "label"}))
         insights += [
             _values(cat.high_cardinality(df, distinct=facts.distinct).withColumnRenamed("nunique", "high_cardinality"),
                     "high_cardinality"),
-            melt(cat.class_imbalance(df, totals=totals), {"imbalance_ratio": "value", "distribution": "label"}),
+            melt(cat.class_imbalance(df), {"imbalance_ratio": "value", "distribution": "label"}),
             melt(cat.dtype_suggestions(df, distinct=facts.distinct), {"suggestion": "label"}),
         ]
     sections = [("overview", _overview(facts)), ("cleaning", _quality(facts)), ("summary", stack(summary)),
@@ -338,7 +370,12 @@ def column_report(df: DataFrame) -> DataFrame:
     Associations are Pearson r between numbers, the correlation ratio of a number by a text
     column, and the uncertainty coefficient between text columns.
     """
-    facts = Facts(df)
+    with kept(df) as table:
+        return held(_column_sections(Facts(table).gather("missing", "distinct", "moments", "spread", "pairs")))
+
+
+def _column_sections(facts: Facts) -> DataFrame:
+    df = facts.df
     gaps = facts.missing.withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
     parts = [_values(gaps, "rows", "missing", "missing_pct"), _values(facts.distinct, "nunique")]
     if numeric_columns(df):

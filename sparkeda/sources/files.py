@@ -35,17 +35,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table, spread over the cores when it has a few splits but fewer than there are cores.
-
-    A file with one row group is read by one task however many cores wait. A table of one split is
-    too small to spread; a large table has more splits than cores and is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 1 < df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(
     spark: SparkSession, path: str, na_tokens: Sequence[str] = NA_TOKENS, multiline: bool = False
 ) -> DataFrame:
