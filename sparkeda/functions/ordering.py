@@ -27,6 +27,7 @@ from sparkeda.functions.kinds import numeric_columns
 from sparkeda.functions.longform import empty_like, numeric_long
 
 RANGES = 4096
+MOST_RANGES = 16_000
 ONE_TASK_ROWS = 4_000_000
 ONE_TASK_CELLS = 8_000_000
 _STEPS = [8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
@@ -60,9 +61,9 @@ def value_cuts(long: DataFrame, rows: int, ranges: int = RANGES) -> DataFrame:
     return picked.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("cuts"))
 
 
-def place(long: DataFrame, rows: int) -> DataFrame:
+def place(long: DataFrame, rows: int, ranges: int | None = None) -> DataFrame:
     """Add ``slot``, the range each value falls into. The cuts hold one row per column."""
-    return with_slot(long.join(F.broadcast(value_cuts(long, rows)), "column", "left"))
+    return with_slot(long.join(F.broadcast(value_cuts(long, rows, ranges or RANGES)), "column", "left"))
 
 
 def _asks(nn: Column, probs: Sequence[float]) -> Column:
@@ -154,7 +155,7 @@ def running_totals(
         return counted.withColumns({
             f"{m}_before": F.coalesce(F.sum(m).over(before), F.lit(0)) for m in measures
         })
-    placed = place(counted, rows)
+    placed = place(counted, rows, max(RANGES, min(MOST_RANGES, rows // ONE_TASK_ROWS)))
     slot_order = F.col("slot").desc() if descending else F.col("slot").asc()
     over_slots = W.partitionBy("column").orderBy(slot_order).rowsBetween(W.unboundedPreceding, -1)
     bases = placed.groupBy("column", "slot").agg(*[F.sum(m).alias(m) for m in measures]).select(
@@ -162,7 +163,7 @@ def running_totals(
     )
     inside = W.partitionBy("column", "slot").orderBy(value_order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        placed.join(F.broadcast(bases), ["column", "slot"])   # at most RANGES rows per column
+        placed.join(F.broadcast(bases), ["column", "slot"])   # one row per column and range
         .withColumns({
             f"{m}_before": F.col(f"{m}_base") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures
         })

@@ -82,7 +82,8 @@ def search_all(
     runs = list(queries)[:QUERIES_RUN]
     matched = F.filter(
         F.array(*[F.when(_has(F.lit(q)), F.lit(i).cast("long")) for i, q in enumerate(runs)]), lambda i: i.isNotNull())
-    hits = catalog.select("*", F.explode(matched).alias("query_no"))
+    shown = [_short().alias(c) if c == "description" else F.col(c) for c in catalog.columns]
+    hits = catalog.select(*shown, F.explode(matched).alias("query_no"))    # long texts stop here
     listed = F.col("source").isin(list(list_sources))
     order = [F.desc_nulls_last("stars"), F.asc("title"), F.asc("url")]
     each = W.partitionBy("source", "query_no").orderBy(*order)
@@ -92,9 +93,9 @@ def search_all(
         .where(F.col("position") <= per_source).drop("rank")
     )
     if not list_sources:
-        return capped.withColumn("description", _short())
+        return capped
     whole = hits.where(listed & (F.col("query_no") == 0)).withColumn("position", F.lit(None).cast("long"))
-    return capped.unionByName(whole).withColumn("description", _short())
+    return capped.unionByName(whole)
 
 
 def _relevance(query: str) -> Column:

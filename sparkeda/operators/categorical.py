@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkeda.functions.kinds import numeric_columns, round_to, string_columns
-from sparkeda.functions.longform import numeric_long, string_long, text_long
+from sparkeda.functions.kinds import numeric_columns, present, quoted, round_to, string_columns
+from sparkeda.functions.longform import numeric_long, rows_from, string_long, text_long
 from sparkeda.operators.quality import nunique
 from sparkeda.operators.stats import moments
 
@@ -52,6 +52,18 @@ def _distinct(df: DataFrame, names: Sequence[str], known: DataFrame | None) -> D
     return nunique(df, names) if known is None else known.where(F.col("column").isin(list(names)))
 
 
+def narrow_columns(df: DataFrame, names: Sequence[str], most: int) -> list[str]:
+    """``names`` that may have at most ``most`` distinct values, so that wide columns need no exact count.
+
+    A sketch of d values has at most d of its registers set, so the estimate for a column with ``most``
+    values stays near ``most``; ten times that, and at least 200, leaves no narrow column out.
+    """
+    if not names:
+        return []
+    guess = df.agg(*[F.approx_count_distinct(present(df, c)).alias(f"d{i}") for i, c in enumerate(names)]).first()
+    return [c for i, c in enumerate(names) if guess[i] <= max(200, 10 * most)]
+
+
 def high_cardinality(
     df: DataFrame, cols: Sequence[str] | None = None, limit: int = 50, distinct: DataFrame | None = None
 ) -> DataFrame:
@@ -84,7 +96,8 @@ def class_imbalance(
 
     ``distribution`` lists the top ten values as ``value=count``, most frequent first.
     """
-    totals = value_totals(df, cols) if totals is None else totals
+    if totals is None:
+        totals = value_totals(df, narrow_columns(df, string_columns(df, cols), classes[1]))
     uneven = _balance(totals).where(F.col("classes").between(*classes) & (F.col("ratio") < limit))
     listed = top_values(totals, 10).groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("top"))
@@ -97,7 +110,8 @@ def class_balance_all(
     df: DataFrame, cols: Sequence[str] | None = None, classes: tuple[int, int] = (2, 20)
 ) -> DataFrame:
     """Smallest and largest class of every string column with 2..20 classes, and their ratio."""
-    return _balance(value_totals(df, cols)).where(F.col("classes").between(*classes)).select(
+    names = narrow_columns(df, string_columns(df, cols), classes[1])
+    return _balance(value_totals(df, names)).where(F.col("classes").between(*classes)).select(
         "column", "classes", "min_class", "min_count", "max_class", "max_count",
         round_to(F.col("ratio"), 3).alias("imbalance_ratio"))
 
@@ -112,8 +126,17 @@ def target_imbalance(df: DataFrame, target: str) -> DataFrame:
 
 
 def constant_columns(df: DataFrame, distinct: DataFrame | None = None) -> DataFrame:
-    """Columns with at most one distinct value, all-missing ones included."""
-    return _distinct(df, df.columns, distinct).where(F.col("nunique") <= 1)
+    """Columns with at most one distinct value, all-missing ones included.
+
+    Without ready ``distinct`` counts, least and greatest value tell it: one pass, no shuffle of values.
+    """
+    if distinct is not None:
+        return distinct.where(F.col("nunique") <= 1)
+    values = [F.to_json(quoted(c)) if df.schema[c].dataType.typeName() == "map" else present(df, c) for c in df.columns]
+    one = df.agg(*[f(v).alias(f"{n}{i}") for i, v in enumerate(values) for n, f in (("lo", F.min), ("hi", F.max))])
+    rows = [[("column", F.lit(c)), ("nunique", F.when(F.col(f"lo{i}").isNull(), 0).when(
+        F.col(f"lo{i}") == F.col(f"hi{i}"), 1).cast("long"))] for i, c in enumerate(df.columns)]
+    return rows_from(one, rows).where(F.col("nunique").isNotNull())
 
 
 def low_variance(
@@ -153,7 +176,8 @@ def dtype_suggestions(
         .when(F.col("not_time") == 0, "Convert to datetime")
         .when(F.col("nunique") < 20, "Convert to category")
     )
-    return parses.join(_distinct(df, names, distinct), "column").select(
+    counts = _distinct(df, narrow_columns(df, names, 20) if distinct is None else names, distinct)
+    return parses.join(counts, "column", "left").select(
         "column", advice.alias("suggestion")).where(F.col("suggestion").isNotNull())
 
 
@@ -166,10 +190,10 @@ def cardinality_summary(df: DataFrame, first: int = 5) -> DataFrame:
 def numeric_as_category(df: DataFrame, cols: Sequence[str] | None = None, most: int = 10) -> DataFrame:
     """``(column, value, count)`` of numeric columns with at most ``most`` distinct values.
 
-    Values go through a count per (column, value) first, so a wide column costs one row per
-    distinct value and is then dropped by a count per column.
+    Wide columns are left out by a sketch before any value is shuffled.
     """
-    totals = numeric_long(df, cols).groupBy("column", "value").agg(F.count("*").alias("count"))
+    names = narrow_columns(df, numeric_columns(df, cols), most)
+    totals = numeric_long(df, names).groupBy("column", "value").agg(F.count("*").alias("count"))
     few = totals.groupBy("column").agg(F.count("*").alias("values")).where(F.col("values") <= most)
     return totals.join(F.broadcast(few.select("column")), "column", "left_semi").select("column", "value", "count")
 

@@ -23,7 +23,9 @@ BRACES = r"(\{[\s\S]*?\})"
 
 def session_titles(log: DataFrame) -> DataFrame:
     """``(conv_id, title)``: the first user message, cut to 50 characters."""
-    first = log.where(F.col("role") == "user").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    heads = log.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.substring("text", 1, TITLE_CHARS + 1).alias("text"))     # all a title can need
+    first = heads.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     cut = F.concat(F.substring("text", 1, TITLE_CHARS), F.lit("..."))
     return first.select("conv_id", F.when(F.length("text") > TITLE_CHARS, cut).otherwise(F.col("text")).alias("title"))
 

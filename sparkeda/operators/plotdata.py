@@ -15,7 +15,7 @@ from sparkeda.functions.longform import empty_like, numeric_long
 from sparkeda.functions.normal import inverse_normal
 from sparkeda.functions.ordering import running_totals
 from sparkeda.operators.basics import complete_sample
-from sparkeda.operators.categorical import value_counts, value_totals
+from sparkeda.operators.categorical import narrow_columns, value_counts, value_totals
 from sparkeda.operators.quality import nunique
 from sparkeda.operators.relate import correlation_matrix, pair_stats, top_corr_pairs
 from sparkeda.operators.stats import iqr_bounds
@@ -203,7 +203,7 @@ def bar_counts(df: DataFrame, cols: Sequence[str] | None = None, k: int = 15, ma
 
 def pie_shares(df: DataFrame, cols: Sequence[str] | None = None, most: int = 8, max_cols: int = 4) -> DataFrame:
     """``(column, value, count, share_pct)`` of string columns with at most ``most`` values."""
-    totals = value_totals(df, string_columns(df, cols)[:max_cols])
+    totals = value_totals(df, narrow_columns(df, string_columns(df, cols)[:max_cols], most))
     sums = totals.groupBy("column").agg(F.count("*").alias("classes"), F.sum("count").alias("n")).where(
         F.col("classes") <= most)
     return totals.join(F.broadcast(sums), "column").select(

@@ -112,10 +112,11 @@ def rolling_mean(
         frame = W.partitionBy(by).orderBy(order_by, key).rowsBetween(1 - window, 0)
         return rows.select(*out, round_to(F.avg("value").over(frame), digits).alias("rolling"))
 
-    axis = df.select(F.lit(order_by).alias("column"), quoted(order_by).alias("value"))
-    cuts = value_cuts(axis.where(F.col("value").isNotNull()), total).select("cuts")
-    keyed = rows.select("*", cuts.scalar().alias("cuts")).withColumnRenamed("value", "x")
-    cut = with_slot(keyed.withColumn("value", F.col(order_by))).drop("value").withColumnRenamed("x", "value")
+    place = F.struct(order_by, key)                       # unique, so equal times can be cut as well
+    axis = rows.select(F.lit("axis").alias("column"), place.alias("value"))
+    cuts = value_cuts(axis, total).select("cuts").scalar()
+    keyed = rows.withColumnRenamed("value", "x").select("*", place.alias("value"), cuts.alias("cuts"))
+    cut = with_slot(keyed).drop("value").withColumnRenamed("x", "value")
     newest = W.partitionBy(by, "slot").orderBy(F.col(order_by).desc(), F.col(key).desc())
     tails = (
         cut.withColumn("back", F.row_number().over(newest)).where(F.col("back") < window)
