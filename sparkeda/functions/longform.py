@@ -8,7 +8,7 @@ combining leaves one row per column and task for the shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,18 +44,17 @@ def text_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _unpivot(df, cols, "string").where(F.col("value").isNotNull())
 
 
-def numeric_pairs(df: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
-    """``(col1, col2, x, y)``: one row per row and column pair, both sides present."""
-    pairs = list(pairs)
+def numeric_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """``(pair, x, y)``: one row per row and column pair, both sides present; ``pair`` counts from 0."""
     if not pairs:
-        return empty_like(df, "col1 string, col2 string, x double, y double")
+        return empty_like(df, "pair int, x double, y double")
     names = sorted({c for p in pairs for c in p})
     wide = df.select(*[present(df, c).cast("double").alias(c) for c in names])
     cells: list[Column] = [F.lit(len(pairs))]
-    for a, b in pairs:
-        cells += [F.lit(a), F.lit(b), quoted(a), quoted(b)]
+    for i, (a, b) in enumerate(pairs):
+        cells += [F.lit(i), quoted(a), quoted(b)]
     return (
-        wide.select(F.stack(*cells).alias("col1", "col2", "x", "y"))
+        wide.select(F.stack(*cells).alias("pair", "x", "y"))
         .where(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
 

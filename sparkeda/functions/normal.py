@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
+import sys
 from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])    # workers need no copy of the package
+
 # Coefficients of Wichura's algorithm AS 241 (1988), lowest power first.
 CENTRE_NUM = [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
               4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3]

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])    # workers need no copy of the package
+
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
     tiny = 1e-300

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import clean, is_missing, quoted, string_columns
+from sparkeda.functions.lots import lot
 
 
 def _keys(order_by: str | Sequence[str], desc: bool = False) -> list[Column]:
@@ -49,8 +50,7 @@ def sample_rows(df: DataFrame, key: str | Sequence[str], k: int, seed: int = 42)
     Rows are ordered by a seeded hash of their key; only ``k`` rows per task move.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    lot = F.xxhash64(*[quoted(c) for c in keys], F.lit(seed))
-    return df.orderBy(lot, *[quoted(c) for c in keys]).limit(k)
+    return df.orderBy(lot(keys, seed), *[quoted(c) for c in keys]).limit(k)
 
 
 def complete_sample(df: DataFrame, cols: Sequence[str], key: str | Sequence[str], k: int, seed: int = 42) -> DataFrame:

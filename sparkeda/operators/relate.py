@@ -18,16 +18,18 @@ def pair_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     Pairwise-complete, in one pass; a task hands on one row per pair. ``r`` is NULL where a
     side is constant.
     """
-    return _correlate(numeric_pairs(df, combinations(numeric_columns(df, cols), 2)))
+    return _correlate(df, list(combinations(numeric_columns(df, cols), 2)))
 
 
-def _correlate(pairs: DataFrame) -> DataFrame:
-    sums = pairs.groupBy("col1", "col2").agg(
+def _correlate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    names = [F.array(*[F.lit(p[side]) for p in pairs]).cast("array<string>") for side in (0, 1)]
+    sums = numeric_pairs(df, pairs).groupBy("pair").agg(
         F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"),
         F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"),
     )
     r = F.try_divide(F.col("c"), F.col("sx") * F.col("sy"))
-    return sums.select("col1", "col2", "n", r.alias("r"))
+    first, second = (F.get(n, F.col("pair")) for n in names)
+    return sums.select(first.alias("col1"), second.alias("col2"), "n", r.alias("r"))
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 3) -> DataFrame:
@@ -63,4 +65,4 @@ def top_corr_pairs(df: DataFrame, cols: Sequence[str] | None = None, k: int = 3)
 
 def pair_corr(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row: correlation between two columns and the rows it rests on."""
-    return _correlate(numeric_pairs(df, [(x, y)])).select("col1", "col2", "n", round_to(F.col("r"), 4).alias("corr"))
+    return _correlate(df, [(x, y)]).select("col1", "col2", "n", round_to(F.col("r"), 4).alias("corr"))

@@ -18,11 +18,12 @@ from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import numeric_columns, present, quoted, round_to, string_columns
 from sparkeda.functions.longform import empty_like
+from sparkeda.functions.lots import drawn
 from sparkeda.operators.metrics import classification_report, regression_metrics
 
 # The search grids.
@@ -55,15 +56,9 @@ def detect_task(df: DataFrame, target: str) -> DataFrame:
         F.when(F.col("fractional"), "regression").otherwise("classification").alias("task"), "classes")
 
 
-def in_test(df: DataFrame, key: str | Sequence[str], test: float = 0.2, seed: int = 42) -> Column:
-    keys = [key] if isinstance(key, str) else list(key)
-    lot = F.pmod(F.xxhash64(*[quoted(k) for k in keys], F.lit(seed)), F.lit(10_000))
-    return lot < int(round(test * 10_000))
-
-
 def train_test_split(df: DataFrame, key: str | Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds ``split``, 'train' or 'test', by a seeded hash of the row key: no shuffle, repeatable anywhere."""
-    return df.withColumn("split", F.when(in_test(df, key, test, seed), "test").otherwise("train"))
+    return df.withColumn("split", F.when(drawn(key, test, seed), "test").otherwise("train"))
 
 
 def split_counts(df: DataFrame, key: str | Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -137,10 +132,10 @@ def prepare(
         task = detect_task(df, target).first()["task"]
     keys = [key] if isinstance(key, str) else list(key)
     known = _with_target(df, target, task, keys)
-    rest = known.where(~in_test(known, keys, test, seed))
+    rest = known.where(~drawn(keys, test, seed))
     fitted = feature_stages(df, target, task, [*exclude, *keys]).fit(
         rest if task == "regression" else known)      # labels of both parts must be known
-    held_out = known.where(in_test(known, keys, test, seed))
+    held_out = known.where(drawn(keys, test, seed))
     parts = [fitted.transform(p).select(*keys, LABEL, FEATURES) for p in (rest, held_out)]
     labels = list(fitted.stages[-1].labels) if task == "classification" else []
     names = vector_names(parts[0], feature_sources(df, target, [*exclude, *keys]))
@@ -352,7 +347,7 @@ def learning_curve(
     def work() -> DataFrame:
         score, rows = _evaluator(prep.task), []
         for share in shares:
-            part = prep.train.where(in_test(prep.train, key, share, seed)) if share < 1 else prep.train
+            part = prep.train.where(drawn(key, share, seed))
             model = candidates(prep.task, prep.classes)[name].fit(part)
             rows.append((float(share), part.count(), float(score.evaluate(model.transform(part))),
                          float(score.evaluate(model.transform(prep.test)))))

@@ -20,7 +20,8 @@ R.add("drop_columns", on("orders", lambda df: basics.drop_columns(df, "o_orderst
       "SELECT * EXCLUDE (o_orderstatus) FROM orders")
 R.add("dropna_rows", on("lineitem_nulls", lambda df: basics.dropna_rows(df, ["l_tax", "l_returnflag"])),
       f"SELECT * FROM {source('lineitem_nulls')} WHERE l_tax IS NOT NULL AND l_returnflag IS NOT NULL")
-R.add("sample_rows", on("orders", lambda df: basics.sample_rows(df, "o_orderkey", 2000)))
+R.add("sample_rows", on("orders", lambda df: basics.sample_rows(df, "o_orderkey", 2000)),
+      "SELECT * FROM orders ORDER BY md5(concat_ws('|', o_orderkey, '42')), o_orderkey LIMIT 2000")
 
 KINDS = {"BIGINT": ("bigint", "numeric", 8), "INTEGER": ("int", "numeric", 4), "DOUBLE": ("double", "numeric", 8),
          "VARCHAR": ("string", "categorical", 0), "TIMESTAMP": ("timestamp_ntz", "datetime", 8)}

@@ -91,8 +91,11 @@ quality = partial(trained, quality_rows, "quality", "doc_id")
 price = partial(trained, price_rows, "p_retailprice", "p_partkey")
 status = partial(trained, status_rows, "l_linestatus", "row_key")
 
-R.add("train_test_split", on("orders", lambda df: training.train_test_split(df, "o_orderkey", seed=123)))
-R.add("split_counts", on("orders", lambda df: training.split_counts(df, "o_orderkey", seed=123)))
+_split = f"CASE WHEN substring(md5(concat_ws('|', o_orderkey, '123')), 1, 8) < '{int(0.2 * 16 ** 8):08x}' THEN 'test' ELSE 'train' END"
+R.add("train_test_split", on("orders", lambda df: training.train_test_split(df, "o_orderkey", seed=123)),
+      f"SELECT *, {_split} AS split FROM orders")
+R.add("split_counts", on("orders", lambda df: training.split_counts(df, "o_orderkey", seed=123)),
+      f"SELECT {_split} AS split, count(*) AS rows FROM orders GROUP BY 1")
 R.add("prepare_features", lambda s, d: training.prepare_features(quality_rows(s, d), "quality", "doc_id"))
 R.add("train_model", status(lambda p: training.predictions(p, training.train_model(p), ["row_key"])))
 R.add("leaderboard", quality(training.leaderboard))

@@ -138,6 +138,39 @@ def ks_sql(table: str, cols: list[str]) -> str:
     SELECT "column", n, {rnd('d', 5)} AS d, {rnd('sqrt(CAST(n AS DOUBLE)) * d', 3)} AS scaled_d FROM d"""
 
 
+
+
+def shapiro_sql(table: str, cols: list[str]) -> str:
+    """W and its p-value for columns of 8 to 5000 values."""
+    def poly(x: str, highest_first: list[float]) -> str:
+        return _horner(x, highest_first)
+
+    u, ln = "(1 / sqrt(n))", "ln(n)"
+    y = f"CASE WHEN n <= 11 THEN -ln({poly('n', normal.SMALL_SHIFT)} - ln(1 - w)) ELSE ln(1 - w) END"
+    z = f"(({y} - zm) / zs)"
+    hart = f"exp(-{z} * {z} / 2) * {_horner(f'abs({z})', normal.HART_NUM)} / {_horner(f'abs({z})', normal.HART_DEN)}"
+    return f"""
+    WITH l AS ({long_sql(table, cols)}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY value) AS i,
+            CAST(count(*) OVER (PARTITION BY "column") AS DOUBLE) AS n, avg(value) OVER (PARTITION BY "column") AS mean FROM l),
+    p AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM r WHERE n BETWEEN 8 AND 5000),
+    m AS (SELECT *, {inverse_normal_sql('p')} AS m FROM p),
+    s AS (SELECT "column", sum(m * m) AS mm, max(m) AS m1, max(m) FILTER (WHERE i = n - 1) AS m2 FROM m GROUP BY 1),
+    a AS (SELECT m.*, mm, m1, m2, {poly(u, normal.OUTER_WEIGHT)} + m1 / sqrt(mm) AS a1,
+            {poly(u, normal.NEXT_WEIGHT)} + m2 / sqrt(mm) AS a2 FROM m JOIN s ON m."column" = s."column"),
+    c AS (SELECT *, CASE WHEN i = n THEN a1 WHEN i = 1 THEN -a1 WHEN i = n - 1 THEN a2 WHEN i = 2 THEN -a2
+            ELSE m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a FROM a),
+    w AS (SELECT "column", any_value(n) AS n, pow(sum(a * (value - mean)), 2) / sum(pow(value - mean, 2)) AS w
+          FROM c GROUP BY 1),
+    t AS (SELECT *, CASE WHEN n <= 11 THEN {poly('n', normal.SMALL_MEAN)} ELSE {poly(ln, normal.LARGE_MEAN)} END AS zm,
+            exp(CASE WHEN n <= 11 THEN {poly('n', normal.SMALL_LOG_SD)} ELSE {poly(ln, normal.LARGE_LOG_SD)} END) AS zs
+          FROM w),
+    q AS (SELECT *, CASE WHEN {z} > 0 THEN {hart} ELSE 1 - {hart} END AS p FROM t)
+    SELECT "column", CAST(n AS BIGINT) AS n, round(w, 4) AS statistic, round(p, 6) AS p_value, p > 0.05 AS is_normal FROM q"""
+
+
+R.add("normality_shapiro", on("supplier", stats.normality_shapiro),
+      shapiro_sql("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]))
 R.add("normality_ks", on("events", lambda df: stats.normality_ks(df, ["value", "user_id"])),
       ks_sql("events", ["user_id", "value"]))
 R.add("bar_counts", on("part", plot.bar_counts), top_sql("part", PART_TEXTS, 15))
@@ -146,8 +179,19 @@ R.add("pie_shares", on("lineitem", plot.pie_shares), f"""
       SELECT *, count(*) OVER w AS classes, sum(k) OVER w AS n FROM ({totals('lineitem', ['l_returnflag', 'l_linestatus'])})
       WINDOW w AS (PARTITION BY "column")) WHERE classes <= 8""")
 R.add("corr_heatmap", on("lineitem", plot.corr_heatmap), matrix_sql("lineitem", LINEITEM_NUMBERS, 2))
-R.add("scatter_sample", on("lineitem_corr", lambda df: plot.scatter_sample(df, ["l_orderkey", "l_linenumber", "l_partkey"])))
-R.add("pairplot_sample", on("customer", lambda df: plot.pairplot_sample(df, "c_custkey")))
+_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+_ALL_PAIRS = list(combinations(CORR, 2))
+_CELLS = union([f"""SELECT '{a}' AS col1, '{b}' AS col2, CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, {', '.join(_KEY)}
+    FROM {source('lineitem_corr')}""" for a, b in _ALL_PAIRS])
+R.add("scatter_sample", on("lineitem_corr", lambda df: plot.scatter_sample(df, _KEY)), f"""
+    WITH top AS (SELECT col1, col2 FROM ({union([corr_sql('lineitem_corr', a, b) for a, b in _ALL_PAIRS])})
+      WHERE r IS NOT NULL ORDER BY abs(r) DESC, col1, col2 LIMIT 3),
+    c AS ({_CELLS})
+    SELECT col1, col2, x, y FROM c JOIN top USING (col1, col2)
+    QUALIFY row_number() OVER (PARTITION BY col1, col2
+      ORDER BY md5(concat_ws('|', {', '.join(_KEY)}, '42')), {', '.join(_KEY)}, x, y) <= 2000""")
+R.add("pairplot_sample", on("customer", lambda df: plot.pairplot_sample(df, "c_custkey")), """
+    SELECT c_custkey, c_nationkey, c_acctbal FROM customer ORDER BY md5(concat_ws('|', c_custkey, '42')), c_custkey LIMIT 500""")
 R.add("stacked_bar", on("lineitem", lambda df: plot.stacked_bar(df, "l_returnflag", "l_linestatus")),
       "SELECT l_returnflag, l_linestatus, count(*) AS count FROM lineitem GROUP BY 1, 2")
 _KIND = {"l_returnflag": "t", "l_linestatus": "t", "l_shipdate": "d"}
