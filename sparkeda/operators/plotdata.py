@@ -75,19 +75,19 @@ def _bandwidths(long: DataFrame, cut: float, points: int) -> DataFrame:
 
 def kde(
     df: DataFrame, cols: Sequence[str] | None = None, points: int = 200, cut: float = 3.0,
-    max_cols: int = 8, digits: int = 10,
+    max_cols: int = 8, digits: int = 8,
 ) -> DataFrame:
     """``(column, point, x, density)``: Gaussian kernel density with Scott's bandwidth on a grid.
 
     A fast Gauss transform: rows are summed into cells half a bandwidth wide, each holding
     the first moments of its values around the cell's middle, and every cell then adds its
-    series to the grid points within reach. The sum over all rows is exact to about 1e-12 of
+    series to the grid points within reach. The sum over all rows is exact to about 1e-14 of
     the peak, while only cells, never rows times points, leave the scan.
     """
     names = numeric_columns(df, cols)[:max_cols]
     long = numeric_long(df, names)
     shape = _bandwidths(long, cut, points)
-    terms, reach = 12, 8.5
+    terms, reach = 14, 8.5
     cell = F.floor((F.col("value") - F.col("a")) / (F.col("bw") / 2))
     u = F.col("u")
     power: list[Column] = [F.exp(-u * u / 2)]

@@ -36,7 +36,7 @@ def histogram_sql(table: str, cols: list[str], bins: int = 30) -> str:
     FROM grid LEFT JOIN c ON grid."column" = c."column" AND grid.bin = c.bin"""
 
 
-def kde_sql(table: str, cols: list[str], points: int, cut: float, digits: int = 10) -> str:
+def kde_sql(table: str, cols: list[str], points: int, cut: float, digits: int = 8) -> str:
     """The plain sum over rows at every grid point; equal values are weighted, which changes nothing."""
     return f"""
     WITH l AS ({long_sql(table, cols)}),
@@ -96,9 +96,9 @@ def qq_sql(table: str, cols: list[str]) -> str:
 R.add("histogram", on("lineitem_nulls", plot.histogram), histogram_sql("lineitem_nulls", LINEITEM_NUMBERS))
 R.add("histogram_constant", on("lineitem_const", lambda df: plot.histogram(df, ["l_tax", "one"])),
       histogram_sql("lineitem_const", ["l_tax", "one"]))
-R.add("kde", on("lineitem_nulls", lambda df: plot.kde(df, digits=9)),
-      kde_sql("lineitem_nulls", LINEITEM_NUMBERS, 200, 3.0, 9))
-R.add("kde_events", on("events", lambda df: plot.kde(df, ["value"], digits=9)), kde_sql("events", ["value"], 200, 3.0, 9))
+R.add("kde", on("lineitem_nulls", plot.kde),
+      kde_sql("lineitem_nulls", LINEITEM_NUMBERS, 200, 3.0))
+R.add("kde_events", on("events", lambda df: plot.kde(df, ["value"])), kde_sql("events", ["value"], 200, 3.0))
 R.add("box_stats", on("events", plot.box_stats), box_sql("events", EVENTS_NUMBERS))
 R.add("violin", on("events", lambda df: plot.violin(df, ["user_id", "value"])), f"""
     SELECT k.*, q25, q50, q75 FROM ({kde_sql('events', ['user_id', 'value'], 100, 2.0)}) k
