@@ -18,12 +18,13 @@ into ranges first:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkeda.functions.kinds import numeric_columns
+from sparkeda.functions.kinds import numeric_columns, present
 from sparkeda.functions.longform import empty_like, numeric_long
 
 RANGES = 4096
@@ -117,9 +118,15 @@ def _quantiles_by_ranges(long: DataFrame, probs: Sequence[float], rows: int) ->
     )
 
 
-def _quantiles_built_in(long: DataFrame, probs: Sequence[float]) -> DataFrame:
+def _quantiles_built_in(df: DataFrame, names: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One aggregate per column: each ends in a task of its own and reads only its column."""
     wanted = F.array(*[F.lit(float(p)) for p in probs])
-    return long.groupBy("column").agg(F.count("*").alias("nn"), F.percentile("value", wanted).alias("q"))
+    parts = []
+    for c in names:
+        value = present(df, c).cast("double")
+        parts.append(df.agg(
+            F.lit(c).alias("column"), F.count(value).alias("nn"), F.percentile(value, wanted).alias("q")))
+    return reduce(DataFrame.unionByName, parts).where(F.col("nn") > 0)
 
 
 def exact_quantiles(
@@ -136,7 +143,7 @@ def exact_quantiles(
         return empty_like(df, "column string, nn long, q array<double>")
     rows = df.count()
     if rows * len(names) <= one_task_cells:
-        return _quantiles_built_in(numeric_long(df, names), probs)
+        return _quantiles_built_in(df, names, probs)
     return _quantiles_by_ranges(numeric_long(df, names), probs, rows)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from sparkeda.functions.ordering import exact_quantiles
 # Texts that stand for "missing", in report order.
 PLACEHOLDER_TOKENS = ["?", "NA", "N/A", "na", "-", "--", "null", "none", "unknown", ""]
 
+AT_ONCE = 3
 COUNTABLE = ("numeric", "categorical", "datetime")
 
 
@@ -24,16 +26,25 @@ def _countable(df: DataFrame, name: str) -> Column:
     return F.to_json(quoted(name)) if df.schema[name].dataType.typeName() == "map" else present(df, name)
 
 
-def nunique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def nunique(
+    df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, at_once: int = AT_ONCE
+) -> DataFrame:
     """``(column, nunique)``: distinct non-missing values per column.
 
     Exact by default: values are first reduced to one row each, so a hot value is one
-    row after the map side. ``approx`` needs one pass and no wide shuffle.
+    row after the map side. Counting k columns together makes k rows of k cells out of each
+    row, so ``at_once`` columns are counted together; each part reads only its own columns.
+    ``approx`` needs one pass and no wide shuffle.
     """
     names = list(cols or df.columns)
     count = F.approx_count_distinct if approx else F.countDistinct
-    one = df.agg(*[count(_countable(df, c)).alias(f"d{i}") for i, c in enumerate(names)])
-    return rows_from(one, [[("column", F.lit(c)), ("nunique", F.col(f"d{i}"))] for i, c in enumerate(names)])
+    size = len(names) if approx else at_once
+    parts = []
+    for start in range(0, len(names), size):
+        part = names[start:start + size]
+        one = df.agg(*[count(_countable(df, c)).alias(f"d{i}") for i, c in enumerate(part)])
+        parts.append(rows_from(one, [[("column", F.lit(c)), ("nunique", F.col(f"d{i}"))] for i, c in enumerate(part)]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -299,11 +299,13 @@ def data_report(df: DataFrame) -> DataFrame:
 
 
 def report_lines(report: DataFrame, title: str) -> DataFrame:
-    """``(line_no, line)`` Markdown lines of a long report, by column and metric below the title."""
+    """``(line_no, line)`` Markdown lines of a long report below its title, by task or section, column and metric."""
     shown = F.coalesce("label", F.round("value", 4).cast("string"))
+    part = next((c for c in ("task", "section") if c in report.columns), None)
+    head = F.concat(F.lit("- "), F.col(part), F.lit(" ")) if part else F.lit("- ")
     body = report.select(
         F.lit(2).cast("long").alias("line_no"),
-        F.concat(F.lit("- **"), F.col("column"), F.lit("** "), F.col("metric"), F.lit(": "), shown).alias("line"))
+        F.concat(head, F.lit("**"), F.col("column"), F.lit("** "), F.col("metric"), F.lit(": "), shown).alias("line"))
     return report.sparkSession.createDataFrame([(1, f"## {title}")], "line_no long, line string").unionByName(body)
 
 

@@ -65,5 +65,12 @@ def markdown(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(files.write_report(lines, files.new_path(spark, "data-report")))
 
 
+def enterprise_markdown(spark: SparkSession, d: str) -> DataFrame:
+    results, _ = reports.enterprise_eda(load(spark, d, "orders"))
+    lines = reports.report_lines(results, "Enterprise EDA Report")
+    return spark.read.text(files.write_report(lines, files.new_path(spark, "enterprise-report")))
+
+
 R.add("write_report", markdown)
+R.add("write_enterprise_report", enterprise_markdown)
 R.add("write_search_report", search_report)
