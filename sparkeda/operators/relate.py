@@ -3,25 +3,73 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeda.functions.kinds import numeric_columns, round_to
+from sparkeda.functions.kinds import numeric_columns, quoted, round_to
 from sparkeda.functions.longform import numeric_long, numeric_pairs
+from sparkeda.operators.stats import moments
+
+
+PAIRS_AT_ONCE = 64
+WIDE = 40
 
 
 def pair_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``(col1, col2, n, r)`` for each pair once, ``col1`` before ``col2`` in the schema.
 
-    Pairwise-complete, in one pass; a task hands on one row per pair. ``r`` is NULL where a
+    Pairwise-complete; a task hands on one row per pair. ``r`` is NULL where a
     side is constant.
     """
-    return _correlate(df, list(combinations(numeric_columns(df, cols), 2)))
+    names = numeric_columns(df, cols)
+    if len(names) > WIDE:
+        scale = _scale_if_complete(df, names)
+        if scale is not None:
+            return _correlate_complete(df, names, scale)
+    return _correlate(df, list(combinations(names, 2)))
+
+
+def _scale_if_complete(df: DataFrame, names: list[str]) -> list[tuple[str, float, float]] | None:
+    """``(column, mean, deviation)`` in schema order if no value is missing, from one row per column."""
+    rows = df.count()
+    found = {r["column"]: r for r in moments(df, names).collect()}
+    if rows == 0 or any(c not in found or found[c]["nn"] < rows for c in names):
+        return None
+    return [(c, found[c]["mean"], found[c]["pstd"]) for c in names]
+
+
+def _correlate_complete(df: DataFrame, names: list[str], scale: list[tuple[str, float, float]]) -> DataFrame:
+    """All pairs of many complete columns as one matrix product over standardised vectors.
+
+    The matrix is as long as the pairs of columns, whatever the rows.
+    """
+    varying = [(c, m, s) for c, m, s in scale if s > 0]
+    known = {}
+    if len(varying) > 1:
+        z = df.select(*[((quoted(c).cast("double") - F.lit(m)) / F.lit(s)).alias(f"z{i}")
+                        for i, (c, m, s) in enumerate(varying)])
+        vectors = VectorAssembler(inputCols=z.columns, outputCol="z").transform(z)
+        matrix = Correlation.corr(vectors, "z").first()[0].toArray()
+        known = {(a[0], b[0]): float(matrix[i, j])
+                 for (i, a), (j, b) in combinations(enumerate(varying), 2)}
+    n = df.count()
+    return df.sparkSession.createDataFrame(
+        [(a, b, n, known.get((a, b))) for a, b in combinations(names, 2)],
+        "col1 string, col2 string, n long, r double")
 
 
 def _correlate(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Pairs are taken ``PAIRS_AT_ONCE`` per pass: more would outgrow what codegen compiles."""
+    parts = [_correlate_some(df, pairs[i:i + PAIRS_AT_ONCE]) for i in range(0, max(1, len(pairs)), PAIRS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _correlate_some(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     names = [F.array(*[F.lit(p[side]) for p in pairs]).cast("array<string>") for side in (0, 1)]
     sums = numeric_pairs(df, pairs).groupBy("pair").agg(
         F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"),

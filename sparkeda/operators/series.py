@@ -21,18 +21,16 @@ def _period_means(df: DataFrame, time: str, col: str, unit: str) -> DataFrame:
     ).where("period IS NOT NULL")
 
 
-def _month_number(period: Column) -> Column:
-    return F.year(period) * 12 + F.month(period)
-
-
 def _period_number(period: Column, unit: str) -> Column:
-    """Whole number that grows by one from a period to the next."""
-    if unit in ("month", "quarter", "year"):
-        size = {"month": 1, "quarter": 3, "year": 12}[unit]
-        return F.floor((_month_number(period) - 1) / F.lit(size)).cast("long")
-    seconds = {"week": 604800, "day": 86400, "hour": 3600, "minute": 60}[unit]
-    since = F.unix_seconds(period.cast("timestamp")) - F.unix_seconds(F.timestamp_seconds(F.lit(345600)))
-    return F.floor(since / F.lit(seconds)).cast("long")
+    """Whole number that grows by one from a period to the next, whatever the session's time zone."""
+    months = (F.year(period) * 12 + F.month(period)).cast("long")
+    days = F.unix_date(period.cast("date")).cast("long")
+    numbers = {
+        "year": F.year(period).cast("long"), "quarter": F.floor((months - 1) / F.lit(3)), "month": months,
+        "week": F.floor((days - 4) / F.lit(7)), "day": days, "hour": days * 24 + F.hour(period),
+        "minute": days * 1440 + F.hour(period) * 60 + F.minute(period),
+    }
+    return numbers[unit].cast("long")
 
 
 def trend(df: DataFrame, time: str, col: str, unit: str = "month") -> DataFrame:

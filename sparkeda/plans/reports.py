@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from functools import cached_property, partial, reduce
+from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ from sparkeda.operators import quality as qual
 from sparkeda.operators import relate, stats
 
 LONG = "column string, metric string, value double, label string"
+FACTS = ("missing", "distinct", "moments", "spread", "pairs")
+T = TypeVar("T")
 KEPT_CELLS = 50_000_000
 SPREAD_ROWS = 100_000
 
@@ -71,6 +74,18 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         copy.unpersist()
 
 
+def concurrently(df: DataFrame, works: Sequence[Callable[[], T]]) -> list[T | Exception]:
+    """Results, or the exceptions raised, of works run as concurrent jobs, which fill cores a single job leaves idle."""
+    def attempt(work: Callable[[], T]) -> T | Exception:
+        try:
+            return work()
+        except Exception as exc:  # noqa: BLE001 - the caller decides
+            return exc
+
+    with ThreadPoolExecutor(max(1, len(works))) as pool:
+        return list(pool.map(inheritable_thread_target(df.sparkSession)(attempt), works))
+
+
 class Facts:
     """A table and the schema-sized statistics several sections start from.
 
@@ -82,9 +97,8 @@ class Facts:
         self.df = df
 
     def gather(self, *names: str) -> Facts:
-        """Compute several statistics as concurrent jobs, which fill cores a single job leaves idle."""
-        with ThreadPoolExecutor(len(names)) as pool:
-            list(pool.map(inheritable_thread_target(self.df.sparkSession)(partial(getattr, self)), names))
+        """Compute several statistics at once; one that fails is tried again where it is used."""
+        concurrently(self.df, [partial(getattr, self, n) for n in names])
         return self
 
     @cached_property
@@ -226,15 +240,18 @@ def enterprise_eda(
     Each task is run and its result, as long as the schema, held; a task that fails while running
     leaves only an error in its status row and the others stand.
     """
-    done, status = [], []
+    def run(facts: Facts, name: str, build: Callable[[Facts], DataFrame]) -> DataFrame:
+        return held(build(facts).select(F.lit(name).alias("task"), "column", "metric", "value", "label"))
+
+    chosen = dict(tasks or TASKS)
     with kept(df) as table:
-        facts = Facts(table)
-        for priority, (name, build) in enumerate((tasks or TASKS).items(), start=1):
-            try:
-                done.append(held(build(facts).select(F.lit(name).alias("task"), "column", "metric", "value", "label")))
-                status.append((priority, name, "ok", None))
-            except Exception as exc:  # noqa: BLE001 - a failed task must not stop the rest
-                status.append((priority, name, "failed", str(exc)[:300]))
+        facts = Facts(table).gather(*FACTS)
+        results = concurrently(df, [partial(run, facts, name, build) for name, build in chosen.items()])
+    done = [r for r in results if not isinstance(r, Exception)]
+    status = [
+        (i, name, "failed" if isinstance(r, Exception) else "ok", str(r)[:300] if isinstance(r, Exception) else None)
+        for i, (name, r) in enumerate(zip(chosen, results), start=1)
+    ]
     states = df.sparkSession.createDataFrame(status, "priority long, task string, status string, error string")
     return (stack(done) if done else empty_like(df, f"task string, {LONG}")), states
 
@@ -242,24 +259,41 @@ def enterprise_eda(
 def deep_eda(df: DataFrame) -> DataFrame:
     """``(section, column, metric, value, label)``: overview, cleaning, summary and insights."""
     with kept(df) as table:
-        return held(_deep_sections(Facts(table).gather("missing", "distinct", "moments", "spread", "pairs")))
+        facts = Facts(table).gather(*FACTS)
+        return _all_held(facts, _deep_parts(facts), "section")
+
+
+def _all_held(facts: Facts, parts: list[tuple[str | None, Callable[[], DataFrame]]], named: str | None) -> DataFrame:
+    """The parts, computed at once and stacked, each with its name in the column ``named``."""
+    def run(name: str | None, build: Callable[[], DataFrame]) -> DataFrame:
+        first = [F.lit(name).alias(named)] if named else []
+        return held(build().select(*first, "column", "metric", "value", "label"))
+
+    results = concurrently(facts.df, [partial(run, *p) for p in parts])
+    for r in results:
+        if isinstance(r, Exception):
+            raise r
+    return stack(results)
 
 
-def _deep_sections(facts: Facts) -> DataFrame:
+def _deep_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame]]]:
     df = facts.df
-    summary, insights = [_statistics(facts), _outliers(facts), _correlation(facts)], _flat_or_constant(facts)
+    parts: list[tuple[str | None, Callable[[], DataFrame]]] = [
+        ("overview", partial(_overview, facts)), ("cleaning", partial(_quality, facts)),
+        ("summary", partial(_statistics, facts)), ("summary", partial(_outliers, facts)),
+        ("summary", partial(_correlation, facts)), ("insights", lambda: stack(_flat_or_constant(facts))),
+    ]
     if string_columns(df):
-        summary.append(melt(stats.describe_categorical(df), {
-            "count": "value", "unique": "value", "freq": "value", "top": "label"}))
-        insights += [
-            _values(cat.high_cardinality(df, distinct=facts.distinct).withColumnRenamed("nunique", "high_cardinality"),
-                    "high_cardinality"),
-            melt(cat.class_imbalance(df), {"imbalance_ratio": "value", "distribution": "label"}),
-            melt(cat.dtype_suggestions(df, distinct=facts.distinct), {"suggestion": "label"}),
+        parts += [
+            ("summary", lambda: melt(stats.describe_categorical(df), {
+                "count": "value", "unique": "value", "freq": "value", "top": "label"})),
+            ("insights", lambda: _values(
+                cat.high_cardinality(df, distinct=facts.distinct).withColumnRenamed("nunique", "high_cardinality"),
+                "high_cardinality")),
+            ("insights", lambda: melt(cat.class_imbalance(df), {"imbalance_ratio": "value", "distribution": "label"})),
+            ("insights", lambda: melt(cat.dtype_suggestions(df, distinct=facts.distinct), {"suggestion": "label"})),
         ]
-    sections = [("overview", _overview(facts)), ("cleaning", _quality(facts)), ("summary", stack(summary)),
-                ("insights", stack(insights))]
-    return stack([f.select(F.lit(s).alias("section"), "column", "metric", "value", "label") for s, f in sections])
+    return parts
 
 
 def profile_context(df: DataFrame, max_described: int = 20) -> DataFrame:
@@ -373,22 +407,27 @@ def column_report(df: DataFrame) -> DataFrame:
     column, and the uncertainty coefficient between text columns.
     """
     with kept(df) as table:
-        return held(_column_sections(Facts(table).gather("missing", "distinct", "moments", "spread", "pairs")))
+        facts = Facts(table).gather(*FACTS)
+        return _all_held(facts, _column_parts(facts), None)
 
 
-def _column_sections(facts: Facts) -> DataFrame:
+def _column_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame]]]:
     df = facts.df
-    gaps = facts.missing.withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
-    parts = [_values(gaps, "rows", "missing", "missing_pct"), _values(facts.distinct, "nunique")]
-    if numeric_columns(df):
-        parts.append(_statistics(facts))
-    if string_columns(df):
-        parts.append(melt(stats.describe_categorical(df), {"top": "label", "freq": "value"}))
 
     def linked(frame: DataFrame, metric: str) -> DataFrame:
         return frame.select(F.col("col1").alias("column"), F.lit(metric).alias("metric"), "value",
                             F.col("col2").alias("label"))
 
+    gaps = facts.missing.withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
     r = facts.pairs.select("col1", "col2", round_to(F.col("r"), 3).alias("value"))
-    return stack([*parts, linked(r, "pearson"), linked(correlation_ratio(df), "correlation_ratio"),
-                  linked(uncertainty(df), "uncertainty")])
+    parts: list[tuple[str | None, Callable[[], DataFrame]]] = [
+        (None, lambda: stack([_values(gaps, "rows", "missing", "missing_pct"), _values(facts.distinct, "nunique")])),
+        (None, lambda: linked(r, "pearson")),
+        (None, lambda: linked(correlation_ratio(df), "correlation_ratio")),
+        (None, lambda: linked(uncertainty(df), "uncertainty")),
+    ]
+    if numeric_columns(df):
+        parts.append((None, partial(_statistics, facts)))
+    if string_columns(df):
+        parts.append((None, lambda: melt(stats.describe_categorical(df), {"top": "label", "freq": "value"})))
+    return parts

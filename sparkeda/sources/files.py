@@ -126,6 +126,7 @@ def search_report(ranked: DataFrame, counts: DataFrame, query: str, top: int = 5
         F.format_string("%d. %s (%s)", "rank", F.coalesce("title", F.lit("Unknown")), "source").alias("line"))
     total = counts.where("source = 'TOTAL'").select(
         F.lit(3).cast("long").alias("line_no"), F.format_string("**Total Results:** %d", "hits").alias("line"))
+    # The headings of the search report.
     fixed = [(1, "# Dataset Search Report"), (2, f"**Query:** {query}"), (100, "## Sources Searched:"),
              (1_000_000, "## Top Recommendations:")]
     heads = ranked.sparkSession.createDataFrame(fixed, "line_no long, line string")

@@ -123,6 +123,18 @@ def test_correlation_pairwise_and_constant(messy):
     assert got[("id", "flat")] is None and got[("flat", "flat")] is None and got[("x", "x")] == 1.0
 
 
+def test_wide_correlation_equals_pairs(lineitem, messy, monkeypatch):
+    df = lineitem.withColumn("one", F.lit(1)).withColumn("far", F.col("l_tax") * 100 + 1e4)
+    rows = lambda f: {(r["col1"], r["col2"]): (r["n"], r["r"]) for r in f.collect()}
+    plain, gaps = rows(relate.pair_stats(df)), rows(relate.pair_stats(messy))
+    monkeypatch.setattr(relate, "WIDE", 1)
+    wide = rows(relate.pair_stats(df))
+    assert wide.keys() == plain.keys()
+    for k, (n, r) in plain.items():
+        assert wide[k][0] == n and (wide[k][1] == pytest.approx(r, abs=1e-9) if r is not None else wide[k][1] is None)
+    assert rows(relate.pair_stats(messy)) == gaps
+
+
 def test_shapiro_takes_columns_of_fitting_size(spark, lineitem):
     assert stats.normality_shapiro(lineitem).count() == 0        # 6000 rows each
     few = lineitem.limit(100)
@@ -147,6 +159,17 @@ def test_rolling_mean_of_one(events):
     assert out.count() == events.count()
 
 
+@pytest.mark.parametrize("unit", ["year", "quarter", "month", "week", "day", "hour", "minute"])
+def test_period_numbers_count_up_by_one(spark, unit):
+    steps = spark.range(40).select(F.expr(
+        f"timestamp_ntz'2019-12-30 00:00:00' + make_interval({{}})".format(
+            {"year": "id", "quarter": "0, 3 * id", "month": "0, id", "week": "0, 0, id", "day": "0, 0, 0, id",
+             "hour": "0, 0, 0, 0, id", "minute": "0, 0, 0, 0, 0, id"}[unit].replace("id", "cast(id as int)"))).alias("t"))
+    period = F.date_trunc(unit, "t").cast("timestamp_ntz")
+    numbers = [r[0] for r in steps.select(series._period_number(period, unit)).orderBy("t").collect()]
+    assert all(b - a == 1 for a, b in zip(numbers, numbers[1:]))
+
+
 # ---- categorical ----
 
 def test_dtype_suggestions(spark):

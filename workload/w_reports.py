@@ -169,11 +169,12 @@ R.add("enterprise_eda", on(T, lambda df: reports.enterprise_eda(df)[0]),
 
 
 def _broken(df):
-    """The status table when one task cannot run: its cast fails inside Spark."""
+    """The status table when one task fails while it runs."""
     tasks = {
         "overview": reports.TASKS["overview"],
         "broken": lambda facts: facts.df.select(
-            F.lit("*").alias("column"), F.lit("x").alias("metric"), F.col("l_returnflag").cast("double").alias("value"),
+            F.lit("*").alias("column"), F.lit("x").alias("metric"),
+            F.when(F.col("l_quantity") > 0, F.raise_error(F.lit("this task cannot run"))).cast("double").alias("value"),
             F.lit("").alias("label")),
         "quality": reports.TASKS["quality"],
     }
