@@ -47,6 +47,13 @@ R.add("table_overview", on("documents_nokey", quality.table_overview), f"""
       (SELECT {big('sum(bytes)')} FROM ({bytes_sql('documents_nokey', DOCUMENTS_SCHEMA)})) AS bytes,
       CAST(1 AS BIGINT) AS numeric_cols, CAST(2 AS BIGINT) AS categorical_cols, CAST(0 AS BIGINT) AS datetime_cols,
       CAST(0 AS BIGINT) AS other_cols""")
+R.add("table_overview_lineitem", on("lineitem_nulls", quality.table_overview), f"""
+    SELECT (SELECT count(*) FROM lineitem) AS rows, CAST(11 AS BIGINT) AS cols,
+      (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {source('lineitem_nulls')}))
+        AS duplicates,
+      (SELECT {big('sum(bytes)')} FROM ({bytes_sql('lineitem_nulls', LINEITEM_SCHEMA)})) AS bytes,
+      CAST(8 AS BIGINT) AS numeric_cols, CAST(2 AS BIGINT) AS categorical_cols, CAST(1 AS BIGINT) AS datetime_cols,
+      CAST(0 AS BIGINT) AS other_cols""")
 R.add("estimated_bytes", on("lineitem_nulls", quality.estimated_bytes), bytes_sql("lineitem_nulls", LINEITEM_SCHEMA))
 R.add("missing_by_column", on("lineitem_nulls", quality.missing_by_column),
       "SELECT * FROM (" + per_column("lineitem_nulls", LINEITEM, lambda c:
