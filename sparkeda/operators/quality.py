@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -205,8 +206,9 @@ def placeholders(
     report format; NULL is missing, not the text ``none``.
     """
     folded = sorted({t.lower() for t in tokens})
+    whole = r"(?i)^\s*(" + "|".join(re.escape(t) for t in folded) + r")\s*$"     # fails early on long texts
     hits = (
-        string_long(df, cols)
+        string_long(df, cols).where(F.col("value").rlike(whole))
         .select("column", F.lower(F.regexp_replace("value", r"^\s+|\s+$", "")).alias("folded"))
         .where(F.col("folded").isin(folded))
         .groupBy("column", "folded").agg(F.count("*").alias("count"))

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from functools import cached_property, partial, reduce
 from typing import TypeVar
 
@@ -21,8 +20,6 @@ from sparkeda.operators import relate, stats
 LONG = "column string, metric string, value double, label string"
 FACTS = ("missing", "distinct", "moments", "spread", "pairs")
 T = TypeVar("T")
-KEPT_CELLS = 50_000_000
-SPREAD_ROWS = 100_000
 
 
 def _text(label: Column | None) -> Column:
@@ -55,25 +52,6 @@ def stack(frames: list[DataFrame]) -> DataFrame:
 
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """The table for the length of a report: persisted and spread over the cores if it is small.
-
-    Small means at most ``KEPT_CELLS`` cells by a count. A larger table is read again for each kind of
-    statistic, with only the columns that one needs. Lost cache blocks are simply recomputed.
-    """
-    rows = df.count()
-    if rows * len(df.columns) > KEPT_CELLS:
-        yield df
-        return
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    copy = (df.repartition(cores) if rows > SPREAD_ROWS else df).persist()
-    try:
-        yield copy
-    finally:
-        copy.unpersist()
-
-
 def concurrently(df: DataFrame, works: Sequence[Callable[[], T]]) -> list[T | Exception]:
     """Results, or the exceptions raised, of works run as concurrent jobs, which fill cores a single job leaves idle."""
     def attempt(work: Callable[[], T]) -> T | Exception:
@@ -162,8 +140,12 @@ def _quality(facts: Facts) -> DataFrame:
     ])
 
 
-def _statistics(facts: Facts) -> DataFrame:
-    """Description, shape and flags from one moments pass and one quantile pass."""
+SHAPE = ("skewness", "kurtosis", "variance", "highly_skewed", "heavy_tailed")
+DESCRIBED = ("count", "mean", "std", "min", *(f"q{int(p * 100)}" for p in stats.QUARTILES), "max")
+
+
+def _statistics(facts: Facts, more: Sequence[str] = ()) -> DataFrame:
+    """The description of each numeric column from its moments and quartiles, and ``more`` about its shape."""
     every = facts.moments.join(facts.spread.drop("nn"), "column").select(
         "column", F.col("nn").alias("count"), *[round_to(F.col(c), 4).alias(c) for c in ("mean", "std", "min")],
         *[round_to(F.col("q")[i], 4).alias(f"q{int(p * 100)}") for i, p in enumerate(stats.QUARTILES)],
@@ -171,7 +153,7 @@ def _statistics(facts: Facts) -> DataFrame:
         round_to(F.col("kurt"), 3).alias("kurtosis"), round_to(F.col("var"), 3).alias("variance"),
         (F.abs("skew") > 1).cast("double").alias("highly_skewed"),
         (F.abs("kurt") > 3).cast("double").alias("heavy_tailed"))
-    return _values(every, *[c for c in every.columns if c != "column"])
+    return _values(every, *DESCRIBED, *more)
 
 
 def _outliers(facts: Facts) -> DataFrame:
@@ -226,7 +208,7 @@ def _risk(facts: Facts) -> DataFrame:
 
 # The default tasks in priority order.
 TASKS: dict[str, Callable[[Facts], DataFrame]] = {
-    "overview": _overview, "quality": _quality, "statistics": _statistics, "outliers": _outliers,
+    "overview": _overview, "quality": _quality, "statistics": partial(_statistics, more=SHAPE), "outliers": _outliers,
     "correlation": _correlation, "categorical": _categorical, "risk": _risk,
 }
 
@@ -244,9 +226,8 @@ def enterprise_eda(
         return held(build(facts).select(F.lit(name).alias("task"), "column", "metric", "value", "label"))
 
     chosen = dict(tasks or TASKS)
-    with kept(df) as table:
-        facts = Facts(table).gather(*FACTS)
-        results = concurrently(df, [partial(run, facts, name, build) for name, build in chosen.items()])
+    facts = Facts(df).gather(*FACTS)
+    results = concurrently(df, [partial(run, facts, name, build) for name, build in chosen.items()])
     done = [r for r in results if not isinstance(r, Exception)]
     status = [
         (i, name, "failed" if isinstance(r, Exception) else "ok", str(r)[:300] if isinstance(r, Exception) else None)
@@ -258,9 +239,8 @@ def enterprise_eda(
 
 def deep_eda(df: DataFrame) -> DataFrame:
     """``(section, column, metric, value, label)``: overview, cleaning, summary and insights."""
-    with kept(df) as table:
-        facts = Facts(table).gather(*FACTS)
-        return _all_held(facts, _deep_parts(facts), "section")
+    facts = Facts(df).gather(*FACTS)
+    return _all_held(facts, _deep_parts(facts), "section")
 
 
 def _all_held(facts: Facts, parts: list[tuple[str | None, Callable[[], DataFrame]]], named: str | None) -> DataFrame:
@@ -280,7 +260,7 @@ def _deep_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame]]
     df = facts.df
     parts: list[tuple[str | None, Callable[[], DataFrame]]] = [
         ("overview", partial(_overview, facts)), ("cleaning", partial(_quality, facts)),
-        ("summary", partial(_statistics, facts)), ("summary", partial(_outliers, facts)),
+        ("summary", partial(_statistics, facts, SHAPE)), ("summary", partial(_outliers, facts)),
         ("summary", partial(_correlation, facts)), ("insights", lambda: stack(_flat_or_constant(facts))),
     ]
     if string_columns(df):
@@ -299,37 +279,33 @@ def _deep_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame]]
 def profile_context(df: DataFrame, max_described: int = 20) -> DataFrame:
     """``(column, metric, value, label)``: shape, kinds, missing counts and shares, distinct counts, description."""
     names = df.columns[:max_described]
-    gaps = held(qual._missing(df, df.columns).withColumn("missing_pct", percent(F.col("missing"), F.col("rows"))))
-    shape = gaps.agg(F.max("rows").alias("rows"), F.count("*").alias("cols"))
     kinds = df.sparkSession.createDataFrame([(f.name, "kind", None, kind_of(f.dataType)) for f in df.schema], LONG)
-    parts = [
-        _values(shape, "rows", "cols", column=F.lit("*")), _dtype_rows(df), kinds,
-        _values(gaps, "missing", "missing_pct"), _values(qual.nunique(df), "nunique"),
-    ]
-    if numeric_columns(df, names):
-        parts.append(_values(stats.describe_numeric(df, names), "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
-    if string_columns(df, names):
-        parts.append(melt(stats.describe_categorical(df, names),
-                          {"count": "value", "unique": "value", "top": "label", "freq": "value"}))
-    return stack(parts)
+    facts = Facts(df).gather("missing", "distinct", "moments", "spread")
+    gaps = facts.missing.withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
+    shape = gaps.agg(F.max("rows").alias("rows"), F.count("*").alias("cols"))
+    texts = string_columns(df, names)
+    return _all_held(facts, [
+        (None, lambda: stack([_values(shape, "rows", "cols", column=F.lit("*")), _dtype_rows(df), kinds])),
+        (None, lambda: stack([_values(gaps, "missing", "missing_pct"), _values(facts.distinct, "nunique")])),
+        (None, lambda: _statistics(facts).where(F.col("column").isin(names))),
+        (None, lambda: melt(stats.describe_categorical(df, texts), {
+            "count": "value", "unique": "value", "top": "label", "freq": "value"})),
+    ], None)
 
 
 def data_report(df: DataFrame) -> DataFrame:
     """``(column, metric, value, label)`` of the chat report: shape, size, types, missing, numbers, first texts."""
-    size = qual.estimated_bytes(df).agg(F.sum("bytes").alias("bytes"))
-    shape = df.agg(F.count("*").alias("rows")).select("rows", F.lit(len(df.columns)).alias("cols"))
-    rows = F.col("rows")
-    missing = qual._missing(df, df.columns).where("missing > 0").select(
-        "column", "missing", percent(F.col("missing"), rows, 1).alias("missing_pct"))
-    parts = [
-        _values(shape, "rows", "cols", column=F.lit("*")), _values(size, "bytes", column=F.lit("*")), _type_rows(df),
-        _values(missing, "missing", "missing_pct"),
-    ]
-    if numeric_columns(df):
-        parts.append(_values(stats.describe_numeric(df), "count", "mean", "std", "min", "q25", "q50", "q75", "max"))
-    if string_columns(df):
-        parts.append(_values(cat.cardinality_summary(df), "nunique"))
-    return stack(parts)
+    facts = Facts(df).gather("missing", "moments", "spread")
+    shape = facts.missing.agg(F.max("rows").alias("rows"), F.count("*").alias("cols"))
+    gaps = facts.missing.where("missing > 0").withColumn(
+        "missing_pct", percent(F.col("missing"), F.col("rows"), 1))
+    return _all_held(facts, [
+        (None, lambda: stack([_values(shape, "rows", "cols", column=F.lit("*")), _type_rows(df)])),
+        (None, lambda: _values(qual.estimated_bytes(df).agg(F.sum("bytes").alias("bytes")), "bytes",
+                               column=F.lit("*"))),
+        (None, lambda: stack([_values(gaps, "missing", "missing_pct"), _statistics(facts)])),
+        (None, lambda: _values(cat.cardinality_summary(df), "nunique")),
+    ], None)
 
 
 def report_lines(report: DataFrame, title: str) -> DataFrame:
@@ -406,9 +382,8 @@ def column_report(df: DataFrame) -> DataFrame:
     Associations are Pearson r between numbers, the correlation ratio of a number by a text
     column, and the uncertainty coefficient between text columns.
     """
-    with kept(df) as table:
-        facts = Facts(table).gather(*FACTS)
-        return _all_held(facts, _column_parts(facts), None)
+    facts = Facts(df).gather(*FACTS)
+    return _all_held(facts, _column_parts(facts), None)
 
 
 def _column_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame]]]:
@@ -427,7 +402,7 @@ def _column_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame
         (None, lambda: linked(uncertainty(df), "uncertainty")),
     ]
     if numeric_columns(df):
-        parts.append((None, partial(_statistics, facts)))
+        parts.append((None, partial(_statistics, facts, SHAPE)))
     if string_columns(df):
         parts.append((None, lambda: melt(stats.describe_categorical(df), {"top": "label", "freq": "value"})))
     return parts
