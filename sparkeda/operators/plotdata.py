@@ -93,12 +93,12 @@ def kde(
     power: list[Column] = [F.exp(-u * u / 2)]
     for k in range(1, terms):
         power.append(power[-1] * u / F.lit(float(k)))
+    middle = F.col("a") + (F.col("cell") + 0.5) * F.col("bw") / 2
     cells = (
         long.join(F.broadcast(shape), "column").withColumn("cell", cell)
-        .withColumn("mid", F.col("a") + (F.col("cell") + 0.5) * F.col("bw") / 2)
-        .withColumn("u", (F.col("value") - F.col("mid")) / F.col("bw"))
-        .groupBy("column", "cell", "nn", "bw", "start", "step", "mid")
-        .agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(power)])
+        .withColumn("u", (F.col("value") - middle) / F.col("bw"))
+        .groupBy("column", "cell").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(power)])
+        .join(F.broadcast(shape), "column").withColumn("mid", middle)
     )
 
     def index(x: Column) -> Column:
