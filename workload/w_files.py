@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkeda.operators import catalog as cat
 from sparkeda.plans import reports
 from sparkeda.sources import files
-from workload.common import DERIVED, Registry, load
+from workload.common import DERIVED, Registry, load, rnd
 from workload.w_search import hits_sql
 
 R = Registry()
@@ -73,4 +73,16 @@ def enterprise_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 R.add("write_report", markdown)
 R.add("write_enterprise_report", enterprise_markdown)
-R.add("write_search_report", search_report)
+_score = """(CASE WHEN contains(lower(title), 'the') THEN 2.0 ELSE 0 END)
+    + (CASE WHEN contains(lower(description), 'the') THEN 1.0 ELSE 0 END)
+    + log10(CAST(stars AS DOUBLE) + 1.0) / 10 + (CASE WHEN description <> 'No description' THEN 0.5 ELSE 0 END)"""
+R.add("write_search_report", search_report, f"""
+    WITH h AS ({hits_sql('none')}),
+    f AS (SELECT *, {rnd(_score, 4)} AS score FROM (SELECT * FROM h ORDER BY source, position, title, url LIMIT 20)),
+    b AS (SELECT *, row_number() OVER (ORDER BY score DESC, source, position, title, url) AS rank FROM f)
+    SELECT '# Dataset Search Report' AS value UNION ALL SELECT '**Query:** the'
+    UNION ALL SELECT '**Total Results:** ' || count(*) FROM h
+    UNION ALL SELECT '## Sources Searched:' UNION ALL SELECT '## Top Recommendations:'
+    UNION ALL SELECT '- ' || d.source || ': ' || count(h.source) || ' results'
+    FROM (SELECT DISTINCT source FROM documents) d LEFT JOIN h ON d.source = h.source GROUP BY d.source
+    UNION ALL SELECT rank || '. ' || title || ' (' || source || ')' FROM b WHERE rank <= 5""")
