@@ -81,8 +81,8 @@ def kde(
 
     A fast Gauss transform: rows are summed into cells half a bandwidth wide, each holding
     the first moments of its values around the cell's middle, and every cell then adds its
-    series to the grid points within reach. The sum over all rows is exact to about 1e-14 of
-    the peak, while only cells, never rows times points, leave the scan.
+    series to the grid points within reach. The series is cut below 1e-14 of the peak; summing
+    many rows in doubles leaves about 1e-12. Only cells, never rows times points, leave the scan.
     """
     names = numeric_columns(df, cols)[:max_cols]
     long = numeric_long(df, names)
