@@ -35,18 +35,18 @@ def _rules_sql() -> str:
 OP6_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
-             list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 g AS (SELECT rid, i, list_extract(ws, i) || ' ' || list_extract(ws, i + 1) || ' ' || list_extract(ws, i + 2) AS g
       FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY rid),
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words,
-             coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+             coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
              length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
              coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-             len(list_filter(ws, x -> lower(x) IN ({_sql_list(' '.join(quality_rules.STOP_WORDS.values()))}))) AS n_stop,
-             len(list_filter(ws, x -> regexp_matches(x, '\p{{L}}'))) AS n_letter_words
+             len(list_filter(ws, lambda x: lower(x) IN ({_sql_list(' '.join(quality_rules.STOP_WORDS.values()))}))) AS n_stop,
+             len(list_filter(ws, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_letter_words
       FROM w LEFT JOIN c USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
