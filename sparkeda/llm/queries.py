@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm import quality_rules
+from sparkeda.llm import chat, fingerprints, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -54,3 +54,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f
 """
 R.add("op6_quality_rules", op6, OP6_SQL)
+
+
+#: A conversation whose texts imitate the template, added to the table's own.
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    given = load(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
+    return chat.digests(chat.format_paths(chat.as_chain(given.unionByName(planted))))
+
+
+# A turn takes "### ", the role, ": ", the text and " </turn>" with a line feed: 15 code points more than role and text. The
+# escapes add one for each backslash, for each # after two others and for each closing mark in a text.
+OP9_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}'),
+e AS (SELECT *, 15 + length(role) + length(t) + length(regexp_replace(t, '[^\\]+', '', 'g'))
+             + coalesce(list_sum(list_transform(regexp_extract_all(t, '#{{3,}}'), lambda x: length(x) - 2)), 0)
+             + (length(t) - length(replace(t, '</turn>', ''))) // 7 AS shown FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role)) AS turns_sha256,
+       coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(shown)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+R.add("op9_chat_formatting", op9, OP9_SQL)
+
+
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.compare_edits(load(spark, d, "documents"))
+
+
+R.add("op1_document_fingerprints", op1)
