@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm import chat, fingerprints, quality_rules
+from sparkeda.llm import chat, fingerprints, line_dedup, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -91,3 +91,28 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 
 
 R.add("op1_document_fingerprints", op1)
+
+
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    return line_dedup.dedup(load(spark, d, "documents"))
+
+
+OP7_SQL = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
+f AS (SELECT line, length(line) AS n, min((doc_id, no)) AS first FROM l
+      WHERE length(trim(line, ' ')) >= {line_dedup.MIN_CHARS} GROUP BY line),
+later AS (SELECT DISTINCT b.line FROM f a JOIN f b ON a.n = b.n AND a.first < b.first AND levenshtein(a.line, b.line) <= 4
+          WHERE len(list_filter(range(1, a.n + 1), lambda i: substr(a.line, i, 1) <> substr(b.line, i, 1))) = 1
+          UNION
+          SELECT DISTINCT CASE WHEN a.first < b.first THEN b.line ELSE a.line END
+          FROM f a JOIN f b ON a.n = b.n + 1 AND levenshtein(a.line, b.line) <= 4
+          WHERE len(list_filter(range(0, a.n), lambda i: substr(a.line, 1, i) = substr(b.line, 1, i)
+                                                   AND substr(a.line, i + 2) = substr(b.line, i + 1))) > 0),
+s AS (SELECT l.doc_id, l.no, l.line, f.line IS NULL OR (f.first = (l.doc_id, l.no) AND later.line IS NULL) AS stays
+      FROM l LEFT JOIN f USING (line) LEFT JOIN later USING (line))
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE NOT stays))::BIGINT AS n_dropped,
+       coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '') AS text
+FROM s GROUP BY doc_id
+"""
+R.add("op7_line_dedup", op7, OP7_SQL)
