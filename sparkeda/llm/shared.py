@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,23 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """``df``, after this folder's code has been sent to the executors, once per application, for functions that run in Python."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in [root / "__init__.py", *sorted(Path(__file__).parent.glob("*.py"))]:
+                z.write(source, source.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+        _SHIPPED.add(sc.applicationId)
+    return df
+
+
 def vocabulary(name: str) -> str:
     """Place of a public tokenizer's file."""
     import public_tokenizers
