@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm import chat, fingerprints, line_dedup, quality_rules
+from sparkeda.llm import bpe, chat, fingerprints, line_dedup, packing, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -116,3 +116,17 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE NOT stays)):
 FROM s GROUP BY doc_id
 """
 R.add("op7_line_dedup", op7, OP7_SQL)
+
+
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(load(spark, d, "documents"))
+
+
+R.add("op2_best_fit_packing", op2)
+
+
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.digests(bpe.encode(load(spark, d, "documents")))
+
+
+R.add("op4_bpe_encoding_decoding", op4)

@@ -11,7 +11,7 @@ REMEMBERED = 300_000
 #: Code points taken at a time, so that lists of stretches stay small whatever the batch.
 AT_ONCE = 2_000_000
 
-_LOADED: dict[tuple, tuple] = {}
+_LOADED: dict[tuple, object] = {}
 
 
 def load(path: str):
@@ -32,6 +32,13 @@ def remembered(path: str, what: str, make: Callable) -> tuple:
     return _LOADED[path, what]
 
 
+def table_of(path: str, build: Callable) -> list:
+    """What ``build`` makes of the tokenizer, once in a worker process."""
+    if (path, build.__name__) not in _LOADED:
+        _LOADED[path, build.__name__] = build(load(path))
+    return _LOADED[path, build.__name__]
+
+
 def known(stretches: Iterable[str], tokenizer, memory: dict, make: Callable) -> dict:
     """Results of all the stretches; new ones are encoded in one call and remembered while there is room."""
     distinct = set(stretches)
