@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm import bpe, chat, fingerprints, line_dedup, packing, quality_rules
+from sparkeda.llm import bpe, chat, fingerprints, lang_id, line_dedup, packing, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -130,3 +130,10 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 
 
 R.add("op4_bpe_encoding_decoding", op4)
+
+
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return lang_id.identify(load(spark, d, "documents"))
+
+
+R.add("op8_language_id", op8)
