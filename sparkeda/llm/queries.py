@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm import bpe, chat, fingerprints, lang_id, line_dedup, packing, quality_rules
+from sparkeda.llm import bpe, chat, fingerprints, lang_id, line_dedup, lm_score, packing, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -137,3 +137,10 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
 
 R.add("op8_language_id", op8)
+
+
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return lm_score.score_held_out(load(spark, d, "documents"))
+
+
+R.add("op10_lm_scoring", op10)
