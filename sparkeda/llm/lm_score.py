@@ -1,4 +1,7 @@
-"""LM scoring: the marginal probability of a text over all ways to cut its words into pieces of a vocabulary."""
+"""LM scoring: the marginal probability of a text over all ways to cut its words into pieces of a vocabulary.
+
+A word that was learned is a piece of its own in its lattice, beside the pieces of the vocabulary.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ from sparkeda.llm.shared import keep, lot, ship, vocabulary
 #: Mark of a word's start in the vocabulary; a literal one in a text is spelt in bytes.
 START, LITERAL = 0x2581, 0x110000
 #: Rounds of re-estimating the piece probabilities, from the vocabulary's own scores on.
-ROUNDS = 2
+ROUNDS = 3
 #: Expected count that every piece has beforehand, so that no text is impossible.
 PRIOR = 0.01
 #: Words with at least one in so many of all training tokens are hot: there can be no more of them than this.
@@ -225,7 +228,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn_pieces(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """(natural log-probability of each piece, of the end) from words with their counts.
+    """(natural log-probability of each piece, of the end where a new token begins) from words with their counts.
 
     Each round weighs all segmentations of each word by the present probabilities, the first by the vocabulary's own scores,
     and counts what is expected. Tasks send one row per piece, so a round shuffles the vocabulary, not the words.
@@ -233,7 +236,7 @@ def learn_pieces(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS)
     lat = lattice(path)
     logp = lat.first
     spark = counts.sparkSession
-    end = math.log(0.5)
+    starts = np.array([i for p, i in lat.piece.items() if p[0] == chr(START)], np.int64)
     for _ in range(rounds):
         held = spark.sparkContext.broadcast(logp)
 
@@ -250,16 +253,19 @@ def learn_pieces(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS)
         n[seen["piece"].to_numpy(np.int64)] += seen["n"].to_numpy()
         whole = n.sum() + ends + PRIOR
         logp = np.log(n / whole, where=n > 0, out=np.full(lat.size, _NONE))
-        end = math.log((ends + PRIOR) / whole)
-    return logp, end
+    begin = np.exp(logp[starts]).sum()
+    stop = 1.0 - np.exp(logp[np.isfinite(logp)]).sum()
+    return logp, math.log(stop / (begin + stop))
 
 
 def score(docs: DataFrame, learns: Column, vocabulary_path: str | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score): one row per row of ``docs``; null text is empty.
 
     ``learns`` marks the rows that counts and piece probabilities come from. ``score`` is the log10 probability of the whole text:
-    its words one after the other, each marginal over all its segmentations, then an end. A piece sequence is drawn piece by
-    piece, so the probabilities of all texts add up to at most 1. ``base_score`` is the add-one word model.
+    its words one after the other, each marginal over all its segmentations, then an end. With N tokens of K kinds learned, the
+    arc of the whole word weighs count / (N + K), the segmentations into pieces together K / (N + K) of their share among all
+    words; the end likewise. So the probabilities of all tokens add up to 1, those of unseen words included. ``base_score`` is the
+    add-one word model, which gives every unseen word the same.
 
     Hot words, whose number has a bound, go to every task; the other words of a text are one row each, meet their count and
     probability in a join and are summed up by text. Rows equal in id and text are scored once and returned as often.
@@ -271,13 +277,19 @@ def score(docs: DataFrame, learns: Column, vocabulary_path: str | None = None, k
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     ends = rows.agg(F.count_if("learns").alias("n")).first()["n"]
     tokens, distinct = sums["n"] + ends, sums["v"] + (1 if ends else 0)
-    logp, end = learn_pieces(counts, ends, path)
-    shared = docs.sparkSession.sparkContext.broadcast((logp, end))
+    logp, stop = learn_pieces(counts, ends, path)
+    kinds = distinct or 1
+    spread, every = math.log(kinds), math.log(tokens + kinds)
+    shared = docs.sparkSession.sparkContext.broadcast(logp)
     scale = math.log10(math.e)
+    last = math.log10((ends + kinds * math.exp(stop)) / (tokens + kinds))
 
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = lattice(path).marginals(batch.column("word").to_pylist(), shared.value[0]) * scale
+            pieces = lattice(path).marginals(batch.column("word").to_pylist(), shared.value)
+            with np.errstate(divide="ignore"):
+                arc = np.log(batch.column("c").to_numpy().astype(float))
+            found = (np.logaddexp(arc, pieces + spread) - every) * scale
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(found)], ["word", "c", "lp"])
 
     known = keep(counts.select("word", "c").mapInArrow(marginal, "word binary, c long, lp double"))
@@ -294,7 +306,7 @@ def score(docs: DataFrame, learns: Column, vocabulary_path: str | None = None, k
             at, word, n, n_tokens, n_known, base_sum, score_sum, sums_ = [], [], [], [], [], [], [], []
             for i, text in enumerate(batch.column("text")):
                 mine = Counter(words(text.as_py()))
-                total, sure, b, s = 1, int(ends > 0), math.log10(ends + 1) - below, shared.value[1] * scale
+                total, sure, b, s = 1, int(ends > 0), math.log10(ends + 1) - below, last
                 rare = []
                 for w, k in mine.items():
                     total += k
