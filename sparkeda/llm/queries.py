@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm import bpe, chat, fingerprints, lang_id, line_dedup, lm_score, packing, quality_rules
+from sparkeda.llm import bpe, chat, fingerprints, html_main, lang_id, line_dedup, lm_score, packing, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -144,3 +144,10 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
 
 
 R.add("op10_lm_scoring", op10)
+
+
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return html_main.extract(load(spark, d, "pages"))
+
+
+R.add("op5_html_extraction", op5)
