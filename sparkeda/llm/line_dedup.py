@@ -140,11 +140,11 @@ def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Each row of ``docs`` with its text less the lines that repeat: (doc_id, n_lines, n_dropped, text, then ``carry``).
+    """Each row of ``docs`` with its text less the lines that repeat: (doc_id, n_lines, n_dropped, n_long, text, then ``carry``).
 
     A line of at least ``MIN_CHARS`` code points, blanks at its ends aside, goes if an earlier line is equal or one edit away;
-    earlier goes by (doc_id, hash of the text, place in the text). All others stay in order, joined by a line feed. Rows equal
-    in id and text count as one document, null texts are empty and have one empty line, a null id sorts first. What stays of a
+    earlier goes by (doc_id, hash of the text, place in the text). All others stay in order, joined by a line feed; ``n_long``
+    counts the long ones among them. Rows equal in id and text count as one document, null texts are empty and have one empty line, a null id sorts first. What stays of a
     document is found by its id, so a line that stands in a third of all documents never meets in one task.
     """
     carry = carry or []
@@ -161,4 +161,5 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: list[
         "left", F.transform("at", lambda i: F.get("all", i)))
     return left.select(
         "doc_id", F.size("all").cast("bigint").alias("n_lines"), (F.size("all") - F.size("left")).cast("bigint").alias("n_dropped"),
+        F.size("kept").cast("bigint").alias("n_long"),
         F.array_join("left", "\n").alias("text"), *(F.col("rest")[c].alias(c) for c in carry))

@@ -72,18 +72,14 @@ def _repeated(words: Column) -> Column:
         _let(_let(places(h), again), covered)))
 
 
-def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop, n_letter_words), all long.
-
-    One row per row of ``docs``, repeated ones too; null text counts as empty and gives zeros.
-    """
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``text``, not null) without the text and with the counts."""
     stops = sorted({w for line in STOP_WORDS.values() for w in line.split()})
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD))
-    whole = texts(docs, key, text)
     long = lambda c: c.cast("bigint")
-    return whole.withColumns({"words": words, "lines": lines}).select(
-        "doc_id",
+    return rows.withColumns({"words": words, "lines": lines}).select(
+        *(c for c in rows.columns if c != "text"),
         long(F.size("words")).alias("n_words"),
         F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + F.length(w)).alias("word_chars"),
         long(F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", ""))).alias("n_symbols"),
@@ -95,6 +91,14 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
+def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop, n_letter_words), all long.
+
+    One row per row of ``docs``, repeated ones too; null text counts as empty and gives zeros.
+    """
+    return _counted(texts(docs, key, text))
+
+
 def measures() -> dict[str, Column]:
     """Name to expression over the columns of ``counts``; a ratio without a base is null and passes no bound."""
     def over(a: str, b: str) -> Column:
@@ -124,10 +128,19 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return passed
 
 
+def _failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The columns of ``counts`` plus base_failed (too short or too repetitive) and kept.
 
     Null and empty texts fail, an empty table gives an empty table, and other columns of ``docs`` are not read.
     """
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return counts(docs, key, text).withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)})
+    return counts(docs, key, text).withColumns({"base_failed": _failed(), "kept": ~_failed() & verdict(rules)})
+
+
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``apply_rules`` keeps, with all their columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return _counted(rows).filter(~_failed() & verdict(rules)).select("row.*")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkeda.llm import bpe, chat, fingerprints, html_main, lang_id, line_dedup, lm_score, packing, quality_rules
+import corpus_pipeline
+from sparkeda.llm import bpe, chat, fingerprints, html_main, lang_id, line_dedup, lm_score, near_dup, packing, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -94,7 +95,7 @@ R.add("op1_document_fingerprints", op1)
 
 
 def op7(spark: SparkSession, d: str) -> DataFrame:
-    return line_dedup.dedup(load(spark, d, "documents"))
+    return line_dedup.dedup(load(spark, d, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 OP7_SQL = f"""
@@ -151,3 +152,12 @@ def op5(spark: SparkSession, d: str) -> DataFrame:
 
 
 R.add("op5_html_extraction", op5)
+
+
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.classes(load(spark, d, "documents"))
+
+
+R.add("op3_minhash_near_dedup", op3)
+
+R.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)

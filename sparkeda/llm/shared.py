@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run without blank, tab, line feed, vertical tab, form feed and carriage return.
@@ -23,18 +23,23 @@ def lot(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder: it survives lost executors and is not computed again.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, shared by all executors: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. A temporary one is set only in a one-process session that has
-    none, as in tests.
+    A temporary one is set only in a one-process session that has none, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder: it survives lost executors and is not computed again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
