@@ -21,10 +21,6 @@ LEAF = 16_384
 WINDOW = 64
 
 
-def _as_bytes(_, ids: list[int]) -> bytes:
-    return np.asarray(ids, np.int32).tobytes()
-
-
 def byte_table(tokenizer) -> list[bytes]:
     """Bytes of each id of a byte-level vocabulary, whose characters each stand for one byte.
 
@@ -126,7 +122,7 @@ def _encoded(df: DataFrame, path: str) -> DataFrame:
     names = [c for c in df.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = tokens.remembered(path, "ids", _as_bytes)
+        state = tokens.remembered(path, tokens.encode_each)
         for batch in batches:
             whole = batch.column("text").to_pylist()
             for a, b in tokens.blocks(whole):
@@ -165,7 +161,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, wind
     dealt = _encoded(parts.repartition("doc_id", "h", "part"), path)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        library, _, _ = tokens.remembered(path, "ids", _as_bytes)
+        library, *_ = tokens.remembered(path, tokens.encode_each)
         table = tokens.table_of(path, byte_table)
         copies = int((rows["part"] == 0).sum())
         ordered = rows.drop_duplicates("part").sort_values("part")

@@ -6,10 +6,15 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
-#: Stretches remembered by a Python worker. The bound keeps memory flat; a stretch beyond it is encoded again when met again.
+import numpy as np
+
+#: Stretches remembered by a Python worker, at about 200 bytes each. The bound keeps memory flat; a stretch beyond it is
+#: encoded again when met again.
 REMEMBERED = 300_000
 #: Code points taken at a time, so that lists of stretches stay small whatever the batch.
 AT_ONCE = 2_000_000
+#: Stretches that are encoded as one text.
+JOINED = 500
 
 _LOADED: dict[tuple, object] = {}
 
@@ -25,11 +30,33 @@ def load(path: str):
     return tokenizer
 
 
-def remembered(path: str, what: str, make: Callable) -> tuple:
-    """(tokenizer, memory) of this worker process, shared by its tasks. ``make`` turns an encoding's ids into what is kept."""
-    if (path, what) not in _LOADED:
-        _LOADED[path, what] = (load(path), {}, make)
-    return _LOADED[path, what]
+def remembered(path: str, encode: Callable) -> tuple:
+    """(tokenizer, memory, encode) of this worker process, shared by its tasks. ``encode`` gives each of many stretches its ids."""
+    if (path, encode.__name__) not in _LOADED:
+        _LOADED[path, encode.__name__] = (load(path), {}, encode)
+    return _LOADED[path, encode.__name__]
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
+def encode_each(tokenizer, stretches: list[str]) -> list[bytes]:
+    """Ids of each stretch, as bytes of four each."""
+    return [as_bytes(e.ids) for e in tokenizer.encode_batch(stretches, add_special_tokens=False)]
+
+
+def encode_joined(tokenizer, stretches: list[str]) -> list[bytes]:
+    """The same for a tokenizer that drops white space: many stretches as one text, cut where the next one starts."""
+    out: list[bytes] = []
+    for a in range(0, len(stretches), JOINED):
+        part = stretches[a:a + JOINED]
+        made = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids = as_bytes(made.ids)
+        begins = np.fromiter((o[0] for o in made.offsets), np.int64, len(made.ids))
+        ends = np.searchsorted(begins, np.cumsum([len(s) + 1 for s in part]), side="left") * 4
+        out += [ids[b:e] for b, e in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    return out
 
 
 def table_of(path: str, build: Callable) -> list:
@@ -39,15 +66,16 @@ def table_of(path: str, build: Callable) -> list:
     return _LOADED[path, build.__name__]
 
 
-def known(stretches: Iterable[str], tokenizer, memory: dict, make: Callable) -> dict:
-    """Results of all the stretches; new ones are encoded in one call and remembered while there is room."""
+def known(stretches: Iterable[str], tokenizer, memory: dict, encode: Callable, room: int | None = None) -> dict:
+    """Ids of all the stretches; new ones are encoded together and remembered while there is room."""
     distinct = set(stretches)
     fresh = [s for s in distinct if s not in memory]
-    made = dict(zip(fresh, (make(tokenizer, e.ids) for e in tokenizer.encode_batch(fresh, add_special_tokens=False)))) if fresh else {}
-    if len(memory) + len(made) <= REMEMBERED:
+    made = dict(zip(fresh, encode(tokenizer, fresh)))
+    room = REMEMBERED if room is None else room
+    if len(memory) + len(made) <= room:
         memory.update(made)
         return memory
-    for s in fresh[:max(0, REMEMBERED - len(memory))]:
+    for s in fresh[:max(0, room - len(memory))]:
         memory[s] = made[s]
     made.update((s, memory[s]) for s in distinct if s in memory)
     return made

@@ -3,6 +3,8 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from sparkeda.llm import packing as p
 from sparkeda.llm import tokens
@@ -39,16 +41,27 @@ def test_whole_texts(odd, odd_rows):
     check_places(rows, 4096)
 
 
-def test_memory_of_stretches_is_bounded(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+def test_memory_of_stretches_is_bounded():
     library, memory = tokens.load(vocabulary("word_bpe_49k.json")), {}
     for text in ("a b c d", "d e f a", "a a g"):
         parts = tokens.bare_stretches(text)
-        found = tokens.known(parts, library, memory, p._as_bytes)
-        assert b"".join(found[s] for s in parts) == p._as_bytes(None, library.encode(text, add_special_tokens=False).ids)
+        found = tokens.known(parts, library, memory, tokens.encode_joined, room=3)
+        assert b"".join(found[s] for s in parts) == tokens.as_bytes(library.encode(text, add_special_tokens=False).ids)
         assert len(memory) <= 3
 
 
+PARTS = ["a", "The", "ÉÉ", "e\u0301", "\u0301", "İ", "ΑΣ", ".", "'s", "12", "🙂", "日本", "<|endoftext|>", "<|ENDOFTEXT|>", "\t", "\xa0", "\x1c", "가", "ﬁ"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), min_size=1, max_size=5).map("".join), max_size=30))
+def test_joined_stretches(stretches, library=tokens.load(vocabulary("word_bpe_49k.json"))):  # noqa: B008 - loaded once
+    assert tokens.encode_joined(library, stretches) == tokens.encode_each(library, stretches)
+    text = " ".join(stretches)
+    assert b"".join(tokens.encode_each(library, tokens.bare_stretches(text))) == tokens.as_bytes(
+        library.encode(text, add_special_tokens=False).ids)
+
+
 def test_as_few_sequences_as_can_be(spark):
     rng = random.Random(3)
     lengths = np.array([rng.choice((rng.randint(1, 40), rng.randint(1, 100))) for _ in range(3000)])
