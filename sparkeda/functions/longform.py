@@ -20,6 +20,11 @@ def empty_like(df: DataFrame, ddl: str) -> DataFrame:
     return df.sparkSession.createDataFrame([], ddl)
 
 
+def every_column(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(column)``: one row per name, to join statistics to so that columns without a value stay."""
+    return df.sparkSession.createDataFrame([(c,) for c in names], "column string")
+
+
 def _unpivot(df: DataFrame, cols: Sequence[str], value_type: str) -> DataFrame:
     if not cols:
         return empty_like(df, f"column string, value {value_type}")

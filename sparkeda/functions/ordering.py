@@ -1,70 +1,63 @@
 """Exact order statistics and running totals without a one-task sort.
 
-A window over a whole column, and the built-in exact percentile, both end in one task
-that holds every distinct value of the column. That is fine up to ``ONE_TASK_ROWS`` rows
-(``ONE_TASK_CELLS`` values), which is checked by a count. Beyond it the value axis is cut
-into ranges first:
-
-1. cut points are values picked by a hash of the value itself, about ``RANGES`` per
-   column. Picking by hash samples *distinct* values evenly, so a range holds about the
-   same number of distinct values however skewed the rows are, and any recomputation
-   of a lost task picks the same cuts. Cuts steer the work only; any cuts give the
-   same answer.
-2. rows are counted per (column, range), combined map-side: at most RANGES rows per
-   column leave the scan.
+The value axis of a column is cut into ranges first, at every size and by one plan:
+
+1. cut points are the values whose hash falls on one in ``EVERY``. That samples *distinct* values evenly, so a range
+   holds about ``EVERY`` distinct values whatever the number of rows and however skewed they are, and the number of
+   ranges grows with the distinct values. Nothing is counted while the plan is built, and a lost task that runs again
+   picks the same cuts. Cuts steer the work only; any cuts give the same answer.
+2. rows are counted per (column, range), combined map-side: at most one row per range and task leaves the scan.
 3. only ranges that matter are opened, as (value, count) pairs, so one hot value is one row.
+
+The cuts go to every task. They are one in ``EVERY`` of the distinct values, 8 bytes each for numbers and at most
+``PREFIX`` characters for texts: 32 MB for 10 ** 12 distinct numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkeda.functions.kinds import numeric_columns, present
+from sparkeda.functions.kinds import numeric_columns
 from sparkeda.functions.longform import empty_like, numeric_long
 
-RANGES = 4096
-MOST_RANGES = 16_000
-ONE_TASK_ROWS = 4_000_000
-ONE_TASK_CELLS = 8_000_000
-_STEPS = [8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
+EVERY = 1 << 18
+PREFIX = 64
 
 
 def with_slot(df: DataFrame) -> DataFrame:
     """Add ``slot``: how many of the sorted ``cuts`` are <= ``value``.
 
-    A binary search as a chain of projections, which stays inside whole-stage codegen
-    (a higher-order function would be interpreted for every row).
+    A binary search as one fold over the bits of the answer, as many as the number of cuts needs: none where there are no
+    cuts. (A chain of projections would be compiled, but the optimizer may fold it into one expression that doubles with
+    every step.)
     """
-    keep = [c for c in df.columns if c != "cuts"]
-    found = F.lit(0)
-    for step in _STEPS:
-        probe = F.get(F.col("cuts"), found + F.lit(step - 1))
-        df = df.select(*keep, "cuts", (found + F.when(probe <= F.col("value"), step).otherwise(0)).alias("slot"))
-        found = F.col("slot")
-    return df.drop("cuts")
+    bits = F.ceil(F.log2(F.size("cuts") + F.lit(1))).cast("int")
+    found = F.aggregate(
+        F.transform(F.sequence(bits - 1, F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftleft", F.lit(1), k)), F.lit(0),
+        lambda at, step: at + F.when(F.get("cuts", at + step - 1) <= F.col("value"), step).otherwise(0))
+    return df.withColumn("slot", F.when(F.size("cuts") > 0, found).otherwise(0)).drop("cuts")
 
 
-def value_cuts(long: DataFrame, rows: int, ranges: int = RANGES) -> DataFrame:
+def value_cuts(long: DataFrame, every: int | None = None) -> DataFrame:
     """``(column, cuts)``: sorted cut values per column, at most one row per column.
 
-    ``long`` is ``(column, value)`` and ``rows`` bounds the distinct values of a column.
+    ``long`` is ``(column, value)``. Of a text only a prefix cuts; values with that prefix follow the cut.
     """
-    keep_every = max(1, rows // ranges)
+    text = long.schema["value"].dataType.simpleString() == "string"
+    cut = F.left("value", F.lit(PREFIX)) if text else F.col("value")
     picked = (
-        long.where(F.pmod(F.xxhash64("value", F.lit(17)), F.lit(keep_every)) == 0)
-        .select("column", "value").distinct()
+        long.select("column", cut.alias("value"))
+        .where(F.pmod(F.xxhash64("value", F.lit(17)), F.lit(every or EVERY)) == 0).distinct()
     )
     return picked.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("cuts"))
 
 
-def place(long: DataFrame, rows: int, ranges: int | None = None) -> DataFrame:
+def place(long: DataFrame, every: int | None = None) -> DataFrame:
     """Add ``slot``, the range each value falls into. The cuts hold one row per column."""
-    return with_slot(long.join(F.broadcast(value_cuts(long, rows, ranges or RANGES)), "column", "left"))
+    return with_slot(long.join(F.broadcast(value_cuts(long, every)), "column", "left"))
 
 
 def _asks(nn: Column, probs: Sequence[float]) -> Column:
@@ -80,9 +73,9 @@ def _asks(nn: Column, probs: Sequence[float]) -> Column:
     return F.array(*asks)
 
 
-def _ranked_by_ranges(long: DataFrame, probs: Sequence[float], rows: int) -> DataFrame:
-    placed = place(long, rows)
-    whole = W.partitionBy("column")                     # at most RANGES rows per column
+def _ranked(long: DataFrame, probs: Sequence[float], every: int | None) -> DataFrame:
+    placed = place(long, every)
+    whole = W.partitionBy("column")                     # one row per range of a column
     asks = (
         placed.groupBy("column", "slot").agg(F.count("*").alias("held"))
         .withColumn("upto", F.sum("held").over(whole.orderBy("slot")))
@@ -103,8 +96,18 @@ def _ranked_by_ranges(long: DataFrame, probs: Sequence[float], rows: int) -> Dat
     )
 
 
-def _quantiles_by_ranges(long: DataFrame, probs: Sequence[float], rows: int) -> DataFrame:
-    ranked = _ranked_by_ranges(long, probs, rows)
+def exact_quantiles(
+    df: DataFrame, cols: Sequence[str] | None, probs: Sequence[float], every: int | None = None
+) -> DataFrame:
+    """``(column, nn, q)`` with ``q`` the linearly interpolated quantiles in ``probs`` order.
+
+    Exact at any size. The columns are read three times and only the ranges that hold a wanted rank are shuffled.
+    Columns without a value are absent.
+    """
+    names = numeric_columns(df, cols)
+    if not names:
+        return empty_like(df, "column string, nn long, q array<double>")
+    ranked = _ranked(numeric_long(df, names), probs, every)
     below, above = (F.max(F.when((F.col("side") == s), F.col("value"))) for s in (0, 1))
     return (
         ranked.groupBy("column", "i").agg(
@@ -118,61 +121,25 @@ def _quantiles_by_ranges(long: DataFrame, probs: Sequence[float], rows: int) ->
     )
 
 
-def _quantiles_built_in(df: DataFrame, names: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """One aggregate per column: each ends in a task of its own and reads only its column."""
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    parts = []
-    for c in names:
-        value = present(df, c).cast("double")
-        parts.append(df.agg(
-            F.lit(c).alias("column"), F.count(value).alias("nn"), F.percentile(value, wanted).alias("q")))
-    return reduce(DataFrame.unionByName, parts).where(F.col("nn") > 0)
-
-
-def exact_quantiles(
-    df: DataFrame, cols: Sequence[str] | None, probs: Sequence[float], one_task_cells: int = ONE_TASK_CELLS
-) -> DataFrame:
-    """``(column, nn, q)`` with ``q`` the linearly interpolated quantiles in ``probs`` order.
-
-    Exact at any size. Up to ``one_task_cells`` values (a counted bound) the built-in
-    aggregate does it; above, the columns are read three times and only the ranges that
-    hold a wanted rank are shuffled. Columns without a value are absent.
-    """
-    names = numeric_columns(df, cols)
-    if not names:
-        return empty_like(df, "column string, nn long, q array<double>")
-    rows = df.count()
-    if rows * len(names) <= one_task_cells:
-        return _quantiles_built_in(df, names, probs)
-    return _quantiles_by_ranges(numeric_long(df, names), probs, rows)
-
-
 def running_totals(
-    counted: DataFrame, measures: Sequence[str], rows: int,
-    descending: bool = False, one_task_rows: int = ONE_TASK_ROWS,
+    counted: DataFrame, measures: Sequence[str], descending: bool = False, every: int | None = None
 ) -> DataFrame:
     """Add ``<m>_before`` for each measure: its total over all values of the column that come first.
 
     ``counted`` is ``(column, value, <measures>)`` with one row per value, so a heavily
-    repeated value weighs one row; ``rows`` bounds the values of a column.
+    repeated value weighs one row.
     """
     value_order = F.col("value").desc() if descending else F.col("value").asc()
-    if rows <= one_task_rows:
-        before = W.partitionBy("column").orderBy(value_order).rowsBetween(W.unboundedPreceding, -1)
-        return counted.withColumns({
-            f"{m}_before": F.coalesce(F.sum(m).over(before), F.lit(0)) for m in measures
-        })
-    placed = place(counted, rows, max(RANGES, min(MOST_RANGES, rows // ONE_TASK_ROWS)))
+    placed = place(counted, every)
     slot_order = F.col("slot").desc() if descending else F.col("slot").asc()
     over_slots = W.partitionBy("column").orderBy(slot_order).rowsBetween(W.unboundedPreceding, -1)
     bases = placed.groupBy("column", "slot").agg(*[F.sum(m).alias(m) for m in measures]).select(
         "column", "slot", *[F.coalesce(F.sum(m).over(over_slots), F.lit(0)).alias(f"{m}_base") for m in measures],
-    )
+    )                                                   # one row per column and range
     inside = W.partitionBy("column", "slot").orderBy(value_order).rowsBetween(W.unboundedPreceding, -1)
     return (
-        placed.join(F.broadcast(bases), ["column", "slot"])   # one row per column and range
-        .withColumns({
-            f"{m}_before": F.col(f"{m}_base") + F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures
-        })
-        .drop("slot", *[f"{m}_base" for m in measures])
+        placed.withColumns({f"{m}_inside": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
+        .join(bases, ["column", "slot"])
+        .withColumns({f"{m}_before": F.col(f"{m}_base") + F.col(f"{m}_inside") for m in measures})
+        .drop("slot", *[f"{m}_{x}" for m in measures for x in ("base", "inside")])
     )

@@ -17,9 +17,7 @@ from sparkeda.functions.kinds import round_to
 # Texts for a hit without a title or description, and the cuts of the listing.
 NO_DESCRIPTION = "No description"
 DESCRIPTION_CHARS = 200
-QUERIES_RUN = 2
-RELATED_TERMS = 5
-RANKED_FROM, RANKED_TO = 20, 15
+RANKED_TO = 15
 
 
 def _has(query: Column) -> Column:
@@ -52,34 +50,37 @@ def normal_query(label: Column) -> Column:
     return F.replace(F.replace(F.lower(label), F.lit(" & "), F.lit(" ")), F.lit("&"), F.lit(""))
 
 
-def expand_query(queries: DataFrame, terms: DataFrame, most: int = RELATED_TERMS, run: int = QUERIES_RUN) -> DataFrame:
-    """``(query, position, term, runs)``: the query itself, then its best related terms.
+def expand_query(queries: DataFrame, terms: DataFrame, most: int | None = None, run: int | None = None) -> DataFrame:
+    """``(query, position, term, runs)``: the query itself, then its related terms, best first.
 
-    ``queries`` is ``(query)``; ``terms`` is ``(term, related, weight)``. Only the first ``run``
-    positions are searched. Terms are ranked per query after a per-task cut to ``most``.
+    ``queries`` is ``(query)``; ``terms`` is ``(term, related, weight)``. ``most`` keeps that many terms a query (a per-task cut
+    comes first) and ``run`` marks that many positions to be searched; by default all are kept and all run.
     """
     asked = queries.select(normal_query(F.col("query")).alias("query")).distinct()
     best = W.partitionBy("query").orderBy(F.desc("weight"), "related")
     related = (
         asked.join(terms.withColumn("query", F.lower("term")).select("query", "related", "weight"), "query")
         .where(F.lower("related") != F.col("query"))
-        .withColumn("position", F.row_number().over(best).cast("long")).where(F.col("position") <= most)
-        .select("query", "position", F.col("related").alias("term"))
+        .withColumn("position", F.row_number().over(best).cast("long"))
     )
+    if most is not None:
+        related = related.where(F.col("position") <= most)
+    related = related.select("query", "position", F.col("related").alias("term"))
+    runs = F.lit(True) if run is None else F.col("position") < run
     return asked.select("query", F.lit(0).cast("long").alias("position"), F.col("query").alias("term")).unionByName(
-        related).withColumn("runs", F.col("position") < run)
+        related).withColumn("runs", runs)
 
 
 def search_all(
     catalog: DataFrame, queries: Sequence[str], per_source: int = 10, list_sources: Sequence[str] = ()
 ) -> DataFrame:
-    """Hits of every source: ``per_source // 2`` for each of the first two queries, repeats kept, then cut.
+    """Hits of every source: ``per_source // 2`` for each query, repeats kept.
 
-    ``list_sources`` are searched with the first query only and are not cut; as nothing ranks
-    their hits, these have no position. Adds ``position`` within the source and the 0-based
+    ``per_source`` is the page size of a source. ``list_sources`` are searched with the first query only and are not cut; as
+    nothing ranks their hits, these have no position. Adds ``position`` within the source and the 0-based
     ``query_no``.
     """
-    runs = list(queries)[:QUERIES_RUN]
+    runs = list(queries)
     matched = F.filter(
         F.array(*[F.when(_has(F.lit(q)), F.lit(i).cast("long")) for i, q in enumerate(runs)]), lambda i: i.isNotNull())
     shown = [_short().alias(c) if c == "description" else F.col(c) for c in catalog.columns]
@@ -90,7 +91,7 @@ def search_all(
     capped = (
         hits.where(~listed).withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= per_source // 2)
         .withColumn("position", F.row_number().over(W.partitionBy("source").orderBy("query_no", "rank")).cast("long"))
-        .where(F.col("position") <= per_source).drop("rank")
+        .drop("rank")
     )
     if not list_sources:
         return capped
@@ -111,14 +112,11 @@ def _relevance(query: str) -> Column:
     return round_to(score + F.log10(stars + 1.0) / 10 + told, 4)
 
 
-def rank_results(hits: DataFrame, query: str, pool: int = RANKED_FROM, most: int = RANKED_TO) -> DataFrame:
-    """The ``most`` most relevant among the first ``pool`` hits in source order, with ``score`` and ``rank``."""
-    first = hits.orderBy("source", "position", "title", "url").limit(pool)     # at most pool rows from here on
-    best = W.orderBy(F.desc("score"), "source", "position", "title", "url")
-    return (
-        first.withColumn("score", _relevance(query)).withColumn("rank", F.row_number().over(best).cast("long"))
-        .where(F.col("rank") <= most)
-    )
+def rank_results(hits: DataFrame, query: str, most: int = RANKED_TO) -> DataFrame:
+    """The ``most`` most relevant of all hits, with ``score`` and ``rank``; only that many rows per task move."""
+    order = [F.desc("score"), F.asc("source"), F.asc("position"), F.asc("title"), F.asc("url")]
+    best = hits.withColumn("score", _relevance(query)).orderBy(*order).limit(most)
+    return best.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
 def source_counts(hits: DataFrame, sources: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ DATETIME_FORMATS = {
     "MMM dd, yyyy": r"^[A-Za-z]{3} \d{2}, \d{4}$",
     "yyyyMMdd": r"^\d{8}$",
 }
-NUMBER_START = r"^\s*[-+.0-9nNiI]"
+NUMBER = r"^\s*[-+]?((\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|(?i:nan|inf|infinity))\s*$"
 
 
 def value_totals(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -165,7 +165,7 @@ def dtype_suggestions(
     if not names:
         return df.limit(0).select(F.lit("").alias("column"), F.lit("").alias("suggestion"))
     text = F.col("value")
-    number = F.when(text.rlike(NUMBER_START), F.trim(text).try_cast("double"))
+    number = F.when(text.rlike(NUMBER), F.trim(text).try_cast("double"))
     moment = F.coalesce(*[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(f))) for f, shape in formats.items()])
     parses = string_long(df, names, keep_null=True).groupBy("column").agg(
         F.count_if(F.col("value").isNotNull() & number.isNull()).alias("not_number"),
@@ -181,9 +181,9 @@ def dtype_suggestions(
         "column", advice.alias("suggestion")).where(F.col("suggestion").isNotNull())
 
 
-def cardinality_summary(df: DataFrame, first: int = 5) -> DataFrame:
-    """Distinct counts of the first string columns."""
-    names = string_columns(df)[:first]
+def cardinality_summary(df: DataFrame) -> DataFrame:
+    """Distinct counts of the string columns."""
+    names = string_columns(df)
     return _distinct(df, names, None)
 
 

@@ -95,16 +95,17 @@ def interaction_terms(df: DataFrame, pairs: Sequence[tuple[str, str]] | None = N
     return df.withColumns({f"{a}_x_{b}": _number(df, a) * _number(df, b) for a, b in pairs}) if pairs else df
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], most: int = 1000) -> DataFrame:
+def one_hot(df: DataFrame, cols: Sequence[str], most: int | None = None) -> DataFrame:
     """Replaces each column by 0/1 columns ``<c>_<value>``, one per value, none dropped.
 
-    The values name the output columns, so there may be at most ``most`` of them; a column
-    with more belongs in ``training.prepare_features``, which encodes to a vector.
+    The values name the output columns, so they come to the driver as the schema does; a caller who wants no more than
+    ``most`` columns says so and gets an error beyond. ``training.prepare_features`` encodes to a vector instead.
     """
     out: list[Column] = [quoted(c) for c in df.columns if c not in cols]
     for c in cols:
-        values = df.select(quoted(c).alias("v")).where("v IS NOT NULL").distinct().orderBy("v").limit(most + 1).collect()
-        if len(values) > most:
+        values = df.select(quoted(c).alias("v")).where("v IS NOT NULL").distinct().orderBy("v")
+        values = (values if most is None else values.limit(most + 1)).collect()
+        if most is not None and len(values) > most:
             raise ValueError(f"{c} has more than {most} values; encode it to a vector instead")
         out += [F.coalesce((quoted(c) == F.lit(r["v"])).cast("int"), F.lit(0)).alias(f"{c}_{r['v']}") for r in values]
     return df.select(*out)
@@ -118,7 +119,7 @@ def label_encode(df: DataFrame, col: str) -> DataFrame:
     few and splits when one of them is hot.
     """
     values = df.select(F.lit(col).alias("column"), quoted(col).alias("value")).where("value IS NOT NULL").distinct()
-    coded = running_totals(values.withColumn("one", F.lit(1).cast("long")), ["one"], df.count()).select(
+    coded = running_totals(values.withColumn("one", F.lit(1).cast("long")), ["one"]).select(
         F.col("value").alias("__value"), F.col("one_before").alias(f"{col}_code"))
     return df.join(coded, quoted(col) == F.col("__value"), "left").drop("__value")
 

@@ -66,7 +66,7 @@ def _by_score(pred: DataFrame, label: str, score: str, positive: Column) -> Data
 
 def roc_auc(pred: DataFrame, label: str, score: str, positive: str) -> DataFrame:
     """One row ``auc``: chance that a positive outscores a negative, ties counting half."""
-    groups = running_totals(_by_score(pred, label, score, F.lit(positive)), ["neg"], pred.count())
+    groups = running_totals(_by_score(pred, label, score, F.lit(positive)), ["neg"])
     won = F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return groups.agg(F.try_divide(won, pairs).alias("auc"))
@@ -75,7 +75,7 @@ def roc_auc(pred: DataFrame, label: str, score: str, positive: str) -> DataFrame
 def roc_curve(pred: DataFrame, label: str, score: str, positive: str, digits: int = 6) -> DataFrame:
     """``(threshold, tpr, fpr)``: rates when scores at or above the threshold count as positive."""
     groups = running_totals(
-        _by_score(pred, label, score, F.lit(positive)), ["pos", "neg"], pred.count(), descending=True)
+        _by_score(pred, label, score, F.lit(positive)), ["pos", "neg"], descending=True)
     whole = _by_score(pred, label, score, F.lit(positive)).agg(
         F.sum("pos").alias("p"), F.sum("neg").alias("n")).select(F.struct("*")).scalar()
     return groups.select(

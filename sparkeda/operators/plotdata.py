@@ -24,14 +24,14 @@ BINS = 30
 RUN = 1 << 20
 
 
-def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = BINS, max_cols: int = 8) -> DataFrame:
+def histogram(df: DataFrame, cols: Sequence[str] | None = None, bins: int = BINS) -> DataFrame:
     """``(column, bin, lo, hi, count)``: equal-width bins over [min, max], the last one closed.
 
-    A constant column gets [x - 0.5, x + 0.5]. Empty bins are listed. A value that the
+    A constant column gets [x - 0.5, x + 0.5]. Infinite values have no bin and are left out. Empty bins are listed. A value that the
     division puts on the wrong side of a bin edge is moved to the bin the edge says.
     """
-    names = numeric_columns(df, cols)[:max_cols]
-    long = numeric_long(df, names)
+    names = numeric_columns(df, cols)
+    long = numeric_long(df, names).where(~F.col("value").isin(float("inf"), float("-inf")))
     flat = F.col("a") == F.col("b")
     ends = long.groupBy("column").agg(F.min("value").alias("a"), F.max("value").alias("b")).select(
         "column",
@@ -75,7 +75,7 @@ def _bandwidths(long: DataFrame, cut: float, points: int) -> DataFrame:
 
 def kde(
     df: DataFrame, cols: Sequence[str] | None = None, points: int = 200, cut: float = 3.0,
-    max_cols: int = 8, digits: int = 8,
+    digits: int = 8,
 ) -> DataFrame:
     """``(column, point, x, density)``: Gaussian kernel density with Scott's bandwidth on a grid.
 
@@ -84,7 +84,7 @@ def kde(
     series to the grid points within reach. The series is cut below 1e-14 of the peak; summing
     many rows in doubles leaves about 1e-12. Only cells, never rows times points, leave the scan.
     """
-    names = numeric_columns(df, cols)[:max_cols]
+    names = numeric_columns(df, cols)
     long = numeric_long(df, names)
     shape = _bandwidths(long, cut, points)
     terms, reach = 14, 8.5
@@ -125,9 +125,9 @@ def kde(
         round_to(F.coalesce("d", F.lit(0.0)), digits).alias("density"))
 
 
-def box_stats(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 8, digits: int = 4) -> DataFrame:
+def box_stats(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """``(column, q25, q50, q75, whisker_lo, whisker_hi, fliers)`` of each box."""
-    names = numeric_columns(df, cols)[:max_cols]
+    names = numeric_columns(df, cols)
     bounds = iqr_bounds(df, names)
     inside = F.col("value").between(F.col("lower"), F.col("upper"))
     spans = (
@@ -143,23 +143,23 @@ def box_stats(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int =
         round_to(low, digits).alias("whisker_lo"), round_to(high, digits).alias("whisker_hi"), "fliers")
 
 
-def violin(df: DataFrame, cols: Sequence[str] | None = None, points: int = 100, max_cols: int = 6) -> DataFrame:
+def violin(df: DataFrame, cols: Sequence[str] | None = None, points: int = 100) -> DataFrame:
     """Density outline (cut at two bandwidths) with the quartiles of each column."""
-    names = numeric_columns(df, cols)[:max_cols]
-    quartiles = box_stats(df, names, max_cols).select("column", "q25", "q50", "q75")
-    return kde(df, names, points, 2.0, max_cols).join(F.broadcast(quartiles), "column")
+    names = numeric_columns(df, cols)
+    quartiles = box_stats(df, names).select("column", "q25", "q50", "q75")
+    return kde(df, names, points, 2.0).join(F.broadcast(quartiles), "column")
 
 
-def qq_points(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 4) -> DataFrame:
+def qq_points(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``(column, rank, theoretical, value)``: every ordered value against its normal median.
 
     Ranks come from running totals over distinct values; a value repeated more than ``RUN``
     times is spread over tasks in runs before its ranks are written out.
     """
-    names = numeric_columns(df, cols)[:max_cols]
+    names = numeric_columns(df, cols)
     counted = numeric_long(df, names).groupBy("column", "value").agg(F.count("*").alias("times"))
     sizes = counted.groupBy("column").agg(F.sum("times").alias("nn"))
-    ranked = running_totals(counted, ["times"], df.count()).join(F.broadcast(sizes), "column")
+    ranked = running_totals(counted, ["times"]).join(F.broadcast(sizes), "column")
     span = ranked.select("column", "value", "nn", (F.col("times_before") + 1).alias("from"),
                          (F.col("times_before") + F.col("times")).alias("to"))
     usual = span.where(F.col("to") - F.col("from") < RUN)
@@ -183,10 +183,10 @@ def qq_points(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int =
     )
 
 
-def qq_line(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 4) -> DataFrame:
+def qq_line(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``(column, n, slope, intercept, r)``: the least-squares line through the QQ points."""
     x, y = "theoretical", "value"
-    sums = qq_points(df, cols, max_cols).groupBy("column").agg(
+    sums = qq_points(df, cols).groupBy("column").agg(
         F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.covar_pop(x, y).alias("c"),
         F.var_pop(x).alias("vx"), F.stddev_pop(y).alias("sy"))
     slope = F.try_divide(F.col("c"), F.col("vx"))
@@ -196,14 +196,14 @@ def qq_line(df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 4)
         round_to(F.try_divide(F.col("c"), F.sqrt("vx") * F.col("sy")), 6).alias("r"))
 
 
-def bar_counts(df: DataFrame, cols: Sequence[str] | None = None, k: int = 15, max_cols: int = 6) -> DataFrame:
-    """Top values of the first string columns."""
-    return value_counts(df, string_columns(df, cols)[:max_cols], k)
+def bar_counts(df: DataFrame, cols: Sequence[str] | None = None, k: int = 15) -> DataFrame:
+    """Top values of the string columns."""
+    return value_counts(df, string_columns(df, cols), k)
 
 
-def pie_shares(df: DataFrame, cols: Sequence[str] | None = None, most: int = 8, max_cols: int = 4) -> DataFrame:
+def pie_shares(df: DataFrame, cols: Sequence[str] | None = None, most: int = 8) -> DataFrame:
     """``(column, value, count, share_pct)`` of string columns with at most ``most`` values."""
-    totals = value_totals(df, narrow_columns(df, string_columns(df, cols)[:max_cols], most))
+    totals = value_totals(df, narrow_columns(df, string_columns(df, cols), most))
     sums = totals.groupBy("column").agg(F.count("*").alias("classes"), F.sum("count").alias("n")).where(
         F.col("classes") <= most)
     return totals.join(F.broadcast(sums), "column").select(
@@ -229,10 +229,8 @@ def scatter_sample(df: DataFrame, key: str, cols: Sequence[str] | None = None, p
 
 
 def pairplot_sample(df: DataFrame, key: str, cols: Sequence[str] | None = None, k: int = 500) -> DataFrame:
-    """At most ``k`` complete rows of the numeric columns, when there are two to five of them."""
+    """At most ``k`` complete rows of the numeric columns, however many there are."""
     names = numeric_columns(df, cols)
-    if not 2 <= len(names) <= 5:
-        return df.select(*[quoted(c) for c in names]).limit(0)
     return complete_sample(df, names, key, k)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import present, quoted, round_to
-from sparkeda.functions.ordering import ONE_TASK_ROWS, value_cuts, with_slot
+from sparkeda.functions.ordering import value_cuts, with_slot
 
 SEASONS = {"month": F.month, "weekday": F.weekday, "quarter": F.quarter, "hour": F.hour}
 
@@ -91,12 +91,12 @@ def line_series(df: DataFrame, order_by: str, col: str, points: int = 200) -> Da
 
 def rolling_mean(
     df: DataFrame, by: str, order_by: str, key: str, col: str, window: int,
-    digits: int = 4, one_task_rows: int = ONE_TASK_ROWS,
+    digits: int = 4, every: int | None = None,
 ) -> DataFrame:
     """``(by, key, order_by, value, rolling)``: mean of the last ``window`` rows per group.
 
     Row order is ``order_by`` then the unique ``key``. A group may hold a third of a large
-    table, so above ``one_task_rows`` rows the time axis is cut into ranges: each
+    table, so the time axis is cut into ranges of about ``every`` times: each
     (group, range) is a window of its own and starts with the last ``window - 1`` rows of
     the ranges before it.
     """
@@ -104,15 +104,10 @@ def rolling_mean(
         quoted(by).alias(by), quoted(order_by).alias(order_by), quoted(key).alias(key),
         present(df, col).cast("double").alias("value"),
     )
-    total = df.count()
     out = [by, key, order_by, "value"]
-    if total <= one_task_rows:
-        frame = W.partitionBy(by).orderBy(order_by, key).rowsBetween(1 - window, 0)
-        return rows.select(*out, round_to(F.avg("value").over(frame), digits).alias("rolling"))
-
     place = F.struct(order_by, key)                       # unique, so equal times can be cut as well
     axis = rows.select(F.lit("axis").alias("column"), place.alias("value"))
-    cuts = value_cuts(axis, total).select("cuts").scalar()
+    cuts = value_cuts(axis, every).select("cuts").scalar()
     keyed = rows.withColumnRenamed("value", "x").select("*", place.alias("value"), cuts.alias("cuts"))
     cut = with_slot(keyed).drop("value").withColumnRenamed("x", "value")
     newest = W.partitionBy(by, "slot").orderBy(F.col(order_by).desc(), F.col(key).desc())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import numeric_columns, percent, present, quoted, round_to, string_columns
-from sparkeda.functions.longform import empty_like, numeric_long, string_long
+from sparkeda.functions.longform import empty_like, every_column, numeric_long, string_long
 from sparkeda.functions.normal import shapiro_wilk
 from sparkeda.functions.ordering import exact_quantiles
 
@@ -23,10 +23,10 @@ def _v() -> Column:
 
 
 def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """``(column, nn, mean, std, pstd, var, min, max, skew, kurt)``, one pass for all columns.
+    """``(column, nn, mean, std, pstd, var, min, max, skew, kurt)``, one pass and one row for every numeric column.
 
     Skew and kurtosis carry the bias correction; both are NULL for too few values and
-    for a constant column.
+    for a constant column. A column without a value has nn 0 and NULL elsewhere.
     """
     n, g1, g2 = F.col("nn").cast("double"), F.col("g1"), F.col("g2")
     raw = numeric_long(df, cols).groupBy("column").agg(
@@ -38,8 +38,8 @@ def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     varies = F.col("max") > F.col("min")
     skew = F.when((n > 2) & varies, g1 * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when((n > 3) & varies, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-    return raw.select(
-        "column", "nn", "mean", F.sqrt("var").alias("std"), "pstd", "var", "min", "max",
+    return every_column(df, numeric_columns(df, cols)).join(raw, "column", "left").select(
+        "column", F.coalesce("nn", F.lit(0)).cast("long").alias("nn"), "mean", F.sqrt("var").alias("std"), "pstd", "var", "min", "max",
         skew.alias("skew"), kurt.alias("kurt"),
     )
 
@@ -47,7 +47,7 @@ def moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 4) -> DataFrame:
     """``(column, count, mean, std, min, q25, q50, q75, max)`` with exact quartiles."""
     spread = exact_quantiles(df, cols, QUARTILES).drop("nn")
-    joined = moments(df, cols).join(spread, "column")
+    joined = moments(df, cols).join(spread, "column", "left")
     return joined.select(
         "column", F.col("nn").alias("count"),
         *[round_to(F.col(c), digits).alias(c) for c in ("mean", "std", "min")],
@@ -60,9 +60,9 @@ def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> Da
     """``(column, count, unique, top, freq)`` per string column; ties go to the smaller value."""
     counted = string_long(df, cols).groupBy("column", "value").agg(F.count("*").alias("times"))
     best = F.min(F.struct((-F.col("times")).alias("neg"), "value"))
-    return counted.groupBy("column").agg(
-        F.sum("times").alias("count"), F.count("*").alias("unique"), best.alias("best"),
-    ).select("column", "count", "unique", F.col("best.value").alias("top"), (-F.col("best.neg")).alias("freq"))
+    found = counted.groupBy("column").agg(F.sum("times").alias("count"), F.count("*").alias("unique"), best.alias("best"))
+    return every_column(df, string_columns(df, cols)).join(found, "column", "left").select(
+        "column", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("count", "unique")), F.col("best.value").alias("top"), (-F.col("best.neg")).alias("freq"))
 
 
 def describe_all(df: DataFrame, max_cols: int | None = None, digits: int = 4) -> DataFrame:
@@ -93,7 +93,7 @@ def heavy_tails(df: DataFrame, cols: Sequence[str] | None = None, limit: float =
 
 def variance_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     middle = exact_quantiles(df, cols, [0.5]).select("column", F.col("q")[0].alias("q50"))
-    return moments(df, cols).join(middle, "column").select(
+    return moments(df, cols).join(middle, "column", "left").select(
         "column", round_to(F.col("var"), 3).alias("variance"), round_to(F.col("q50"), 4).alias("median"))
 
 
@@ -188,31 +188,43 @@ def normality_moments(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
 
 
 def normality_shapiro(
-    df: DataFrame, cols: Sequence[str] | None = None, max_cols: int = 10, least: int = 8, most: int = 5000
+    df: DataFrame, cols: Sequence[str] | None = None, least: int = 8, most: int = 5000
 ) -> DataFrame:
-    """Shapiro-Wilk ``(column, n, statistic, p_value, is_normal)`` of the first numeric columns.
+    """``(column, n, method, statistic, p_value, is_normal)``, one row for every numeric column.
 
-    Only columns with ``least`` to ``most`` values take part, so a group holds at most
-    ``most`` values; longer columns are dropped before any row is shuffled.
+    Columns with ``least`` to ``most`` values take the Shapiro-Wilk test, which is defined for these, so a group holds at most
+    ``most`` values; rows of other columns are not shuffled. Longer columns take the test of the moments (``jarque_bera``).
+    For fewer values (``too_few``) and a single value (``constant``) there is no test.
     """
-    names = numeric_columns(df, cols)[:max_cols]
+    names = numeric_columns(df, cols)
     if not names:
-        return empty_like(df, "column string, n long, statistic double, p_value double, is_normal boolean")
+        return empty_like(df, "column string, n long, method string, statistic double, p_value double, is_normal boolean")
     long = numeric_long(df, names)
-    fit = long.groupBy("column").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
+    size = every_column(df, names).join(long.groupBy("column").agg(
+        F.count("*").alias("n"), (F.max("value") > F.min("value")).alias("varies")), "column", "left").select(
+        "column", F.coalesce("n", F.lit(0)).cast("long").alias("size"), F.coalesce("varies", F.lit(False)).alias("varies"))
+    fit = size.where(F.col("size").between(least, most) & F.col("varies"))
 
     def test(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         w, p = shapiro_wilk(part["value"].to_numpy())
-        if not math.isfinite(w):
-            return pd.DataFrame({"column": [], "n": [], "statistic": [], "p_value": [], "is_normal": []})
-        return pd.DataFrame({
+        row = pd.DataFrame({
             "column": [key[0]], "n": [len(part)], "statistic": [round(w, 4)],
             "p_value": [round(p, 6)], "is_normal": [bool(p > 0.05)],
         })
+        return row if math.isfinite(w) else row.iloc[:0]
 
     kept = long.join(F.broadcast(fit.select("column")), "column", "left_semi")
-    return kept.groupBy("column").applyInPandas(
-        test, "column string, n long, statistic double, p_value double, is_normal boolean")
+    tested = kept.groupBy("column").applyInPandas(
+        test, "column string, n long, statistic double, p_value double, is_normal boolean").drop("n")
+    large = normality_moments(df, names).select(
+        "column", F.col("jb").alias("l_statistic"), F.col("p_value").alias("l_p"), F.col("is_normal").alias("l_normal"))
+    long_column = F.col("size") > most
+    method = (F.when(F.col("size") < least, "too_few").when(~F.col("varies"), "constant").when(long_column, "jarque_bera")
+              .otherwise("shapiro_wilk"))
+    return size.join(tested, "column", "left").join(large, "column", "left").select(
+        "column", F.col("size").alias("n"), method.alias("method"),
+        *(F.when(long_column, F.col(b)).otherwise(F.col(a)).alias(a)
+          for a, b in (("statistic", "l_statistic"), ("p_value", "l_p"), ("is_normal", "l_normal"))))
 
 
 def normality_ks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -225,7 +237,7 @@ def normality_ks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     from sparkeda.functions.ordering import running_totals
 
     counted = numeric_long(df, cols).groupBy("column", "value").agg(F.count("*").alias("times"))
-    ranked = running_totals(counted, ["times"], df.count())
+    ranked = running_totals(counted, ["times"])
     scale = moments(df, cols).where("std > 0").select("column", "nn", "mean", "std")
     cdf = normal_cdf((F.col("value") - F.col("mean")) / F.col("std"))
     n = F.col("nn").cast("double")

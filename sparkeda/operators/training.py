@@ -96,8 +96,6 @@ def feature_stages(
     if not inputs:
         raise ValueError("no numeric or string feature column is left")
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
-    if task == "classification":
-        stages.append(StringIndexer(inputCol="__target", outputCol=LABEL, stringOrderType="alphabetAsc"))
     return Pipeline(stages=stages)
 
 
@@ -127,15 +125,20 @@ def prepare(
     df: DataFrame, target: str, key: str | Sequence[str], task: str | None = None,
     exclude: Sequence[str] = (), test: float = 0.2, seed: int = 123,
 ) -> Prepared:
-    """Split, fit the feature pipeline on the training rows, transform both parts."""
+    """Split, fit the feature pipeline on the training rows only, transform both parts.
+
+    The codes of class labels are fitted apart, over all rows, since labels of either part must be known.
+    """
     if task is None:
         task = detect_task(df, target).first()["task"]
     keys = [key] if isinstance(key, str) else list(key)
     known = _with_target(df, target, task, keys)
     rest = known.where(~drawn(keys, test, seed))
-    fitted = feature_stages(df, target, task, [*exclude, *keys]).fit(
-        rest if task == "regression" else known)      # labels of both parts must be known
+    fitted = feature_stages(df, target, task, [*exclude, *keys]).fit(rest)
     held_out = known.where(drawn(keys, test, seed))
+    if task == "classification":
+        codes = StringIndexer(inputCol="__target", outputCol=LABEL, stringOrderType="alphabetAsc").fit(known.select("__target"))
+        fitted = PipelineModel([*fitted.stages, codes])
     parts = [fitted.transform(p).select(*keys, LABEL, FEATURES) for p in (rest, held_out)]
     labels = list(fitted.stages[-1].labels) if task == "classification" else []
     names = vector_names(parts[0], feature_sources(df, target, [*exclude, *keys]))

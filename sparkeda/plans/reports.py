@@ -146,7 +146,7 @@ DESCRIBED = ("count", "mean", "std", "min", *(f"q{int(p * 100)}" for p in stats.
 
 def _statistics(facts: Facts, more: Sequence[str] = ()) -> DataFrame:
     """The description of each numeric column from its moments and quartiles, and ``more`` about its shape."""
-    every = facts.moments.join(facts.spread.drop("nn"), "column").select(
+    every = facts.moments.join(facts.spread.drop("nn"), "column", "left").select(
         "column", F.col("nn").alias("count"), *[round_to(F.col(c), 4).alias(c) for c in ("mean", "std", "min")],
         *[round_to(F.col("q")[i], 4).alias(f"q{int(p * 100)}") for i, p in enumerate(stats.QUARTILES)],
         round_to(F.col("max"), 4).alias("max"), round_to(F.col("skew"), 3).alias("skewness"),
@@ -276,18 +276,17 @@ def _deep_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame]]
     return parts
 
 
-def profile_context(df: DataFrame, max_described: int = 20) -> DataFrame:
+def profile_context(df: DataFrame) -> DataFrame:
     """``(column, metric, value, label)``: shape, kinds, missing counts and shares, distinct counts, description."""
-    names = df.columns[:max_described]
     kinds = df.sparkSession.createDataFrame([(f.name, "kind", None, kind_of(f.dataType)) for f in df.schema], LONG)
     facts = Facts(df).gather("missing", "distinct", "moments", "spread")
     gaps = facts.missing.withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
     shape = gaps.agg(F.max("rows").alias("rows"), F.count("*").alias("cols"))
-    texts = string_columns(df, names)
+    texts = string_columns(df)
     return _all_held(facts, [
         (None, lambda: stack([_values(shape, "rows", "cols", column=F.lit("*")), _dtype_rows(df), kinds])),
         (None, lambda: stack([_values(gaps, "missing", "missing_pct"), _values(facts.distinct, "nunique")])),
-        (None, lambda: _statistics(facts).where(F.col("column").isin(names))),
+        (None, lambda: _statistics(facts)),
         (None, lambda: melt(stats.describe_categorical(df, texts), {
             "count": "value", "unique": "value", "top": "label", "freq": "value"})),
     ], None)
@@ -308,13 +307,23 @@ def data_report(df: DataFrame) -> DataFrame:
     ], None)
 
 
-def report_lines(report: DataFrame, title: str) -> DataFrame:
-    """``(line_no, line)`` Markdown lines of a long report below its title, by task or section, column and metric."""
-    shown = F.coalesce("label", F.round("value", 4).cast("string"))
+def report_lines(report: DataFrame, title: str, columns: Sequence[str] = (), parts: Sequence[str] = ()) -> DataFrame:
+    """``(line_no, line)`` Markdown lines of a long report below its title, one per finding, ``n/a`` where it has no value.
+
+    Lines follow the order of ``parts`` (by default that of the tasks), the table as a whole before its ``columns`` in their
+    order, then the metric.
+    """
+    def place(names: Sequence[str], of: Column) -> Column:
+        at = F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), of)
+        return F.when(at > 0, at).otherwise(len(names) + 1)
+
+    shown = F.coalesce("label", F.round("value", 4).cast("string"), F.lit("n/a"))
     part = next((c for c in ("task", "section") if c in report.columns), None)
     head = F.concat(F.lit("- "), F.col(part), F.lit(" ")) if part else F.lit("- ")
+    section = place(parts or list(TASKS), F.col(part)) if part else F.lit(0)
+    number = F.lit(2) + section * (len(columns) + 3) + place(["*", *columns], F.col("column"))
     body = report.select(
-        F.lit(2).cast("long").alias("line_no"),
+        number.cast("long").alias("line_no"),
         F.concat(head, F.lit("**"), F.col("column"), F.lit("** "), F.col("metric"), F.lit(": "), shown).alias("line"))
     return report.sparkSession.createDataFrame([(1, f"## {title}")], "line_no long, line string").unionByName(body)
 

@@ -17,15 +17,22 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 FILE_KINDS = {"csv": "csv", "xlsx": "excel", "xls": "excel", "txt": "text", "pdf": "pdf",
               "png": "image", "jpg": "image", "jpeg": "image"}
 TRUTH = ["True", "False", "TRUE", "FALSE", "true", "false"]
+#: A decimal number. Casts alone also take Java's literals, which turn codes like 12D or 0x1p3 into numbers.
+DECIMAL = r"^[-+]?((\d+\.?\d*|\.\d+)([eE][-+]?\d+)?|(?i:inf|infinity))$"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's checkpoint folder, or a temporary one if unset."""
+    """The folder every executor can reach: the cluster's checkpoint folder.
+
+    A temporary one is set only where there is none and the whole session is one process, as in tests.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        wanted = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkeda-")
-        context.setCheckpointDir(wanted)
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if wanted is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(wanted or tempfile.mkdtemp(prefix="sparkeda-"))
         current = context.getCheckpointDir()
     return current
 
@@ -36,18 +43,20 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def read_table(
-    spark: SparkSession, path: str, na_tokens: Sequence[str] = NA_TOKENS, multiline: bool = False
+    spark: SparkSession, path: str, na_tokens: Sequence[str] = NA_TOKENS, multiline: bool = True
 ) -> DataFrame:
     """CSV with header; NA texts become NULL first, types are inferred second.
 
     One pass counts, per column, the values that fail each cast; the narrowest type without a
-    failure wins: long, double, boolean, then text. An all-missing column is a double.
+    failure wins: long, double, boolean, then text. An all-missing column is a double. Quoted values may hold line breaks; a
+    file is then read by one task, so very large files without any are better read with ``multiline=False``.
     """
     raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, escape='"')
     known = raw.select(*[F.when(~quoted(c).isin(list(na_tokens)), quoted(c)).alias(c) for c in raw.columns])
 
     def failures(c: str, dtype: str) -> Column:
-        return F.count_if(quoted(c).isNotNull() & F.trim(quoted(c)).try_cast(dtype).isNull())
+        text = F.trim(quoted(c))
+        return F.count_if(quoted(c).isNotNull() & (text.try_cast(dtype).isNull() | ~text.rlike(DECIMAL)))
 
     tests = []
     for i, c in enumerate(raw.columns):
@@ -81,7 +90,7 @@ def read_text_preview(spark: SparkSession, path: str, n: int = 1000) -> DataFram
 def file_manifest(spark: SparkSession, path: str, by: str = "name_size") -> DataFrame:
     """``(name, extension, kind, bytes)`` of every file below ``path``; the contents are not read.
 
-    A file counts as seen when its name and size (or with ``by='name'`` its name) came before.
+    A file counts as seen when its name and size (or with ``by='name'`` its name) came before, in the order of paths.
     """
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -90,9 +99,10 @@ def file_manifest(spark: SparkSession, path: str, by: str = "name_size") -> Data
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.element_at(F.split(name, r"\."), -1))
     kinds = F.create_map(*[F.lit(x) for pair in FILE_KINDS.items() for x in pair])
-    named = listed.select(name.alias("name"), extension.alias("extension"), F.col("length").alias("bytes"))
+    named = listed.select("path", name.alias("name"), extension.alias("extension"), F.col("length").alias("bytes"))
     keys = ["name", "bytes"] if by == "name_size" else ["name"]
-    return named.withColumn("kind", F.coalesce(kinds[F.col("extension")], F.lit("other"))).dropDuplicates(keys)
+    first = named.groupBy(*keys).agg(F.min(F.struct("path", "extension", "bytes")).alias("first")).select("name", "first.*")
+    return first.select("name", "extension", F.coalesce(kinds[F.col("extension")], F.lit("other")).alias("kind"), "bytes")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
@@ -112,7 +122,7 @@ def export_hits(hits: DataFrame, path: str) -> str:
 def write_report(lines: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write ``(line_no, line)`` as one text file, ordered by number and text; a report is as long as the schema."""
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda s: s["line"])
-    lines.agg(F.array_join(ordered, "\n").alias("value")).coalesce(1).write.mode(mode).text(path)
+    lines.agg(F.array_join(ordered, "\n").alias("value")).write.mode(mode).text(path)
     return path
 
 

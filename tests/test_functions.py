@@ -5,6 +5,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkeda.functions import ordering, tails
@@ -20,18 +21,35 @@ def by_column(frame):
 
 
 def test_quantiles_by_ranges_equal_built_in(lineitem):
-    assert by_column(ordering.exact_quantiles(lineitem, None, PROBS, one_task_cells=0)) == by_column(
-        ordering.exact_quantiles(lineitem, None, PROBS))
+    names = [c for c, t in lineitem.dtypes if t in ("bigint", "int", "double")]
+    built_in = lineitem.agg(*[F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, PROBS))).alias(c) for c in names]).first()
+    for every in (50, None):
+        assert by_column(ordering.exact_quantiles(lineitem, None, PROBS, every)) == {c: (6000, built_in[c]) for c in names}
+
+
+def test_ranges_follow_the_distinct_values(spark):
+    """As many rows of few values make few ranges; a range stays bounded where all values differ."""
+    few = spark.range(200_000).select(F.lit("v").alias("column"), (F.col("id") % 100).cast("double").alias("value"))
+    many = spark.range(200_000).select(F.lit("v").alias("column"), (F.col("id") / 7).alias("value"))
+    for long, most in ((few, 100), (many, 8000)):
+        held = ordering.place(long, 1000).groupBy("slot").agg(F.countDistinct("value").alias("k")).agg(F.max("k"), F.count("*")).first()
+        assert held[0] <= most
+    assert 120 < held[1] < 300
+
+
+def test_a_long_chain_of_quantiles_stays_small(lineitem):
+    plan = ordering.exact_quantiles(lineitem, None, [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
 
 
 @pytest.mark.parametrize("parts", [1, 3, 8])
 def test_quantiles_equal_numpy_with_a_hot_value(spark, parts, monkeypatch):
-    monkeypatch.setattr(ordering, "RANGES", 16)
+    monkeypatch.setattr(ordering, "EVERY", 100)
     rng = np.random.default_rng(7)
     values = np.concatenate([rng.lognormal(0, 3, 2000), np.full(1000, 1.5), [1e18, -1e18]])
     df = spark.createDataFrame([(float(v), None if i % 3 else float(i)) for i, v in enumerate(values)],
                                "v double, w double").repartition(parts)
-    got = by_column(ordering.exact_quantiles(df, None, PROBS, one_task_cells=0))
+    got = by_column(ordering.exact_quantiles(df, None, PROBS))
     assert got["v"][0] == len(values)
     np.testing.assert_allclose(got["v"][1], np.quantile(values, PROBS), rtol=1e-12)
     held = np.array([float(i) for i in range(len(values)) if i % 3 == 0])
@@ -41,13 +59,13 @@ def test_quantiles_equal_numpy_with_a_hot_value(spark, parts, monkeypatch):
 def test_quantiles_of_nothing(spark, messy):
     empty = messy.limit(0)
     assert ordering.exact_quantiles(empty, None, [0.5]).count() == 0
-    got = by_column(ordering.exact_quantiles(messy, ["x", "gone"], [0.5], one_task_cells=0))
+    got = by_column(ordering.exact_quantiles(messy, ["x", "gone"], [0.5], 2))
     assert got == {"x": (6, [2.0])}
 
 
 def test_slots_are_monotone(lineitem):
     long = numeric_long(lineitem, ["l_extendedprice"])
-    spans = ordering.place(long, 6000).groupBy("slot").agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    spans = ordering.place(long, 40).groupBy("slot").agg(F.min("value").alias("a"), F.max("value").alias("b"))
     rows = spans.orderBy("slot").collect()
     assert len(rows) > 100
     assert all(p["b"] < n["a"] for p, n in zip(rows, rows[1:]))
@@ -57,15 +75,16 @@ def test_slots_are_monotone(lineitem):
 def test_running_totals_by_ranges(lineitem, descending):
     counted = numeric_long(lineitem, ["l_quantity", "l_partkey"]).groupBy("column", "value").agg(
         F.count("*").alias("k"), F.sum("value").alias("s"))
-    one = ordering.running_totals(counted, ["k", "s"], 6000, descending)
-    cut = ordering.running_totals(counted, ["k", "s"], 6000, descending, one_task_rows=0)
+    before = W.partitionBy("column").orderBy(F.col("value").desc() if descending else F.col("value")).rowsBetween(W.unboundedPreceding, -1)
+    one = counted.withColumns({f"{m}_before": F.coalesce(F.sum(m).over(before), F.lit(0)) for m in ("k", "s")})
+    cut = ordering.running_totals(counted, ["k", "s"], descending, 40)
     rows = lambda f: sorted((r["column"], r["value"], r["k_before"], round(r["s_before"], 6)) for r in f.collect())
     assert rows(one) == rows(cut)
 
 
 def test_running_totals_of_text(lineitem):
     counted = string_long(lineitem).groupBy("column", "value").agg(F.count("*").alias("k"))
-    cut = ordering.running_totals(counted, ["k"], 6000, one_task_rows=0)
+    cut = ordering.running_totals(counted, ["k"], every=2)
     totals = {}
     for r in sorted(cut.collect(), key=lambda r: (r["column"], r["value"])):
         assert r["k_before"] == totals.get(r["column"], 0)

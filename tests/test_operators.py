@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sparkeda.functions import ordering
 from sparkeda.operators import adhoc, basics, catalog, categorical, chatlog, features, metrics, plotdata, quality
 from sparkeda.operators import relate, series, stats, training
 from sparkeda.plans import reports
@@ -91,9 +92,7 @@ def test_skew_and_kurtosis_match_pandas(events):
 def test_moments_of_few_values(spark, values, skew, kurt):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     rows = stats.moments(df).collect()
-    if not values:
-        assert rows == []
-        return
+    assert [(r["column"], r["nn"]) for r in rows] == [("v", len(values))]
     assert (rows[0]["skew"] is None) == (skew is None)
     assert (rows[0]["kurt"] is None) == (kurt is None)
     if skew:
@@ -123,23 +122,36 @@ def test_correlation_pairwise_and_constant(messy):
     assert got[("id", "flat")] is None and got[("flat", "flat")] is None and got[("x", "x")] == 1.0
 
 
-def test_wide_correlation_equals_pairs(lineitem, messy, monkeypatch):
-    df = lineitem.withColumn("one", F.lit(1)).withColumn("far", F.col("l_tax") * 100 + 1e4)
-    rows = lambda f: {(r["col1"], r["col2"]): (r["n"], r["r"]) for r in f.collect()}
-    plain, gaps = rows(relate.pair_stats(df)), rows(relate.pair_stats(messy))
-    monkeypatch.setattr(relate, "WIDE", 1)
-    wide = rows(relate.pair_stats(df))
-    assert wide.keys() == plain.keys()
-    for k, (n, r) in plain.items():
-        assert wide[k][0] == n and (wide[k][1] == pytest.approx(r, abs=1e-9) if r is not None else wide[k][1] is None)
-    assert rows(relate.pair_stats(messy)) == gaps
+def test_correlation_of_any_width_is_one_scan_of_products(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(size=(400, 60)) + rng.normal(size=(400, 1))
+    data[:, 7], data[:, 8], data[::2, 9], data[1::2, 10] = 5.1, 1e6 + data[:, 8] / 50, np.nan, np.nan
+    data[rng.random(data.shape) < 0.1] = np.nan
+    pdf = pd.DataFrame(data, columns=[f"c{i}" for i in range(60)])
+    df = spark.createDataFrame(pdf)
+    stats_ = relate.pair_stats(df)
+    got = {(r["col1"], r["col2"]): (r["n"], r["r"]) for r in stats_.collect()}
+    want = pdf.corr()
+    assert len(got) == 60 * 59 // 2
+    for (a, b), (n, r) in got.items():
+        assert n == (pdf[a].notna() & pdf[b].notna()).sum()
+        assert (r is None) == (n == 0 or "c7" in (a, b))
+        assert r is None or r == pytest.approx(want.loc[a, b], abs=1e-7)
+    assert got["c9", "c10"] == (0, None)
+    assert relate.pair_stats(df.limit(0)).where("n = 0 AND r IS NULL").count() == 60 * 59 // 2
 
 
 def test_shapiro_takes_columns_of_fitting_size(spark, lineitem):
-    assert stats.normality_shapiro(lineitem).count() == 0        # 6000 rows each
-    few = lineitem.limit(100)
-    assert {r["column"] for r in stats.normality_shapiro(few).collect()} == set(
-        stats.numeric_columns(lineitem))
+    names = set(stats.numeric_columns(lineitem))
+    large = {r["column"]: r for r in stats.normality_shapiro(lineitem).collect()}        # 6000 rows each
+    assert set(large) == names and {r["method"] for r in large.values()} == {"jarque_bera"}
+    moment = {r["column"]: (r["jb"], r["p_value"], r["is_normal"]) for r in stats.normality_moments(lineitem).collect()}
+    assert {c: (r["statistic"], r["p_value"], r["is_normal"]) for c, r in large.items()} == moment
+    few = stats.normality_shapiro(lineitem.limit(100)).collect()
+    assert {r["column"] for r in few if r["method"] == "shapiro_wilk" and r["statistic"] is not None} == names
+    odd = spark.createDataFrame([(1.0, None, float(i)) for i in range(9)], "flat double, gone double, v double")
+    got = {r["column"]: (r["n"], r["method"], r["p_value"] is None) for r in stats.normality_shapiro(odd).collect()}
+    assert got == {"flat": (9, "constant", True), "gone": (0, "too_few", True), "v": (9, "shapiro_wilk", False)}
 
 
 # ---- series ----
@@ -149,12 +161,12 @@ def test_rolling_mean_by_ranges(events):
     hot = events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
     args = (hot, "user_id", "ts", "event_id", "value", 7)
     one = series.rolling_mean(*args)
-    cut = series.rolling_mean(*args, one_task_rows=0)
+    cut = series.rolling_mean(*args, every=20)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, cut.collect()))
 
 
 def test_rolling_mean_of_one(events):
-    out = series.rolling_mean(events, "user_id", "ts", "event_id", "value", 1, one_task_rows=0)
+    out = series.rolling_mean(events, "user_id", "ts", "event_id", "value", 1, every=20)
     assert out.where(F.abs(F.col("rolling") - F.col("value")) > 1e-4).count() == 0
     assert out.count() == events.count()
 
@@ -257,12 +269,16 @@ def test_chi_square_with_empty_cells(spark):
     assert (row["n"], row["dof"], row["statistic"]) == (10, 1, 10.0)
 
 
-def test_one_hot_refuses_wide_columns(lineitem):
+def test_one_hot_of_any_width_unless_asked(lineitem):
+    parts = lineitem.select(F.col("l_partkey").cast("string").alias("k"))
+    assert len(features.one_hot(parts, ["k"]).columns) == parts.distinct().count()
     with pytest.raises(ValueError):
         features.one_hot(lineitem.select(F.col("l_partkey").cast("string").alias("k")), ["k"], most=10)
 
 
-def test_label_encode_by_ranges(lineitem, monkeypatch):
+@pytest.mark.parametrize("every", [3, 1 << 18])
+def test_label_encode_by_ranges(lineitem, monkeypatch, every):
+    monkeypatch.setattr(ordering, "EVERY", every)
     rows = features.label_encode(lineitem.withColumn("k", F.concat(F.lit("p"), "l_partkey")), "k")
     codes = {r["k"]: r["k_code"] for r in rows.select("k", "k_code").distinct().collect()}
     assert [codes[k] for k in sorted(codes)] == list(range(len(codes)))
@@ -275,7 +291,9 @@ def test_scaling_keeps_gaps(messy):
 
 # ---- models ----
 
-def test_auc_by_ranges(spark):
+@pytest.mark.parametrize("every", [3, 1 << 18])
+def test_auc_by_ranges(spark, monkeypatch, every):
+    monkeypatch.setattr(ordering, "EVERY", every)
     rng = np.random.default_rng(5)
     rows = [(int(rng.integers(0, 2)), float(rng.integers(0, 40)) / 10) for _ in range(500)]
     df = spark.createDataFrame(rows, "y int, s double")

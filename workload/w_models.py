@@ -107,12 +107,13 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 R.add("prepare_features", _features, f"""
     WITH t AS (SELECT doc_id, quality, lang, n_chars, len(regexp_split_to_array(text, '\\s+')) AS words,
         len(string_split(text, chr(10))) AS lines FROM labels JOIN documents USING (doc_id)),
-    k AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS code FROM t GROUP BY lang)
-    SELECT doc_id, CASE WHEN substring(md5(concat_ws('|', doc_id, '123')), 1, 8) < '{int(0.2 * 16 ** 8):08x}'
-        THEN 'test' ELSE 'train' END AS split, CAST(quality AS DOUBLE) AS label,
+    s AS (SELECT *, CASE WHEN substring(md5(concat_ws('|', doc_id, '123')), 1, 8) < '{int(0.2 * 16 ** 8):08x}'
+        THEN 'test' ELSE 'train' END AS split FROM t),
+    k AS (SELECT lang, row_number() OVER (ORDER BY count(*) DESC, lang) - 1 AS code FROM s WHERE split = 'train' GROUP BY lang)
+    SELECT doc_id, split, CAST(quality AS DOUBLE) AS label,
       CAST(n_chars AS DOUBLE) AS f0, CAST(words AS DOUBLE) AS f1, CAST(lines AS DOUBLE) AS f2,
       {', '.join(f'CASE WHEN code = {i - 3} THEN 1.0::DOUBLE ELSE 0 END AS f{i}' for i in range(3, SLOTS))}
-    FROM t JOIN k ON t.lang = k.lang""")
+    FROM s JOIN k ON s.lang = k.lang""")
 R.add("train_model", status(lambda p: training.predictions(p, training.train_model(p), ["row_key"])))
 R.add("leaderboard", quality(training.leaderboard))
 R.add("leaderboard_regression", price(training.leaderboard))

@@ -166,7 +166,8 @@ def shapiro_sql(table: str, cols: list[str]) -> str:
             exp(CASE WHEN n <= 11 THEN {poly('n', normal.SMALL_LOG_SD)} ELSE {poly(ln, normal.LARGE_LOG_SD)} END) AS zs
           FROM w),
     q AS (SELECT *, CASE WHEN {z} > 0 THEN {hart} ELSE 1 - {hart} END AS p FROM t)
-    SELECT "column", CAST(n AS BIGINT) AS n, round(w, 4) AS statistic, round(p, 6) AS p_value, p > 0.05 AS is_normal FROM q"""
+    SELECT "column", CAST(n AS BIGINT) AS n, 'shapiro_wilk' AS method, round(w, 4) AS statistic, round(p, 6) AS p_value,
+      p > 0.05 AS is_normal FROM q"""
 
 
 R.add("normality_shapiro", on("supplier", stats.normality_shapiro),

@@ -35,26 +35,34 @@ R.add("expand_query", lambda s, d: cat.expand_query(
     r AS (SELECT q.query, related, row_number() OVER (PARTITION BY q.query ORDER BY weight DESC, related) AS position
           FROM q JOIN t ON q.query = t.query WHERE lower(related) <> q.query)
     SELECT query, CAST(0 AS BIGINT) AS position, query AS term, true AS runs FROM q
+    UNION ALL SELECT query, position, related, true FROM r""")
+R.add("expand_query_few", lambda s, d: cat.expand_query(
+          load(s, d, "part").select(F.col("p_type").alias("query")), _related(s, d), 5, 2), """
+    WITH q AS (SELECT DISTINCT replace(replace(lower(p_type), ' & ', ' '), '&', '') AS query FROM part),
+    t AS (SELECT lower(p_type) AS query, p_name AS related, count(*) AS weight FROM part GROUP BY 1, 2),
+    r AS (SELECT q.query, related, row_number() OVER (PARTITION BY q.query ORDER BY weight DESC, related) AS position
+          FROM q JOIN t ON q.query = t.query WHERE lower(related) <> q.query)
+    SELECT query, CAST(0 AS BIGINT) AS position, query AS term, true AS runs FROM q
     UNION ALL SELECT query, position, related, position < 2 FROM r WHERE position <= 5""")
 
 
-def hits_sql(listed: str = "src19") -> str:
+def hits_sql(listed: str = "src19", queries: tuple[str, ...] = ("the", "der")) -> str:
+    each = " UNION ALL ".join(f"SELECT *, CAST({i} AS BIGINT) AS query_no FROM {C} WHERE {_has(q)}" for i, q in enumerate(queries))
     return f"""
     SELECT h.* EXCLUDE (rank) REPLACE ({_short} AS description),
       row_number() OVER (PARTITION BY source ORDER BY query_no, rank) AS position FROM (
         SELECT *, row_number() OVER (PARTITION BY source, query_no ORDER BY stars DESC, title, url) AS rank FROM (
-          SELECT *, CAST(0 AS BIGINT) AS query_no FROM {C} WHERE {_has('the')}
-          UNION ALL SELECT *, CAST(1 AS BIGINT) FROM {C} WHERE {_has('der')}) WHERE source <> '{listed}') h
+          {each}) WHERE source <> '{listed}') h
     WHERE rank <= 5
     UNION ALL SELECT * REPLACE ({_short} AS description), CAST(0 AS BIGINT) AS query_no, CAST(NULL AS BIGINT) AS position
     FROM {C} WHERE source = '{listed}' AND {_has('the')}"""
 
 
 def _hits(df: DataFrame) -> DataFrame:
-    return cat.search_all(df, ["the", "der", "never run"], 10, ["src19"])
+    return cat.search_all(df, ["the", "der", "tion"], 10, ["src19"])
 
 
-R.add("search_all", on("catalog", _hits), hits_sql())
+R.add("search_all", on("catalog", _hits), hits_sql("src19", ("the", "der", "tion")))
 _score = f"""(CASE WHEN contains(lower(title), 'the') THEN 2.0 ELSE 0 END)
     + (CASE WHEN contains(lower(description), 'the') THEN 1.0 ELSE 0 END)
     + (CASE WHEN contains(lower(title), 'data') THEN 2.0 ELSE 0 END)
@@ -62,8 +70,7 @@ _score = f"""(CASE WHEN contains(lower(title), 'the') THEN 2.0 ELSE 0 END)
     + log10(CAST(stars AS DOUBLE) + 1.0) / 10 + (CASE WHEN description <> 'No description' THEN 0.5 ELSE 0 END)"""
 R.add("rank_results", on("catalog", lambda df: cat.rank_results(
           cat.search_all(df, ["the", "der"], 10), "the data")), f"""
-    WITH h AS ({hits_sql('none')}), f AS (SELECT * FROM h ORDER BY source, position, title, url LIMIT 20),
-    s AS (SELECT *, {rnd(_score, 4)} AS score FROM f)
+    WITH h AS ({hits_sql('none')}), s AS (SELECT *, {rnd(_score, 4)} AS score FROM h)
     SELECT *, row_number() OVER (ORDER BY score DESC, source, position, title, url) AS rank FROM s
     QUALIFY rank <= 15""")
 R.add("source_counts", lambda s, d: cat.source_counts(

@@ -34,16 +34,18 @@ def describe_text_sql(table: str, cols: list[str]) -> str:
 
 R.add("describe_numeric", on("lineitem_nulls", stats.describe_numeric),
       per_column("lineitem_nulls", LINEITEM_NUMBERS, describe_number))
+R.add("describe_numeric_gaps", on("lineitem_const", stats.describe_numeric),
+      per_column("lineitem_const", [*LINEITEM_NUMBERS, "one", "nothing"], describe_number))
 R.add("describe_categorical", on("lineitem_nulls", stats.describe_categorical),
       describe_text_sql("lineitem_nulls", LINEITEM_TEXTS))
-R.add("describe_all", on("lineitem_nulls", lambda df: stats.describe_all(df, 20)), f"""
+R.add("describe_all", on("lineitem_nulls", stats.describe_all), f"""
     SELECT *, CAST(NULL AS BIGINT) AS "unique", CAST(NULL AS VARCHAR) AS top, CAST(NULL AS BIGINT) AS freq
     FROM ({per_column('lineitem_nulls', LINEITEM_NUMBERS, describe_number)})
     UNION ALL BY NAME SELECT * FROM ({describe_text_sql('lineitem_nulls', LINEITEM_TEXTS)})""")
 R.add("skewness", on("lineitem_const", stats.skewness), per_column(
-    "lineitem_const", [*LINEITEM_NUMBERS, "one"], lambda c: f"{rnd(f'skewness(CAST({c} AS DOUBLE))', 3)} AS skewness"))
+    "lineitem_const", [*LINEITEM_NUMBERS, "one", "nothing"], lambda c: f"{rnd(f'skewness(CAST({c} AS DOUBLE))', 3)} AS skewness"))
 R.add("kurtosis", on("lineitem_const", stats.kurtosis), per_column(
-    "lineitem_const", [*LINEITEM_NUMBERS, "one"], lambda c: f"{rnd(f'kurtosis(CAST({c} AS DOUBLE))', 3)} AS kurtosis"))
+    "lineitem_const", [*LINEITEM_NUMBERS, "one", "nothing"], lambda c: f"{rnd(f'kurtosis(CAST({c} AS DOUBLE))', 3)} AS kurtosis"))
 _SKEWED = union([f"SELECT '{c}' AS \"column\", {rnd(f'skewness(CAST({c} AS DOUBLE))', 3)} AS skewness FROM events"
                  for c in EVENTS_NUMBERS])
 R.add("skew_labels", on("events", stats.skew_labels), f"""
@@ -51,8 +53,8 @@ R.add("skew_labels", on("events", stats.skew_labels), f"""
       ELSE 'Symmetric' END AS label FROM ({_SKEWED})""")
 R.add("heavy_tails", on("events", stats.heavy_tails), "SELECT \"column\", " + rnd("k", 3) + " AS kurtosis FROM ("
       + per_column("events", EVENTS_NUMBERS, lambda c: f"kurtosis(CAST({c} AS DOUBLE)) AS k") + ") WHERE abs(k) > 3")
-R.add("variance_median", on("lineitem", stats.variance_median), per_column(
-    "lineitem", LINEITEM_NUMBERS, lambda c: f"""{rnd(f'var_samp(CAST({c} AS DOUBLE))', 3)} AS variance,
+R.add("variance_median", on("lineitem_const", stats.variance_median), per_column(
+    "lineitem_const", [*LINEITEM_NUMBERS, "one", "nothing"], lambda c: f"""{rnd(f'var_samp(CAST({c} AS DOUBLE))', 3)} AS variance,
         {rnd(f'median(CAST({c} AS DOUBLE))', 4)} AS median"""))
 
 
@@ -113,8 +115,8 @@ _PAIRS = union([corr_sql("lineitem_corr", a, b) for a, b in combinations(CORR, 2
 R.add("correlation_matrix", on("lineitem_nulls", relate.correlation_matrix),
       matrix_sql("lineitem_nulls", LINEITEM_NUMBERS, 3))
 R.add("correlation_matrix_constant", on("lineitem_const", lambda df: relate.correlation_matrix(
-          df, ["l_quantity", "l_tax", "one"])),
-      matrix_sql("lineitem_const", ["l_quantity", "l_tax", "one"], 3, ("one",)))
+          df, ["l_quantity", "l_tax", "one", "nothing"])),
+      matrix_sql("lineitem_const", ["l_quantity", "l_tax", "one", "nothing"], 3, ("one", "nothing")))
 R.add("high_corr_pairs", on("lineitem_corr", relate.high_corr_pairs), f"""
     SELECT col1, col2, {rnd('abs(r)', 3)} AS corr, {rnd('r', 3)} AS signed FROM ({_PAIRS}) WHERE abs(r) > 0.8""")
 R.add("top_corr_pairs", on("lineitem_corr", lambda df: relate.top_corr_pairs(df.drop("neg_tax"))), f"""
