@@ -256,12 +256,19 @@ def _all_held(facts: Facts, parts: list[tuple[str | None, Callable[[], DataFrame
     return stack(results)
 
 
+def _normality(df: DataFrame) -> DataFrame:
+    """The normality test that fits each column's size, with its name."""
+    tests = stats.normality_shapiro(df).withColumnsRenamed({
+        "statistic": "normality_statistic", "p_value": "normality_p", "method": "normality_test"})
+    return melt(tests, {"normality_statistic": "value", "normality_p": "value", "normality_test": "label"})
+
+
 def _deep_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame]]]:
     df = facts.df
     parts: list[tuple[str | None, Callable[[], DataFrame]]] = [
         ("overview", partial(_overview, facts)), ("cleaning", partial(_quality, facts)),
         ("summary", partial(_statistics, facts, SHAPE)), ("summary", partial(_outliers, facts)),
-        ("summary", partial(_correlation, facts)), ("insights", lambda: stack(_flat_or_constant(facts))),
+        ("summary", partial(_correlation, facts)), ("summary", lambda: _normality(df)), ("insights", lambda: stack(_flat_or_constant(facts))),
     ]
     if string_columns(df):
         parts += [

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from sparkeda.operators.quality import PLACEHOLDER_TOKENS
 from sparkeda.plans import reports
-from workload.common import LINEITEM, LINEITEM_NUMBERS, LINEITEM_TEXTS, Registry, on, pct, rnd, source, union
+from workload.common import LINEITEM, LINEITEM_NUMBERS, LINEITEM_TEXTS, Registry, long_sql, on, pct, rnd, source, union
 from workload.w_basics import KINDS, LINEITEM_SCHEMA, LINEITEM_TYPES, bytes_sql
 from workload.w_categorical import balance_sql, distinct_where, dtype_sql, top_sql
-from workload.w_stats import corr_sql, describe_text_sql, iqr_sql, z_sql
+from workload.w_plots import shapiro_sql
+from workload.w_stats import corr_sql, describe_text_sql, iqr_sql, jb_sql, z_sql
 
 R = Registry()
 T = "lineitem_nulls"
@@ -145,6 +146,15 @@ def describe_text_cells() -> str:
                     {"count": "count", "unique": '"unique"', "freq": "freq"}, {"top": "top"})
 
 
+def normality_cells() -> str:
+    tests = f"""
+        WITH c AS (SELECT "column", count(*) AS n FROM ({long_sql(T, LINEITEM_NUMBERS)}) GROUP BY 1)
+        SELECT j."column", jb AS statistic, p_value, 'jarque_bera' AS method
+        FROM ({jb_sql(T, LINEITEM_NUMBERS)}) j JOIN c ON j."column" = c."column" WHERE n > 5000
+        UNION ALL SELECT "column", statistic, p_value, method FROM ({shapiro_sql(T, LINEITEM_NUMBERS)})"""
+    return melt_sql(tests, {"normality_statistic": "statistic", "normality_p": "p_value"}, {"normality_test": "method"})
+
+
 def insights_sql() -> str:
     imbalance = f"""WITH b AS ({balance_sql(T, LINEITEM_TEXTS)}), t AS ({top_sql(T, LINEITEM_TEXTS, 10)})
         SELECT "column", any_value(ratio) AS ratio, string_agg(value || '=' || count, ', ' ORDER BY rank) AS dist
@@ -185,7 +195,7 @@ R.add("enterprise_status", on(T, _broken), """
     SELECT * FROM (VALUES (1::BIGINT, 'overview', 'ok'), (2, 'broken', 'failed'), (3, 'quality', 'ok')) t(priority, task, status)""")
 R.add("deep_eda", on(T, reports.deep_eda), union([f"SELECT '{s}' AS section, * FROM ({sql})" for s, sql in (
     ("overview", overview_sql()), ("cleaning", quality_sql()),
-    ("summary", union([statistics_sql(), describe_text_cells(), outliers_sql(), correlation_sql()])),
+    ("summary", union([statistics_sql(), describe_text_cells(), outliers_sql(), correlation_sql(), normality_cells()])),
     ("insights", insights_sql()))]))
 R.add("profile_context", on(T, reports.profile_context), union([
     cell("'*'", "'rows'", "count(*)"), cell("'*'", "'cols'", str(len(LINEITEM)), tail=""),

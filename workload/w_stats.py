@@ -88,14 +88,18 @@ R.add("zscore_outliers", on("events", stats.zscore_outliers), z_sql("events", EV
 R.add("outlier_rows", on("events", lambda df: stats.outlier_rows(df, "value")), """
     WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
     SELECT events.* FROM events, b WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
-R.add("normality_moments", on("lineitem", stats.normality_moments), f"""
+def jb_sql(table: str, cols: list[str]) -> str:
+    return f"""
     SELECT "column", {rnd('jb', 3)} AS jb, {rnd('exp(-jb / 2)', 6)} AS p_value, exp(-jb / 2) > 0.05 AS is_normal FROM (
       SELECT "column", n / 6 * (s * s + k * k / 4) AS jb FROM (
         SELECT "column", CAST(count(*) AS DOUBLE) AS n,
           avg(pow(value - m, 3)) / pow(avg(pow(value - m, 2)), 1.5) AS s,
           avg(pow(value - m, 4)) / pow(avg(pow(value - m, 2)), 2) - 3 AS k
-        FROM (SELECT *, avg(value) OVER (PARTITION BY "column") AS m FROM ({long_sql('lineitem', LINEITEM_NUMBERS)}))
-        GROUP BY 1))""")
+        FROM (SELECT *, avg(value) OVER (PARTITION BY "column") AS m FROM ({long_sql(table, cols)}))
+        GROUP BY 1))"""
+
+
+R.add("normality_moments", on("lineitem", stats.normality_moments), jb_sql("lineitem", LINEITEM_NUMBERS))
 
 
 def corr_sql(table: str, a: str, b: str) -> str:
