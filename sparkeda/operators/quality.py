@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import (
-    FIXED_WIDTHS, is_missing, kind_of, numeric_columns, percent, present, quoted, round_to, string_columns,
+    FIXED_WIDTHS, is_missing, kind_of, numeric_columns, percent, present, quoted, round_to,
 )
 from sparkeda.functions.longform import numeric_long, rows_from, string_long
 from sparkeda.functions.ordering import exact_quantiles

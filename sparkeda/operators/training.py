@@ -6,6 +6,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from itertools import product
+from typing import TypeVar
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -37,6 +38,7 @@ LOGISTIC_C = [0.1, 1.0, 10.0]
 FOLDS = 3
 
 LABEL, FEATURES = "__label", "__features"
+T = TypeVar("T")
 
 
 def detect_task(df: DataFrame, target: str) -> DataFrame:
@@ -205,7 +207,7 @@ def _evaluator(task: str):
     return MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="f1")
 
 
-def _held(prep: Prepared, work: Callable[[], DataFrame]) -> DataFrame:
+def _held(prep: Prepared, work: Callable[[], T]) -> T:
     """Run ``work`` with the training vectors cached; iterative fits read them many times."""
     prep.train.persist()
     try:
@@ -215,12 +217,14 @@ def _held(prep: Prepared, work: Callable[[], DataFrame]) -> DataFrame:
 
 
 def train_model(prep: Prepared, name: str = "random_forest") -> Transformer:
-    return candidates(prep.task, prep.classes)[name].fit(prep.train)
+    return _held(prep, lambda: candidates(prep.task, prep.classes)[name].fit(prep.train))
 
 
 def predictions(prep: Prepared, model: Transformer, keys: Sequence[str] = ()) -> DataFrame:
-    return model.transform(prep.test).select(
-        *keys, F.col(LABEL).alias("label"), F.col("prediction"))
+    """Key columns, ``label`` and ``prediction`` of the test rows; with two classes and probabilities also ``score``."""
+    out = model.transform(prep.test)
+    score = [vector_to_array("probability")[1].alias("score")] if prep.classes == 2 and "probability" in out.columns else []
+    return out.select(*keys, F.col(LABEL).alias("label"), F.col("prediction"), *score)
 
 
 def _scores(prep: Prepared, model: Transformer) -> tuple[str, DataFrame]:
@@ -293,11 +297,12 @@ def _describe(params: Mapping) -> str:
 def grid_search(prep: Prepared, names: Sequence[str] | None = None, folds: int = FOLDS, parallelism: int = 4) -> DataFrame:
     """``(model, combinations, best_params, cv_score, test_score, error)``: every combination, 3-fold.
 
-    cv_score is weighted F1 or R2; test_score is the same for classes, and MSE for numbers.
+    cv_score is accuracy or R2; test_score is the same for classes, and MSE for numbers.
     """
     def work() -> DataFrame:
         spaces = search_space(prep.task, prep.classes, prep.train.count())
-        score = _evaluator(prep.task)
+        score = _evaluator(prep.task) if prep.task == "regression" else MulticlassClassificationEvaluator(
+            labelCol=LABEL, predictionCol="prediction", metricName="accuracy")
         if prep.task == "regression":
             tested = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mse")
         else:
