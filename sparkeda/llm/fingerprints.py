@@ -111,19 +111,24 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Repeated rows stay. A row without an id has no next one and only loses its end. Texts are shuffled once by id, and the
     starts of the next ones once more.
     """
-    whole = texts(docs, key, text).withColumn("n_chars", F.length("text").cast("bigint"))
-    sizes = whole.groupBy("doc_id").agg(F.floor(F.max("n_chars") / 2).cast("int").alias("need"))
-    wanted = successors(whole.filter("doc_id IS NOT NULL")).join(sizes, "doc_id").select(
-        F.col("doc_id").alias("for_id"), F.col("next_id").alias("doc_id"), "need")
-    placed = whole.repartition("doc_id")
-    starts = placed.join(wanted, "doc_id").select(
+    # Renamed, so that both joins see one and the same exchange of the texts: an alias that changes nothing is dropped on one
+    # side only, and the plans would differ.
+    whole = texts(docs, key, text).select(F.col("doc_id").alias("own"), "text")
+    n_chars = F.length("text").cast("bigint")
+    sizes = whole.groupBy("own").agg(F.floor(F.max(n_chars) / 2).cast("int").alias("need"))
+    wanted = successors(whole.filter("own IS NOT NULL").withColumnRenamed("own", "doc_id")).join(
+        sizes, F.col("doc_id") == F.col("own")).select(F.col("doc_id").alias("for_id"), F.col("next_id").alias("own"), "need")
+    placed = whole.filter("own IS NOT NULL").repartition("own")
+    starts = placed.join(wanted, "own").select(
         "for_id", F.struct(F.expr("left(text, need)").alias("start"), fingerprint(F.col("text")).alias("print")).alias("next"))
-    nexts = starts.groupBy("for_id").agg(F.min("next").alias("next")).withColumnRenamed("for_id", "doc_id")
+    nexts = starts.groupBy("for_id").agg(F.min("next").alias("next")).select(F.col("for_id").alias("own"), "next.*")
+    none = whole.filter("own IS NULL").select("*", F.lit("").alias("start"), fingerprint(F.lit("")).alias("print"))
+    paired = placed.join(nexts, "own").unionByName(none).withColumn("n_chars", n_chars)
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    return placed.join(nexts, "doc_id", "left").select(
-        "doc_id", "text", "n_chars", fingerprint(F.col("text")).alias("print"),
-        F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.left(F.coalesce("next.start", F.lit("")), half)).alias("edited"),
-        F.coalesce("next.print", fingerprint(F.lit(""))).alias("next_print"))
+    return paired.select(
+        F.col("own").alias("doc_id"), "text", "n_chars", fingerprint(F.col("text")).alias("print"),
+        F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.left("start", half)).alias("edited"),
+        F.col("print").alias("next_print"))
 
 
 def compare_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
