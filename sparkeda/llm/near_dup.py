@@ -19,6 +19,8 @@ SHINGLE, SIMILAR = 5, 0.8
 SKETCHES, SAMPLED = 40, 2
 #: Places in the filter that thins a table before a join; its broadcast holds that many numbers at most.
 PLACES = 1 << 20
+#: Groups of up to this many texts are compared pair by pair; larger ones are first split by rare words.
+PAIRS_UP_TO = 32
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -135,22 +137,111 @@ def sketches(docs: DataFrame) -> DataFrame:
     return found.groupBy(*_NODE).agg(F.min("rep").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b, other): pairs of nodes to verify, each at most once, as (d1, d2) of either.
-
-    Texts that share a key are tied to the first and to the last of them by id, so a key shared by many gives two pairs a text and
-    not all pairs. Near copies share many keys, and what ties them need not be one pair but a chain. Pairs whose lengths alone
-    rule them out go at once.
-    """
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """(node, j, key, first, last, members): the keys of nodes that others have too, with the ends of their group by id."""
     node = F.struct("rep", *_NODE, "n").alias("node")
     rows = nodes.select(node, F.posexplode("keys").alias("j", "key"))
-    ends = rows.groupBy("j", "key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last")
-    tied = rows.join(ends, ["j", "key"]).select("node", F.explode(F.array("first", "last")).alias("to")).filter("node <> to")
+    ends = rows.groupBy("j", "key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("members"))
+    return rows.join(ends.filter("members > 1"), ["j", "key"])
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    """(a, b), each pair of (node, to) once, less those that lengths alone rule out."""
     fits = F.abs(F.col("node.n") - F.col("to.n")) <= (1 - SIMILAR) * F.greatest("node.n", "to.n") + 1e-9
-    return tied.filter(fits).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct().select(
+    return pairs.filter(fits).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct().select(
         F.struct("a.d1", "a.d2").alias("a"), F.struct("b.d1", "b.d2").alias("b"))
 
 
+def candidates(shared: DataFrame) -> DataFrame:
+    """(a, b): the first pairs to verify, each once, as (d1, d2) of either.
+
+    Texts that share a key are tied to the first and to the last of them by id, so a key shared by many gives two pairs a text.
+    What these pairs leave apart is the work of ``remaining``.
+    """
+    return _pairs(shared.select("node", F.explode(F.array("first", "last")).alias("to")).filter("node <> to"))
+
+
+def _within_groups(rows: DataFrame, by: list[str], skip: int = 0) -> DataFrame:
+    """(node, to): pairs of different components in each group of (node, comp), the first and last ``skip`` by id left out."""
+    groups = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("node", "comp"))).alias("all"))
+    inner = groups.select(F.slice("all", skip + 1, F.greatest(F.size("all") - 2 * skip, F.lit(0))).alias("all"))
+    return inner.select(F.posexplode("all").alias("at", "x"), "all").select(
+        "x", F.explode(F.slice("all", F.col("at") + 2, PAIRS_UP_TO)).alias("y")).filter("x.comp <> y.comp").select(
+        F.col("x.node").alias("node"), F.col("y.node").alias("to"))
+
+
+def grams(text: str, q: int) -> np.ndarray:
+    """Hashes of the runs of ``q`` words, each with the number of its earlier occurrences; of a shorter text one."""
+    coded = words(text)
+    wide = min(q, len(coded))
+    seen: Counter = Counter()
+    out = np.zeros(len(coded) - wide + 1 if coded else 0, np.uint64)
+    for i in range(len(out)):
+        gram = b" ".join(coded[i:i + wide])
+        out[i] = zlib.crc32(gram) << 32 | zlib.crc32(b"%d %s" % (seen[gram], gram))
+        seen[gram] += 1
+    return out.view(np.int64)
+
+
+def _rare(docs: DataFrame, members: DataFrame, q: int) -> DataFrame:
+    """(token, node, comp, size): per member its rarest runs of ``q`` words, one of which every near text has too.
+
+    An edit changes at most q runs, so near texts of n words share at least n (1 - 0.2 q) - q + 1 of them. In any common order, here
+    from rare to frequent, a text then meets a near one in all but that many of its runs plus one. Runs that one text alone has
+    are counted and not joined.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams(t, q) for t in batch.column("text").to_pylist()]
+            ends = np.cumsum([0] + [len(g) for g in found], dtype=np.int32)
+            values = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("d1"), batch.column("d2"), pa.ListArray.from_arrays(ends, values)], ["d1", "d2", "grams"])
+
+    place = (F.xxhash64(*_NODE) % PLACES).alias("place")
+    some = docs.select(*_NODE, "text").withColumn("place", place).join(
+        F.broadcast(members.select("node.d1", "node.d2").select(place).distinct()), "place", "left_semi").drop("place")
+    read = ship(some).dropDuplicates(_NODE).select(*_NODE, "text").mapInArrow(run, "d1 long, d2 long, grams array<long>")
+    own = read.join(members.select("node.d1", "node.d2", "node", "comp"), _NODE)
+    rows = keep(own.select("node", "comp", F.size("grams").alias("total"), F.explode("grams").alias("token")))
+    common = rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    least = F.ceil(F.col("node.n") * (1 - (1 - SIMILAR) * q) - q + 1 - 1e-6)
+    kept = rows.join(common, "token").groupBy("node", "comp", "total").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("of"))
+    length = F.least(F.size("of"), F.greatest(F.lit(0), F.size("of") - F.greatest(least, F.lit(1)) + 1)).cast("int")
+    cut = keep(kept.select("node", "comp", F.explode(F.slice("of", 1, length)).alias("of")).select("node", "comp", "of.token"))
+    return keep(cut.join(cut.groupBy("token").agg(
+        F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high"), "token")).drop("low", "high")
+
+
+def remaining(docs: DataFrame, shared: DataFrame, label: DataFrame) -> DataFrame | None:
+    """(a, b): all further pairs that share a key, lie in different components of ``label`` and can be near; None if no key has any.
+
+    Groups of a few texts give their pairs. Members of larger ones meet by their rarest pairs of words, those of pairs that many
+    have by their rarest words; neither loses a near pair, and both may add pairs of members that share no key. Where many still share the rarest ones, texts outside the largest
+    component of such a group are paired with the whole group, which grows with the square of texts that are alike yet not near.
+    """
+    some = shared.filter("members > 3").select("node", "j", "key", "members")      # up to three, the ends meet all
+    comp = F.coalesce("label", F.struct("node.d1", "node.d2")).alias("comp")
+    of = label.select(F.col("node").alias("own"), "label")
+    rows = some.join(of, F.expr("struct(node.d1, node.d2) = own"), "left").select("node", "j", "key", "members", comp)
+    mixed = rows.groupBy("j", "key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    rows = keep(rows.join(mixed.select("j", "key"), ["j", "key"]))
+    if rows.isEmpty():
+        return None
+    found = _within_groups(rows.filter(F.col("members") <= PAIRS_UP_TO), ["j", "key"], skip=1)
+    members = keep(rows.filter(F.col("members") > PAIRS_UP_TO).select("node", "comp").distinct())
+    for q in (2, 1):
+        if members.isEmpty():
+            return _pairs(found)
+        tokens = _rare(docs, members, q)
+        found = found.unionByName(_within_groups(tokens.filter(F.col("size") <= PAIRS_UP_TO), ["token"]))
+        hot = tokens.filter(F.col("size") > PAIRS_UP_TO)
+        members = keep(hot.select("node", "comp").distinct())
+    top = hot.groupBy("token", "comp").agg(F.count("*").alias("held")).groupBy("token").agg(F.max(F.struct("held", "comp")).alias("top"))
+    minor = hot.join(top, "token").filter("comp <> top.comp").select("token", "node", "comp")
+    cross = minor.join(hot.select("token", F.col("node").alias("to"), F.col("comp").alias("other")), "token").filter("comp <> other")
+    return _pairs(found.unionByName(cross.select("node", "to")))
+
+
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are ``near``. Only texts in some pair are shuffled, once for either side."""
     ends = pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()
@@ -194,12 +285,19 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     Equal texts are one class (null and empty ones too), found by a 128-bit digest before anything else, so copies are not
     compared. Different texts are linked if they share a key and their alignment keeps ``SIMILAR`` of the words; classes are the
-    connected ones. A null id counts as larger than all others. Other columns are not read.
+    connected ones, however many texts have that key. A null id counts as larger than all others. Other columns are not read.
     """
     own = texts(docs, key, text).withColumns({"d1": F.xxhash64(F.lit(0), "text"), "d2": F.xxhash64(F.lit(1), "text")})
     nodes = keep(sketches(own))
-    links = verified(own, keep(candidates(nodes)))
-    label = components(keep(links)).select("node.*", F.col("label.d1").alias("l1"), F.col("label.d2").alias("l2"))
+    shared = keep(shared_keys(nodes))
+    links = keep(verified(own, keep(candidates(shared))))
+    joined = components(links)
+    rest = remaining(own, shared, joined)
+    if rest is not None:
+        more = keep(verified(own, keep(rest)))
+        if not more.isEmpty():
+            joined = components(links.unionByName(more))
+    label = joined.select("node.*", F.col("label.d1").alias("l1"), F.col("label.d2").alias("l2"))
     named = nodes.select(*_NODE, "rep").join(label, _NODE, "left").select(
         *_NODE, "rep", F.coalesce("l1", "d1").alias("l1"), F.coalesce("l2", "d2").alias("l2"))
     moved = named.join(label.select(*_NODE), _NODE, "left_semi")

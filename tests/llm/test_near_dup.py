@@ -89,3 +89,50 @@ def test_empty(none):
 def test_near_copies_share_sketches(share, least):
     hits = [(n.sketch(article(i, lines=20)) == n.sketch(edited(article(i, lines=20), i, share))).any() for i in range(40)]
     assert sum(hits) / len(hits) >= least
+
+
+def classes_by_all_pairs(rows, linked):
+    """Classes by every pair of rows that is near and ``linked``, whatever the size of a key's group."""
+    parent = {i: i for i, _ in rows}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for at, (a, x) in enumerate(rows):
+        for b, y in rows[:at]:
+            if linked(a, b) and n.near(x, y):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {i: root(i) for i, _ in rows}
+
+
+def letters(pairs):
+    """Pairs of form letters of 200 words with 150 common ones; a pair shares some of the rest, too."""
+    rng = random.Random(7)
+    own = lambda k: [f"w{rng.randrange(10**9)}" for _ in range(k)]
+    form = own(150)
+    rows = []
+    for i in range(pairs):
+        common = own(13)
+        at = rng.randrange(120)
+        rows += [(2 * i + j, " ".join(form[:at] + common + own(37) + form[at:])) for j in range(2)]
+    rng.shuffle(rows)
+    return [(k, t) for k, (_, t) in enumerate(rows)]
+
+
+def family(size):
+    """Variants of one text with 13% of its words changed, each pair at the edge of near."""
+    base = " ".join(f"v{i}" for i in range(200))
+    return [(i, edited(base, i, 0.13)) for i in range(size)]
+
+
+@pytest.mark.parametrize("rows", [letters(75), family(200)], ids=["letters", "family"])
+def test_hot_keys_lose_no_pair(spark, rows):
+    keys = {i: n.sketch(t) for i, t in rows}
+    got = {r.doc_id: r.class_id for r in n.classes(make_docs(spark, rows)).collect()}
+    least = classes_by_all_pairs(rows, lambda a, b: (keys[a] == keys[b]).any())
+    most = classes_by_all_pairs(rows, lambda a, b: True)
+    assert all(got[i] == got[least[i]] for i in got)             # no near pair that shares a key is apart
+    assert all(most[i] == most[got[i]] for i in got)             # and all are linked by near pairs
