@@ -42,10 +42,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near copies; of repeated rows one."""
-    first = near_dup.classes(docs).filter(F.expr("doc_id <=> class_id"))
-    chosen = first.select(F.col("doc_id").alias("chosen")).distinct()
-    return docs.join(chosen, F.expr("doc_id <=> chosen"), "left_semi").dropDuplicates(["doc_id"])
+    """One document, that of the least id, of each class of near copies; of rows equal in id and text one.
+
+    A row is known by its id and the digest of its text, so different texts under one id, or under none, all stay.
+    """
+    chosen = near_dup.firsts(docs).select(F.col("doc_id").alias("chosen"), F.col("d1").alias("c1"), F.col("d2").alias("c2"))
+    named = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", *(c.alias(n) for n, c in near_dup.digests().items()))
+    kept = named.join(chosen, F.expr("d1 = c1 AND d2 = c2 AND doc_id <=> chosen"), "left_semi")
+    return kept.dropDuplicates(["doc_id", "d1", "d2"]).select("row.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.llm.shared import keep, ship, texts
@@ -280,14 +280,15 @@ def components(edges: DataFrame) -> DataFrame:
         label = next_.select("node", "label")
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, class_id): one row per row of ``docs`` with the least id of its class.
+def digests(text: str = "text") -> dict[str, Column]:
+    """The 128-bit digest of a text (null: empty) that stands for it as a node."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return {"d1": F.xxhash64(F.lit(0), body), "d2": F.xxhash64(F.lit(1), body)}
 
-    Equal texts are one class (null and empty ones too), found by a 128-bit digest before anything else, so copies are not
-    compared. Different texts are linked if they share a key and their alignment keeps ``SIMILAR`` of the words; classes are the
-    connected ones, however many texts have that key. A null id counts as larger than all others. Other columns are not read.
-    """
-    own = texts(docs, key, text).withColumns({"d1": F.xxhash64(F.lit(0), "text"), "d2": F.xxhash64(F.lit(1), "text")})
+
+def _named(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text, d1, d2), and per node (d1, d2, rep, l1, l2) with the least node of its class."""
+    own = texts(docs, key, text).withColumns(digests())
     nodes = keep(sketches(own))
     shared = keep(shared_keys(nodes))
     links = keep(verified(own, keep(candidates(shared))))
@@ -298,9 +299,25 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         if not more.isEmpty():
             joined = components(links.unionByName(more))
     label = joined.select("node.*", F.col("label.d1").alias("l1"), F.col("label.d2").alias("l2"))
-    named = nodes.select(*_NODE, "rep").join(label, _NODE, "left").select(
+    return own, nodes.select(*_NODE, "rep").join(label, _NODE, "left").select(
         *_NODE, "rep", F.coalesce("l1", "d1").alias("l1"), F.coalesce("l2", "d2").alias("l2"))
-    moved = named.join(label.select(*_NODE), _NODE, "left_semi")
-    least = moved.groupBy("l1", "l2").agg(F.min("rep").alias("class_id"))
-    of = named.join(least, ["l1", "l2"], "left").select(*_NODE, F.coalesce("class_id", "rep").alias("class_id"))
+
+
+def firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, d1, d2): of each of the ``classes`` the text that has its least id, with that id and its digest."""
+    _, named = _named(docs, key, text)
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", *_NODE)).alias("first")
+    return named.groupBy("l1", "l2").agg(first).select(F.col("first.rep").alias("doc_id"), "first.d1", "first.d2")
+
+
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, class_id): one row per row of ``docs`` with the least id of its class.
+
+    Equal texts are one class (null and empty ones too), found by a 128-bit digest before anything else, so copies are not
+    compared. Different texts are linked if they share a key and their alignment keeps ``SIMILAR`` of the words; classes are the
+    connected ones, however many texts have that key. A null id counts as larger than all others. Other columns are not read.
+    """
+    own, named = _named(docs, key, text)
+    least = named.groupBy("l1", "l2").agg(F.min("rep").alias("class_id"))
+    of = named.join(least, ["l1", "l2"]).select(*_NODE, "class_id")
     return own.select("doc_id", *_NODE).join(of, _NODE).select("doc_id", "class_id")

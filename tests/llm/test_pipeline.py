@@ -56,6 +56,13 @@ def test_near_copies_leave_one(spark):
     assert got == ["5", "None"]
 
 
+def test_near_copies_keep_texts_that_share_an_id(spark):
+    rows = [(None, article(1), "en"), (None, article(2), "en"), (7, article(3), "en"), (7, article(4), "en"), (7, article(4), "en"),
+            (8, article(4), "en"), (None, article(3), "en")]
+    got = [(r.doc_id, r.text) for r in p.near_copies(spark, frame(spark, rows), "").collect()]
+    assert sorted(got, key=str) == sorted([(None, article(1)), (None, article(2)), (7, article(3)), (7, article(4))], key=str)
+
+
 def test_empty_and_unlabelled(spark):
     docs = frame(spark, mixed()).limit(0)
     for _, stage in p.STAGES:
