@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkeda.llm import lang_id, line_dedup, near_dup, packing, quality_rules
-from sparkeda.llm.shared import shared_folder
+from sparkeda.llm.shared import WORD, shared_folder
 
 #: A document whose language covers a smaller share of its letters is too mixed to keep.
 LANGUAGE_SHARE = 0.5
@@ -34,10 +34,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand, up to one edit, earlier in the corpus.
 
-    n_chars follows the text. A document that has lost all its long lines goes: what is left is no text.
+    n_chars follows the text. A document that has lost lines goes only if no word is left in it; short lines alone are a text too.
     """
     other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = line_dedup.dedup(docs, carry=other).filter((F.col("n_dropped") == 0) | (F.col("n_long") > 0))
+    found = line_dedup.dedup(docs, carry=other).filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
     return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -63,6 +63,13 @@ def test_near_copies_keep_texts_that_share_an_id(spark):
     assert sorted(got, key=str) == sorted([(None, article(1)), (None, article(2)), (7, article(3)), (7, article(4))], key=str)
 
 
+def test_short_lines_stay_without_their_common_long_line(spark):
+    licence = "Licensed to all readers under the usual terms"
+    rows = [(1, licence + "\n" + article(1), "en"), (2, licence + "\nshort verse\n\nanother", "en"), (3, licence + "\n \n", "en"), (4, licence, "en")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in p.lines(spark, frame(spark, rows), "").collect()}
+    assert got.keys() == {1, 2} and got[2] == ("short verse\n\nanother", 20)
+
+
 def test_empty_and_unlabelled(spark):
     docs = frame(spark, mixed()).limit(0)
     for _, stage in p.STAGES:
