@@ -9,12 +9,27 @@ from pyspark.sql import functions as F
 
 from sparkeda.llm.shared import WORD, texts
 
-#: Function words that running text of these languages cannot do without.
+#: Function words that running text of these languages cannot do without. All are written in Latin letters.
 STOP_WORDS = {
     "en": "a and are as at be by for from in is it of on or that the this to was with",
     "fr": "au aux avec dans de des du elle en est et il la le les ou par pas pour que qui sur un une",
     "de": "auf das dem den der des die ein eine für im in ist mit nicht sich und von zu",
     "es": "al con de del el en es la las lo los no para por que se su un una y",
+    "it": "al alla che con da dei del della di gli il in la le nel non per più si sono un una",
+    "pt": "ao as com da das de do dos em mais na não no os para por que se um uma",
+    "nl": "aan de dat die een en het in is met niet op te van voor zijn",
+    "sv": "att av den det en ett för med och om på som till var är",
+    "da": "af at de den der det en er et for fra med og på som til",
+    "no": "av det en er et for fra har i med og på som til å",
+    "fi": "että hän ja joka kun mutta myös ne niin oli olla on ovat se tai",
+    "pl": "do i jak jest na nie od po przez się to w z za że",
+    "cs": "a ale do i jako je na o po s se to v z za že",
+    "hu": "a az egy ez és hogy is meg nem volt",
+    "ro": "a care cu de din este în la mai nu o pe pentru și un",
+    "tr": "bir bu da daha de için ile olan olarak ve",
+    "hr": "a da i iz je na od s se su u za",
+    "id": "adalah dan dari dengan di ini itu ke oleh pada untuk yang",
+    "vi": "cho có của không là một người những trong và với được",
 }
 
 
@@ -88,11 +103,12 @@ def _counted(rows: DataFrame) -> DataFrame:
         _let(F.col("words"), _repeated).alias("n_repeat_words"),
         long(F.size(F.filter("words", lambda w: F.lower(w).isin(stops)))).alias("n_stop"),
         long(F.size(F.filter("words", lambda w: w.rlike(r"\p{L}")))).alias("n_letter_words"),
+        long(F.size(F.filter("words", lambda w: w.rlike(r"\p{IsLatin}")))).alias("n_latin_words"),
     )
 
 
 def counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop, n_letter_words), all long.
+    """(doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop, n_letter_words, n_latin_words), all long.
 
     One row per row of ``docs``, repeated ones too; null text counts as empty and gives zeros.
     """
@@ -116,13 +132,19 @@ def measures() -> dict[str, Column]:
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
-    """The table as one boolean expression over the columns of ``counts``."""
+    """The table as one boolean expression over the columns of ``counts``.
+
+    A lower bound on stop words says nothing of a text most of whose words are in other letters than the lists; it passes there.
+    """
     known = measures()
     passed = F.lit(True)
     for rule in rules:
         value = known[rule.measure]
         if rule.low is not None:
-            passed = passed & F.coalesce(value >= rule.low, F.lit(False))
+            enough = F.coalesce(value >= rule.low, F.lit(False))
+            if rule.measure == "stop_ratio":
+                enough = enough | (2 * F.col("n_latin_words") < F.col("n_letter_words"))
+            passed = passed & enough
         if rule.high is not None:
             passed = passed & F.coalesce(value <= rule.high, F.lit(False))
     return passed

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -55,3 +56,25 @@ def test_good_and_bad_of_the_given_labels(spark):
     both = q.apply_rules(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("NOT base_failed").collect()
     assert all(r.kept for r in both if r.quality == 1)
     assert sum(r.kept for r in both if r.quality == 0) <= 0.1 * sum(r.quality == 0 for r in both)
+
+
+CLEAN = {
+    "ru": "Старый мост через реку построили ещё до войны, и жители города каждое утро переходили по нему на другой берег.",
+    "el": "Το παλιό λιμάνι βρίσκεται στην άκρη της πόλης και κάθε πρωί οι ψαράδες φέρνουν εκεί τα ψάρια τους για την αγορά.",
+    "ar": "يقع الميناء القديم على أطراف المدينة ويأتي إليه الصيادون كل صباح لبيع السمك في السوق الكبيرة قرب البحر.",
+    "hi": "पुराना पुल नदी के ऊपर बना है और शहर के लोग हर सुबह इसे पार करके दूसरे किनारे के बाज़ार में जाते हैं।",
+    "it": "Il vecchio ponte sul fiume fu costruito prima della guerra e gli abitanti della città lo attraversano per andare al mercato.",
+    "pl": "Stary most na rzece zbudowano jeszcze przed wojną i mieszkańcy miasta chodzą po nim na targ, który jest za rzeką.",
+    "fi": "Vanha silta on joen yli ja kaupungin asukkaat kulkevat sitä pitkin joka aamu, kun he menevät torille, mutta silta on kapea.",
+    "tr": "Eski köprü nehrin üzerinde ve şehrin insanları her sabah bu köprüden geçerek pazara gider, çünkü pazar için başka bir yol yok.",
+}
+
+
+def test_clean_text_of_other_languages_stays(spark):
+    def long(text):
+        words = text.split(" ")
+        return "\n".join(" ".join(random.Random(k).sample(words, len(words))) for k in range(6))
+
+    docs = make_docs(spark, [(i, long(t)) for i, t in enumerate(CLEAN.values())])
+    got = {r.doc_id: (r.base_failed, r.kept) for r in q.apply_rules(docs).collect()}
+    assert {x: got[i] for i, x in enumerate(CLEAN)} == dict.fromkeys(CLEAN, (False, True))
