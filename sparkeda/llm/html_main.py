@@ -40,6 +40,8 @@ ARTICLES = frozenset(("article", "main"))
 ENTER_FROM = 0.75
 #: A page is read by its host's path if that finds at least this share of what its own best container holds.
 TRUST_FROM = 0.5
+#: If it finds less than this share, the path only says where the article begins: what follows in the page's own container stays.
+WHOLE_FROM = 0.95
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>|[^>]*\Z)", re.S)
@@ -193,17 +195,26 @@ class Page:
             e = self.elements[e][2]
 
     def text(self, path: str | None = None) -> str:
-        """The blocks of the containers at ``path`` if it leads to enough text, else of the page's own best one."""
+        """The blocks of the containers at ``path`` if it leads to enough text, else of the page's own best one.
+
+        If the path leads to a part only of the page's own container, the blocks of that after the part begins stay as well.
+        """
         own, score = self.best()
         held = self.weights()
         roots = {e for e, (_, p, _) in enumerate(self.elements) if p == path} if path else set()
         outer = [e for e in roots if not any(a in roots for a in self._above(self.elements[e][2]))]
-        if sum(held[e] for e in outer) < TRUST_FROM * score or not outer:
+        found = sum(held[e] for e in outer)
+        if found < TRUST_FROM * score or not outer:
             roots = {own}
-        inside = [False] * len(self.elements)
+        inside, around = [False] * len(self.elements), [False] * len(self.elements)
         for e, (_, _, up) in enumerate(self.elements):
             inside[e] = e in roots or up >= 0 and inside[up]
-        return "\n".join(t for t, _, e in self.blocks if inside[e])
+            around[e] = e == own or up >= 0 and around[up]
+        kept = [inside[e] for _, _, e in self.blocks]
+        if own not in roots and found < WHOLE_FROM * score and True in kept:
+            begin = kept.index(True)
+            kept = [k or i > begin and around[e] for i, (k, (_, _, e)) in enumerate(zip(kept, self.blocks))]
+        return "\n".join(t for (t, _, _), k in zip(self.blocks, kept) if k)
 
 
 def _hosted(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:

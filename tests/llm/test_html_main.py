@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from sparkeda.llm import html_main as h
 from sparkeda.llm.html_main import Page
@@ -50,6 +51,15 @@ def test_host_decides_for_its_pages(spark):
     assert Page(found[-1][2]).text().startswith("noise")            # alone, the page would keep it
 
 
+def test_two_layouts_on_one_host(spark):
+    body = lambda word, k: "".join(f"<p>{' '.join([word] * 30)}</p>" for _ in range(k))
+    found = [(i, "http://two.example/x", f"<body><article>{body('plain', 5)}</article></body>") for i in range(4)]
+    for i, tag in ((8, "section"), (9, "div")):
+        found.append((i, "http://two.example/y", f"<body><article>{body('first', 7)}</article><{tag}>{body('second', 3)}</{tag}></body>"))
+    got = {r.page_id: Counter(r.text.split()) for r in h.extract(rows(spark, found)).collect()}
+    assert got[0] == {"plain": 150} and got[8] == got[9] == {"first": 210, "second": 90}
+
+
 def test_page_without_the_winning_path(spark):
     found = [(i, "http://h.example/x", page("post", 3)) for i in range(3)] + [(7, "http://h.example/y", "<body><p>Other one</p></body>")]
     got = {r.page_id: (r.text, r.n_chars) for r in h.extract(rows(spark, found)).collect()}
