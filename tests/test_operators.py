@@ -418,3 +418,15 @@ def test_reports_on_messy_and_empty_tables(messy):
         assert reports.column_report(df).count() > 0
         assert reports.profile_context(df).count() > 0
         assert reports.data_report(df).count() > 0
+
+
+def test_registered_grid_searches_take_every_model(spark, monkeypatch):
+    from sparkeda.operators import training
+    from workload import w_models
+
+    taken = []
+    monkeypatch.setattr(training, "prepare", lambda *a: None)
+    monkeypatch.setattr(training, "grid_search", lambda p, names=None, **other: taken.append(names))
+    for name in ("grid_search", "grid_search_regression"):
+        w_models.R.queries[name](spark, "/root/testdata/sf0.001")
+    assert taken == [None, None]

@@ -118,9 +118,8 @@ R.add("train_model", status(lambda p: training.predictions(p, training.train_mod
 R.add("leaderboard", quality(training.leaderboard))
 R.add("leaderboard_regression", price(training.leaderboard))
 R.add("fallback_model", status(training.fallback_model))
-R.add("grid_search", quality(lambda p: training.grid_search(
-    p, ["random_forest", "decision_tree", "logistic_regression"], parallelism=8)))
-R.add("grid_search_regression", price(lambda p: training.grid_search(p, ["decision_tree", "linear_regression"], parallelism=8)))
+R.add("grid_search", quality(lambda p: training.grid_search(p, parallelism=8)))
+R.add("grid_search_regression", price(lambda p: training.grid_search(p, parallelism=8)))
 R.add("auto_tune", quality(training.auto_tune))
 R.add("learning_curve", status(lambda p: training.learning_curve(p, "row_key")))
 R.add("feature_importance", quality(lambda p: training.feature_importance(p, training.train_model(p))))
