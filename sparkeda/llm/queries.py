@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkeda.llm import bpe, chat, fingerprints, html_main, lang_id, line_dedup, lm_score, near_dup, packing, quality_rules
+from sparkeda.llm import bpe, chat, divergence, fingerprints, html_main, lang_id, line_dedup, lm_score, near_dup, packing, quality_rules
 from workload.common import Registry, load
 
 R = Registry()
@@ -160,4 +160,37 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 
 R.add("op3_minhash_near_dedup", op3)
 
+
+
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return divergence.audit(load(spark, d, "documents"))
+
+
+_SHARE = f"1 + ({divergence.UNIT}::HUGEINT * ({{c}} + {divergence.SMOOTH})) // (({{n}}) + {divergence.SMOOTH} * v)"
+OP11_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= {divergence.MIN_DOCS}),
+l AS (SELECT lang, count(*) AS v, sum(c) AS lang_n FROM k GROUP BY lang),
+h AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(any_value(v), 0) AS v, any_value(lang_n) AS lang_n, coalesce(any_value(n), 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN l USING (lang)
+      LEFT JOIN (SELECT lang, source, sum(c) AS n FROM h GROUP BY lang, source) USING (lang, source) GROUP BY d.lang, d.source),
+p AS (SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS n_here, {_SHARE.format(c="coalesce(h.c, 0)", n="n")} AS p,
+             {_SHARE.format(c="k.c", n="lang_n")} AS q
+      FROM g JOIN k USING (lang) LEFT JOIN h USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value
+                     FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+          ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+found AS (SELECT *, 'pair' AS part FROM pairs
+          UNION ALL SELECT lang, source, term, (p - q)::BIGINT, 'term' FROM p WHERE n_here > 0 AND p > q)
+SELECT lang, source, part, item, value,
+       (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INTEGER AS rank
+FROM found QUALIFY part = 'pair' OR rank <= {divergence.TOP}
+"""
+R.add("op11_source_divergence_audit", op11, OP11_SQL)
+
 R.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
