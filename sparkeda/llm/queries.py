@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkeda.llm import bpe, chat, divergence, fingerprints, html_main, lang_id, line_dedup, lm_score, near_dup, packing, quality_rules
+from sparkeda.llm import bpe, chat, divergence, fingerprints, html_main, lang_id, line_dedup, lm_score, mixing, near_dup, packing, quality_rules, spelling
 from workload.common import Registry, load
 
 R = Registry()
@@ -193,4 +193,20 @@ FROM found QUALIFY part = 'pair' OR rank <= {divergence.TOP}
 """
 R.add("op11_source_divergence_audit", op11, OP11_SQL)
 
+
+
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(load(spark, d, "documents"))
+
+
+R.add("op13_mixing_to_target_weights", op13)
+
+
+
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return spelling.variants(load(spark, d, "documents"))
+
+
+R.add("op12_spelling_variant_grouping", op12)
+
 R.add("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)
