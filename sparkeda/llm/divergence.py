@@ -1,7 +1,7 @@
 """Source divergence audit: how far the term shares of the sources of a language lie apart, priced by sparse merges of pairs.
 
 Terms are counted within the tasks that read the texts. Each source is then a sorted array of (term id, count), cut into blocks of
-some ten thousand terms, and every pair of sources of a language is priced block by block from those two arrays alone.
+a few thousand terms, and every pair of sources of a language is priced block by block from those two arrays alone.
 """
 
 from __future__ import annotations
@@ -25,10 +25,10 @@ SMOOTH, UNIT = 5, 1_000_000_000
 #: Terms with the most excess that a group reports.
 TOP = 50
 #: About so many terms make a block; a task holds the blocks of two tiles of sources.
-BLOCK_TERMS = 1 << 15
+BLOCK_TERMS = 1 << 12
 TILE = 8
 #: Different (group, term) entries that a task counts before it hands them on.
-COUNTED_AT_ONCE = 300_000
+COUNTED_AT_ONCE = 600_000
 
 #: ASCII letters in lower case and all bytes of other characters stay, everything else parts terms.
 _PARTS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
