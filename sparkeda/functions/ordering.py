@@ -1,6 +1,7 @@
 """Exact order statistics and running totals without a one-task sort.
 
-The value axis of a column is cut into ranges first, at every size and by one plan:
+Quantiles take an interval for each wanted rank from a sketch and open that alone. Running totals need every value's rank: the
+value axis of a column is cut into ranges first, at every size and by one plan:
 
 1. cut points are the values whose hash falls on one in ``EVERY``. That samples *distinct* values evenly, so a range
    holds about ``EVERY`` distinct values whatever the number of rows and however skewed they are, and the number of
@@ -15,16 +16,21 @@ The cuts go to every task. They are one in ``EVERY`` of the distinct values, 8 b
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from pyspark.sql import Column, DataFrame
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import numeric_columns
 from sparkeda.functions.longform import empty_like, numeric_long
+from sparkeda.functions.sketch import opened, wanted
 
 EVERY = 1 << 18
 PREFIX = 64
+#: Even parts of the interval of a quantile; any parts give the same answer.
+CUTS = 1 << 10
 
 
 def with_slot(df: DataFrame) -> DataFrame:
@@ -60,65 +66,37 @@ def place(long: DataFrame, every: int | None = None) -> DataFrame:
     return with_slot(long.join(F.broadcast(value_cuts(long, every)), "column", "left"))
 
 
-def _asks(nn: Column, probs: Sequence[float]) -> Column:
-    """Wanted 1-based ranks: below (side 0) and above (side 1) each fractional position."""
-    asks = []
-    for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (nn - F.lit(1))
-        for side, edge in ((0, F.floor(at)), (1, F.ceil(at))):
-            asks.append(F.struct(
-                F.lit(i).alias("i"), F.lit(side).alias("side"), at.alias("at"),
-                (edge + F.lit(1)).cast("long").alias("rank"),
-            ))
-    return F.array(*asks)
-
-
-def _ranked(long: DataFrame, probs: Sequence[float], every: int | None) -> DataFrame:
-    placed = place(long, every)
-    whole = W.partitionBy("column")                     # one row per range of a column
-    asks = (
-        placed.groupBy("column", "slot").agg(F.count("*").alias("held"))
-        .withColumn("upto", F.sum("held").over(whole.orderBy("slot")))
-        .withColumn("nn", F.sum("held").over(whole))
-        .select("column", "slot", "held", "upto", "nn", F.inline(_asks(F.col("nn"), probs)))
-        .where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("held")))
-        .withColumn("rank", F.col("rank") - F.col("upto") + F.col("held"))
-        .drop("held", "upto")
-    )                                                   # two rows per column and probability
-    opened = (
-        placed.join(F.broadcast(asks.select("column", "slot").distinct()), ["column", "slot"], "left_semi")
-        .groupBy("column", "slot", "value").agg(F.count("*").alias("times"))
-        .withColumn("last", F.sum("times").over(W.partitionBy("column", "slot").orderBy("value")))
-    )
-    return (
-        opened.join(F.broadcast(asks), ["column", "slot"])
-        .where((F.col("rank") <= F.col("last")) & (F.col("rank") > F.col("last") - F.col("times")))
-    )
-
-
 def exact_quantiles(
-    df: DataFrame, cols: Sequence[str] | None, probs: Sequence[float], every: int | None = None
+    df: DataFrame, cols: Sequence[str] | None, probs: Sequence[float], most: int | None = None
 ) -> DataFrame:
     """``(column, nn, q)`` with ``q`` the linearly interpolated quantiles in ``probs`` order.
 
-    Exact at any size. The columns are read three times and only the ranges that hold a wanted rank are shuffled.
-    Columns without a value are absent.
+    Exact, in two scans, by one plan at every size. The first, run when this is called, leaves a sketch for each column (of ``most``
+    values, see :mod:`sparkeda.functions.sketch`) and so an interval for each wanted rank. The second counts the values between
+    the intervals and hands on only those inside, with their counts; an interval is cut into ``CUTS`` even parts, and only the
+    part that holds a wanted rank is sorted. Columns without a value are absent.
     """
     names = numeric_columns(df, cols)
-    if not names:
+    ranks = wanted(df, names, probs, most) if names and probs else []
+    if not ranks:
         return empty_like(df, "column string, nn long, q array<double>")
-    ranked = _ranked(numeric_long(df, names), probs, every)
-    below, above = (F.max(F.when((F.col("side") == s), F.col("value"))) for s in (0, 1))
-    return (
-        ranked.groupBy("column", "i").agg(
-            F.max("nn").alias("nn"), F.max("at").alias("at"), below.alias("lo"), above.alias("hi"),
-        )
-        .withColumn("q", F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at")))
-        .groupBy("column").agg(
-            F.max("nn").alias("nn"),
-            F.transform(F.sort_array(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"),
-        )
-    )
+    asked = [(w.column, i, rank) for w in ranks for i, at in enumerate(w.at) for rank in sorted({math.floor(at) + 1, math.ceil(at) + 1})]
+    held = opened(df, names, ranks, CUTS)
+    parts = held.groupBy("column", "slot", "cut").agg(F.sum("times").alias("held")).withColumn(
+        "upto", F.sum("held").over(W.partitionBy("column").orderBy("slot", "cut")))         # CUTS rows and a few for each interval
+    ask = F.broadcast(df.sparkSession.createDataFrame(asked, "column int, i int, rank long"))
+    chosen = parts.join(ask, "column").where("rank > upto - held AND rank <= upto").select(
+        "column", "slot", "cut", "i", (F.col("rank") - F.col("upto") + F.col("held")).alias("rank"))
+    inside = W.partitionBy("column", "slot", "cut", "i", "rank").orderBy("value")
+    found = held.join(F.broadcast(chosen), ["column", "slot", "cut"]).withColumn("last", F.sum("times").over(inside)).where(
+        "rank > last - times AND rank <= last")
+    edge = lambda f, i: f(F.when(F.col("i") == i, F.col("value"))).alias(f"{f.__name__}{i}")
+    ends = found.groupBy("column").agg(*(edge(f, i) for i in range(len(probs)) for f in (F.min, F.max)))
+    names_of = df.sparkSession.createDataFrame(
+        [(w.column, names[w.column], w.nn, [at - math.floor(at) for at in w.at]) for w in ranks], "at int, column string, nn long, part array<double>")
+    ends_of = [(F.col(f"min{i}"), F.col(f"max{i}")) for i in range(len(probs))]
+    between = [F.when(a < b, a + (b - a) * F.col("part")[i]).otherwise(a) for i, (a, b) in enumerate(ends_of)]    # also of infinities
+    return ends.withColumnRenamed("column", "at").join(F.broadcast(names_of), "at").select("column", "nn", F.array(*between).alias("q"))
 
 
 def running_totals(

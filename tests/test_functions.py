@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparkeda.functions import ordering, tails
+from sparkeda.functions import ordering, sketch, tails
 from sparkeda.functions.kinds import kind_of, numeric_columns, round_to, string_columns
 from sparkeda.functions.longform import numeric_long, string_long
 from sparkeda.functions.normal import inverse_normal, normal_cdf, shapiro_wilk
@@ -63,6 +63,59 @@ def test_quantiles_of_nothing(spark, messy):
     assert got == {"x": (6, [2.0])}
 
 
+@pytest.mark.parametrize("kind", ["normal", "few", "rounded", "sorted"])
+def test_sketch_brackets_hold_every_rank(kind):
+    rng = np.random.default_rng(3)
+    for most in (2, 7, 40):
+        values = {"normal": rng.normal(size=900), "few": rng.integers(0, 30, 900).astype(float),
+                  "rounded": np.round(rng.lognormal(0, 2, 900), 1), "sorted": np.arange(900.0)}[kind]
+        pieces = [p for p in np.split(values, sorted(rng.integers(0, 900, 6))) if len(p)]
+        half = sketch.merged([sketch.sketched(p, most) for p in pieces[:3]], most)
+        whole = sketch.merged([half, *(sketch.sketched(p, most) for p in pieces[3:])], 4 * most)
+        order = np.sort(values)
+        assert whole[1].sum() == 900 and len(whole[0]) <= 4 * most
+        for low in range(1, 900):
+            a, b = sketch.bracket(whole, low, low + 1)
+            assert (a is None or a < order[low - 1]) and order[low] <= b
+        upto = np.searchsorted(order, whole[0], side="right") - np.cumsum(whole[1])
+        assert (0 <= upto).all() and (upto <= whole[2]).all()
+
+
+def test_sketch_of_few_values_is_exact_and_of_many_narrow():
+    rng = np.random.default_rng(4)
+    hot = sketch.sketched(np.concatenate([np.full(10 ** 5, 2.5), np.arange(100.0)]), 128)
+    assert hot[2] == 0 and sketch.bracket(hot, 50_000, 50_001) == (2.0, 2.5)
+    values = rng.normal(size=1 << 20)
+    a, b = sketch.bracket(sketch.merged([sketch.sketched(p, 4096) for p in np.split(values, 4)], 4 * 4096), 1 << 18, (1 << 18) + 1)
+    assert ((values > a) & (values <= b)).sum() < len(values) / 1000
+
+
+@pytest.mark.parametrize("most", [1, 3, 64])
+def test_quantiles_through_coarse_sketches(spark, most, monkeypatch):
+    """Flushes, merges and wide intervals: many tasks, a tiny buffer, infinities, equal values and a column without a value."""
+    monkeypatch.setattr(sketch, "CELLS", 64)
+    monkeypatch.setattr(sketch, "ROWS", 16)
+    rng = np.random.default_rng(most)
+    rows = [(float(rng.choice([math.inf, -math.inf, 0.0, -0.0, 7.0, rng.normal()])), int(rng.integers(0, 9)), None, None if i % 5 else float("nan"))
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "x double, k int, gone double, nans double").repartition(11)
+    got = by_column(ordering.exact_quantiles(df, None, [0.0, 0.03, 0.5, 0.97, 1.0], most))
+    assert set(got) == {"x", "k"}
+    for at, name in enumerate(("x", "k")):
+        order = sorted(r[at] for r in rows)
+        for p, q in zip([0.0, 0.03, 0.5, 0.97, 1.0], got[name][1]):
+            lo, hi = order[math.floor(p * 399)], order[math.ceil(p * 399)]
+            assert q == lo or lo != hi and (math.isnan(q) or lo <= q <= hi)
+
+
+def test_quantiles_scan_twice(lineitem):
+    """The first scan runs when the plan is built; what is left reads the table once."""
+    found = ordering.exact_quantiles(lineitem, None, [0.25, 0.5])
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+
+
 def test_slots_are_monotone(lineitem):
     long = numeric_long(lineitem, ["l_extendedprice"])
     spans = ordering.place(long, 40).groupBy("slot").agg(F.min("value").alias("a"), F.max("value").alias("b"))
