@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkeda.llm.shared import keep, ship
@@ -212,10 +213,11 @@ def near_pairs(found: DataFrame, grams: Grams, pairs_up_to: int = PAIRS_UP_TO) -
     with the corpus, and no pair is lost.
     """
     rows = _lists(found, grams).withColumns({"windows": F.lit(1), "j": F.lit(0)})
+    of_list = W.partitionBy("key")
     out = None
     while True:
-        sizes = rows.groupBy("key").agg(F.count("*").alias("members"), F.bool_or("own").alias("met")).filter("members > 1 AND met")
-        shared = keep(rows.join(sizes.drop("met"), "key"))
+        shared = keep(rows.withColumns({"members": F.count("*").over(of_list), "met": F.bool_or("own").over(of_list)}).filter(
+            "members > 1 AND met").drop("met"))
         small = shared.filter((F.col("members") <= pairs_up_to) | (F.col("windows") >= F.col("form")))
         one = F.struct("word", "n")
         lists = small.groupBy("key").agg(F.collect_list(F.when(F.col("own"), one)).alias("own"), F.collect_list(F.when(~F.col("own"), one)).alias("other"))
