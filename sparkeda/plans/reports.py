@@ -16,6 +16,7 @@ from sparkeda.functions.longform import empty_like, held
 from sparkeda.operators import categorical as cat
 from sparkeda.operators import quality as qual
 from sparkeda.operators import relate, stats
+from sparkeda.operators.association import associations
 
 LONG = "column string, metric string, value double, label string"
 FACTS = ("missing", "distinct", "moments", "spread", "pairs")
@@ -335,63 +336,6 @@ def report_lines(report: DataFrame, title: str, columns: Sequence[str] = (), par
     return report.sparkSession.createDataFrame([(1, f"## {title}")], "line_no long, line string").unionByName(body)
 
 
-def correlation_ratio(df: DataFrame) -> DataFrame:
-    """``(col1, col2, value)``: eta of each numeric ``col2`` by the groups of each string ``col1``.
-
-    Rows become one partial per (pair, group) first, so a hot group is one row, and group means are
-    compared with the pair's mean, not through large squares.
-    """
-    texts, numbers = string_columns(df), numeric_columns(df)
-    if not texts or not numbers:
-        return empty_like(df, "col1 string, col2 string, value double")
-    cells: list[Column] = [F.lit(len(texts) * len(numbers))]
-    for t in texts:
-        for c in numbers:
-            cells += [F.lit(t), F.lit(c), F.col(f"`{t}`"), qual.present(df, c).cast("double")]
-    groups = (
-        df.select(F.stack(*cells).alias("col1", "col2", "g", "x")).where("g IS NOT NULL AND x IS NOT NULL")
-        .groupBy("col1", "col2", "g").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
-    )
-    means = groups.groupBy("col1", "col2").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"))
-    between = F.sum(F.col("n") * F.pow(F.col("m") - F.col("mean"), 2))
-    within = F.sum(F.col("n") * F.col("v"))
-    return (
-        groups.join(F.broadcast(means), ["col1", "col2"]).groupBy("col1", "col2")
-        .agg(between.alias("b"), within.alias("w"))
-        .select("col1", "col2", round_to(F.sqrt(F.try_divide(F.col("b"), F.col("b") + F.col("w"))), 4).alias("value"))
-    )
-
-
-def uncertainty(df: DataFrame) -> DataFrame:
-    """``(col1, col2, value)``: share of ``col1``'s entropy that ``col2`` explains, for ordered string pairs."""
-    texts = string_columns(df)
-    if len(texts) < 2:
-        return empty_like(df, "col1 string, col2 string, value double")
-    pairs = [(a, b) for a in texts for b in texts if a < b]
-    cells: list[Column] = [F.lit(len(pairs))]
-    for a, b in pairs:
-        cells += [F.lit(a), F.lit(b), F.col(f"`{a}`"), F.col(f"`{b}`")]
-    joint = (
-        df.select(F.stack(*cells).alias("col1", "col2", "x", "y")).where("x IS NOT NULL AND y IS NOT NULL")
-        .groupBy("col1", "col2", "x", "y").agg(F.count("*").alias("n"))
-    )
-
-    def entropy(by: DataFrame, name: str) -> DataFrame:
-        n = F.col("n").cast("double")
-        total = F.sum(n)
-        return by.groupBy("col1", "col2").agg((F.ln(total) - F.sum(n * F.ln(n)) / total).alias(name))
-
-    hx = entropy(joint.groupBy("col1", "col2", "x").agg(F.sum("n").alias("n")), "hx")
-    hy = entropy(joint.groupBy("col1", "col2", "y").agg(F.sum("n").alias("n")), "hy")
-    every = entropy(joint, "hxy").join(hx, ["col1", "col2"]).join(hy, ["col1", "col2"])
-    shared = F.col("hx") + F.col("hy") - F.col("hxy")
-    u = F.array(
-        F.struct(F.col("col1").alias("a"), F.col("col2").alias("b"), F.try_divide(shared, F.col("hx")).alias("u")),
-        F.struct(F.col("col2").alias("a"), F.col("col1").alias("b"), F.try_divide(shared, F.col("hy")).alias("u")))
-    return every.select(F.inline(u)).select(
-        F.col("a").alias("col1"), F.col("b").alias("col2"), round_to(F.col("u"), 4).alias("value"))
-
-
 def column_report(df: DataFrame) -> DataFrame:
     """``(column, metric, value, label)``: every column's profile, then its associations with the others.
 
@@ -414,8 +358,8 @@ def _column_parts(facts: Facts) -> list[tuple[str | None, Callable[[], DataFrame
     parts: list[tuple[str | None, Callable[[], DataFrame]]] = [
         (None, lambda: stack([_values(gaps, "rows", "missing", "missing_pct"), _values(facts.distinct, "nunique")])),
         (None, lambda: linked(r, "pearson")),
-        (None, lambda: linked(correlation_ratio(df), "correlation_ratio")),
-        (None, lambda: linked(uncertainty(df), "uncertainty")),
+        (None, lambda: associations(df, {m["column"]: m["mean"] for m in facts.moments.collect()}).select(
+            F.col("col1").alias("column"), "metric", "value", F.col("col2").alias("label"))),
     ]
     if numeric_columns(df):
         parts.append((None, partial(_statistics, facts, SHAPE)))
