@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from itertools import product
-from typing import TypeVar
+from typing import NamedTuple, TypeVar
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
@@ -18,13 +19,14 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import numeric_columns, present, quoted, round_to, string_columns
 from sparkeda.functions.longform import empty_like
 from sparkeda.functions.lots import drawn
+from sparkeda.operators.ensembles import ensembles, nested_scores
 from sparkeda.operators.metrics import classification_report, regression_metrics
 
 # The search grids.
@@ -289,35 +291,111 @@ def search_space(task: str, classes: int, rows: int, seed: int = 42) -> dict[str
     return {name: (models[name], grids[name]) for name in grids}
 
 
-def _describe(params: Mapping) -> str:
-    return ", ".join(sorted(
-        f"{p.name}={v if not hasattr(v, 'extractParamMap') else type(v).__name__}" for p, v in params.items()))
+def _settings(params: Mapping) -> dict[str, object]:
+    """Names and values of a grid's entry; of a classifier against the rest its own."""
+    out: dict[str, object] = {}
+    for p, v in params.items():
+        out.update({q.name: v.getOrDefault(q) for q in (v.maxIter, v.stepSize, v.maxDepth)} if isinstance(v, GBTClassifier) else {p.name: v})
+    return out
+
+
+def _describe(settings: Mapping[str, object]) -> str:
+    return ", ".join(sorted(f"{name}={value}" for name, value in settings.items()))
+
+
+def _with(estimator: Estimator, settings: Mapping[str, object]) -> Estimator:
+    """A copy with the settings; those of one against the rest go to its classifier."""
+    out = estimator.copy()
+    inner = out.getClassifier().copy() if isinstance(out, OneVsRest) else out
+    for name, value in settings.items():
+        inner.set(inner.getParam(name), value)
+    if hasattr(inner, "cacheNodeIds") and not isinstance(inner, (GBTClassifier, GBTRegressor)):
+        inner.set(inner.cacheNodeIds, True)              # deep trees are not sent out again at every level
+    return out.setClassifier(inner) if isinstance(out, OneVsRest) else out
+
+
+#: What one fit answers for at once: the number of trees and, where trees do not build on each other, their depth.
+NESTED = {"random_forest": ("numTrees", "maxDepth"), "gradient_boosting": ("maxIter",), "decision_tree": ("maxDepth",)}
+DEEPEST = 30
+
+
+class Family(NamedTuple):
+    """Settings of a model that one fit answers for: what is fitted, and each entry of the grid with its (trees, depth) in it."""
 
+    fitted: dict[str, object]
+    entries: list[tuple[int, tuple[int, int]]]
 
-def grid_search(prep: Prepared, names: Sequence[str] | None = None, folds: int = FOLDS, parallelism: int = 4) -> DataFrame:
+
+def families(name: str, grid: Sequence[Mapping]) -> list[Family]:
+    """The entries of a grid by the fits that they need: the largest ensemble of each setting that cannot be read off a larger one."""
+    nested = NESTED.get(name, ())
+    groups: dict[tuple, list[tuple[int, dict]]] = {}
+    for i, entry in enumerate(grid):
+        own = _settings(entry)
+        groups.setdefault(tuple(sorted((k, v) for k, v in own.items() if k not in nested)), []).append((i, own))
+    out = []
+    for members in groups.values():
+        largest = {k: max(own[k] for _, own in members) for k in members[0][1] if k in nested}
+        place = [(i, (own.get("numTrees", own.get("maxIter", 1)), own["maxDepth"] if "maxDepth" in nested else DEEPEST)) for i, own in members]
+        out.append(Family({**members[0][1], **largest}, place if nested else [(i, (1, 1)) for i, _ in members]))
+    return out
+
+
+def grid_search(prep: Prepared, names: Sequence[str] | None = None, folds: int = FOLDS, parallelism: int = 4, seed: int = 42) -> DataFrame:
     """``(model, combinations, best_params, cv_score, test_score, error)``: every combination, 3-fold.
 
     cv_score is accuracy or R2; test_score is the same for classes, and MSE for numbers.
+
+    Folds are drawn as Spark's cross validation does. Numbers of trees and depths of one model are scored from one fit (see
+    :mod:`sparkeda.operators.ensembles`), and all fits of all models and folds run in one pool, the longest first. The best setting of
+    each model is fitted again on all training rows.
     """
     def work() -> DataFrame:
-        spaces = search_space(prep.task, prep.classes, prep.train.count())
-        score = _evaluator(prep.task) if prep.task == "regression" else MulticlassClassificationEvaluator(
-            labelCol=LABEL, predictionCol="prediction", metricName="accuracy")
-        if prep.task == "regression":
-            tested = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mse")
-        else:
-            tested = score
-        rows = []
-        for name in names or spaces:
-            estimator, grid = spaces[name]
-            try:
-                cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=score,
-                                    numFolds=folds, parallelism=parallelism, seed=42).fit(prep.train)
-                best = max(range(len(grid)), key=lambda i: cv.avgMetrics[i])
-                rows.append((name, len(grid), _describe(grid[best]), float(cv.avgMetrics[best]),
-                             float(tested.evaluate(cv.bestModel.transform(prep.test))), None))
-            except Exception as exc:  # noqa: BLE001 - one failing model must not stop the rest
-                rows.append((name, len(grid), None, None, None, str(exc)[:200]))
+        draw = prep.train.withColumn("__draw", F.rand(seed)).persist()
+        spaces = search_space(prep.task, prep.classes, draw.count())
+        chosen = [n for n in spaces if names is None or n in names]
+        accuracy = MulticlassClassificationEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="accuracy")
+        score = _evaluator(prep.task) if prep.task == "regression" else accuracy
+        tested = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mse") if prep.task == "regression" else accuracy
+
+        def fold(name: str, family: Family, k: int) -> list[tuple[int, float]]:
+            inside = (F.col("__draw") >= k / folds) & (F.col("__draw") < (k + 1) / folds)
+            model = _with(spaces[name][0], family.fitted).fit(draw.filter(~inside))
+            held_out = draw.filter(inside)
+            if name not in NESTED:
+                return [(i, float(score.evaluate(model.transform(held_out)))) for i, _ in family.entries]
+            sizes, depths = (sorted({at[j] for _, at in family.entries}) for j in (0, 1))
+            found = nested_scores(held_out, ensembles(model, prep.classes), sizes, depths, LABEL, FEATURES)
+            return [(i, found[at]) for i, at in family.entries]
+
+        def final(name: str, best: int) -> float:
+            return float(tested.evaluate(_with(spaces[name][0], _settings(spaces[name][1][best])).fit(prep.train).transform(prep.test)))
+
+        cost = list(NESTED)[::-1]                        # boosting takes the most rounds, then forests
+        jobs = sorted(((n, f, k) for n in chosen for f in families(n, spaces[n][1]) for k in range(folds)),
+                      key=lambda job: (job[0] != "gradient_boosting", cost.index(job[0]) if job[0] in cost else len(cost)))
+        rows, scores, failed = [], {n: [[] for _ in spaces[n][1]] for n in chosen}, {}
+        try:
+            with ThreadPoolExecutor(parallelism) as pool:
+                for (name, _, _), run in [(job, pool.submit(fold, *job)) for job in jobs]:
+                    try:
+                        for i, value in run.result():
+                            scores[name][i].append(value)
+                    except Exception as exc:  # noqa: BLE001 - one failing model must not stop the rest
+                        failed[name] = str(exc)[:200]
+                mean = {n: [sum(s) / folds for s in scores[n]] for n in chosen if n not in failed}
+                best = {n: max(range(len(m)), key=lambda i: m[i]) for n, m in mean.items()}
+                last = {n: pool.submit(final, n, i) for n, i in best.items()}
+                for name in chosen:
+                    grid = spaces[name][1]
+                    try:
+                        if name in failed:
+                            raise RuntimeError(failed[name])
+                        rows.append((name, len(grid), _describe(_settings(grid[best[name]])), mean[name][best[name]], last[name].result(), None))
+                    except Exception as exc:  # noqa: BLE001
+                        rows.append((name, len(grid), None, None, None, str(exc)[:200]))
+        finally:
+            draw.unpersist()
         return prep.train.sparkSession.createDataFrame(
             rows, "model string, combinations long, best_params string, cv_score double, test_score double, error string")
 
@@ -338,7 +416,7 @@ def auto_tune(prep: Prepared, tries: int = 5, seed: int = 42) -> DataFrame:
             tuned = TrainValidationSplit(estimator=forest, estimatorParamMaps=grid, evaluator=score,
                                          trainRatio=0.8, parallelism=4, seed=seed).fit(prep.train)
             best = max(range(tries), key=lambda i: tuned.validationMetrics[i])
-            rows.append(("tuned", _describe(grid[best]), float(score.evaluate(tuned.bestModel.transform(prep.test)))))
+            rows.append(("tuned", _describe(_settings(grid[best])), float(score.evaluate(tuned.bestModel.transform(prep.test)))))
         except Exception as exc:  # noqa: BLE001 - the untuned model stays
             rows.append(("tuned", f"failed: {str(exc)[:150]}", None))
         chosen = max((r for r in rows if r[2] is not None), key=lambda r: r[2])[0]
