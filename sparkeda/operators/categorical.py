@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparkeda.functions.digests import leading_texts
 from sparkeda.functions.kinds import numeric_columns, present, quoted, round_to, string_columns
 from sparkeda.functions.longform import numeric_long, rows_from, string_long, text_long
 from sparkeda.operators.quality import nunique
@@ -42,7 +43,7 @@ def top_values(totals: DataFrame, k: int) -> DataFrame:
 
 def value_counts(df: DataFrame, cols: Sequence[str] | None = None, k: int = 10) -> DataFrame:
     """``(column, value, count, rank)``: top values per string column, ties by value."""
-    return top_values(value_totals(df, cols), k)
+    return leading_texts(df, cols, k)
 
 
 def _distinct(df: DataFrame, names: Sequence[str], known: DataFrame | None) -> DataFrame:

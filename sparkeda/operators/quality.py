@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkeda.functions.digests import KEY, digest, thinned
 from sparkeda.functions.kinds import (
     FIXED_WIDTHS, is_missing, kind_of, numeric_columns, percent, present, quoted, round_to,
 )
@@ -27,6 +28,18 @@ def _countable(df: DataFrame, name: str) -> Column:
     return F.to_json(quoted(name)) if df.schema[name].dataType.typeName() == "map" else present(df, name)
 
 
+def _distinct_key(df: DataFrame, name: str) -> Column:
+    """What stands for a value where distinct ones are counted: of a text its digest, NULL where it is missing."""
+    if kind_of(df.schema[name].dataType) != "categorical":
+        return _countable(df, name)
+    return F.when(quoted(name).isNotNull(), F.struct(*digest(quoted(name))))
+
+
+def _row_totals(df: DataFrame) -> DataFrame:
+    """``(d1, d2, copies)``: how often each row stands in the table, by its digest."""
+    return df.select(*digest(*(_countable(df, c) for c in df.columns))).groupBy(*KEY).agg(F.count("*").alias("copies"))
+
+
 def nunique(
     df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, at_once: int = AT_ONCE
 ) -> DataFrame:
@@ -43,7 +56,7 @@ def nunique(
     parts = []
     for start in range(0, len(names), size):
         part = names[start:start + size]
-        one = df.agg(*[count(_countable(df, c)).alias(f"d{i}") for i, c in enumerate(part)])
+        one = df.agg(*[count(_countable(df, c) if approx else _distinct_key(df, c)).alias(f"d{i}") for i, c in enumerate(part)])
         parts.append(rows_from(one, [[("column", F.lit(c)), ("nunique", F.col(f"d{i}"))] for i, c in enumerate(part)]))
     return reduce(DataFrame.unionByName, parts)
 
@@ -92,13 +105,20 @@ def estimated_bytes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: how many rows equal an earlier row (missing equals missing)."""
-    groups = df.groupBy(*[_countable(df, c).alias(c) for c in df.columns]).agg(F.count("*").alias("copies"))
-    return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicates"))
+    return _row_totals(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """Each repeated row once, with its number of copies."""
-    return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("copies")).where("copies > 1")
+    """Each repeated row once, with its number of copies.
+
+    Rows are counted by digest first; those whose digest repeats are read again and counted by their values.
+    """
+    if not any(kind_of(f.dataType) == "categorical" for f in df.schema):
+        return df.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("copies")).where("copies > 1")
+    row = F.struct(*[quoted(c).alias(c) for c in df.columns]).alias("row")
+    keyed = df.select(row, *digest(*(_countable(df, c) for c in df.columns)))
+    some = thinned(keyed, _row_totals(df).where("copies > 1")).select("row.*")
+    return some.groupBy(*[quoted(c) for c in df.columns]).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
 def duplicates_by_key(df: DataFrame, key: str) -> DataFrame:
@@ -127,8 +147,7 @@ def duplicates_by_key(df: DataFrame, key: str) -> DataFrame:
 def table_overview(df: DataFrame) -> DataFrame:
     """One row: rows, columns, duplicate rows, data bytes and columns per kind."""
     kinds = [kind_of(f.dataType) for f in df.schema]
-    groups = df.groupBy(*[_countable(df, c).alias(c) for c in df.columns]).agg(F.count("*").alias("copies"))
-    counted = groups.agg(
+    counted = _row_totals(df).agg(
         F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("rows"),
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicates"),
     )

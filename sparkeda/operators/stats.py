@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkeda.functions.digests import first_texts, text_totals
 from sparkeda.functions.kinds import numeric_columns, percent, present, quoted, round_to, string_columns
-from sparkeda.functions.longform import empty_like, every_column, numeric_long, string_long
+from sparkeda.functions.longform import empty_like, every_column, held, numeric_long
 from sparkeda.functions.normal import shapiro_wilk
 from sparkeda.functions.ordering import exact_quantiles
 
@@ -57,12 +58,13 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, digits: i
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """``(column, count, unique, top, freq)`` per string column; ties go to the smaller value."""
-    counted = string_long(df, cols).groupBy("column", "value").agg(F.count("*").alias("times"))
-    best = F.min(F.struct((-F.col("times")).alias("neg"), "value"))
-    found = counted.groupBy("column").agg(F.sum("times").alias("count"), F.count("*").alias("unique"), best.alias("best"))
-    return every_column(df, string_columns(df, cols)).join(found, "column", "left").select(
-        "column", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("count", "unique")), F.col("best.value").alias("top"), (-F.col("best.neg")).alias("freq"))
+    """``(column, count, unique, top, freq)`` per string column; ties go to the smaller value. The counts are taken when this is called."""
+    best = F.min(F.struct((-F.col("count")).alias("less"), "head")).alias("best")
+    found = held(text_totals(df, cols).groupBy("column").agg(F.sum("count").alias("count"), F.count("*").alias("unique"), best))
+    top = first_texts(df, found.select("column", "best.head", (-F.col("best.less")).alias("count")))
+    return every_column(df, string_columns(df, cols)).join(found, "column", "left").join(top, "column", "left").select(
+        "column", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("count", "unique")),
+        F.coalesce("value", "best.head").alias("top"), (-F.col("best.less")).alias("freq"))
 
 
 def describe_all(df: DataFrame, max_cols: int | None = None, digits: int = 4) -> DataFrame:

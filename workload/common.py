@@ -82,7 +82,7 @@ def orders_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents_nokey(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select("text", "lang", "n_chars")
+    return load(spark, d, "documents").drop("doc_id")
 
 
 def lineitem_pred(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +163,7 @@ SQL_DERIVED = {
     "orders_text": """SELECT CAST(o_orderkey AS VARCHAR) AS key_text, CAST(o_totalprice AS VARCHAR) AS price_text,
         strftime(o_orderdate, '%Y-%m-%d') AS date_text, o_orderpriority,
         'c' || CAST(o_custkey AS VARCHAR) AS cust_text FROM orders""",
-    "documents_nokey": "SELECT text, lang, n_chars FROM documents",
+    "documents_nokey": "SELECT text, lang, source, n_chars FROM documents",
 }
 
 

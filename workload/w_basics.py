@@ -27,7 +27,7 @@ KINDS = {"BIGINT": ("bigint", "numeric", 8), "INTEGER": ("int", "numeric", 4), "
          "VARCHAR": ("string", "categorical", 0), "TIMESTAMP": ("timestamp_ntz", "datetime", 8)}
 LINEITEM_TYPES = ["BIGINT"] * 3 + ["INTEGER"] + ["DOUBLE"] * 4 + ["VARCHAR"] * 2 + ["TIMESTAMP"]
 LINEITEM_SCHEMA = list(zip(LINEITEM, LINEITEM_TYPES))
-DOCUMENTS_SCHEMA = [("text", "VARCHAR"), ("lang", "VARCHAR"), ("n_chars", "BIGINT")]
+DOCUMENTS_SCHEMA = [("text", "VARCHAR"), ("lang", "VARCHAR"), ("source", "VARCHAR"), ("n_chars", "BIGINT")]
 
 
 def bytes_sql(table: str, schema: list[tuple[str, str]]) -> str:
@@ -41,11 +41,11 @@ R.add("column_catalog", on("lineitem_nulls", quality.column_catalog), union([
         count({c}) AS non_null, count(DISTINCT {c}) AS nunique FROM {source('lineitem_nulls')}"""
     for i, (c, t) in enumerate(LINEITEM_SCHEMA)]))
 R.add("table_overview", on("documents_nokey", quality.table_overview), f"""
-    SELECT (SELECT count(*) FROM documents) AS rows, CAST(3 AS BIGINT) AS cols,
-      (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, n_chars FROM documents))
+    SELECT (SELECT count(*) FROM documents) AS rows, CAST(4 AS BIGINT) AS cols,
+      (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents))
         AS duplicates,
       (SELECT {big('sum(bytes)')} FROM ({bytes_sql('documents_nokey', DOCUMENTS_SCHEMA)})) AS bytes,
-      CAST(1 AS BIGINT) AS numeric_cols, CAST(2 AS BIGINT) AS categorical_cols, CAST(0 AS BIGINT) AS datetime_cols,
+      CAST(1 AS BIGINT) AS numeric_cols, CAST(3 AS BIGINT) AS categorical_cols, CAST(0 AS BIGINT) AS datetime_cols,
       CAST(0 AS BIGINT) AS other_cols""")
 R.add("table_overview_lineitem", on("lineitem_nulls", quality.table_overview), f"""
     SELECT (SELECT count(*) FROM lineitem) AS rows, CAST(11 AS BIGINT) AS cols,
@@ -86,14 +86,14 @@ R.add("missing_patterns", on("lineitem_nulls", quality.missing_patterns), f"""
       count(*) AS rows
     FROM {source('lineitem_nulls')} GROUP BY 1, 2""")
 R.add("duplicate_count", on("documents_nokey", quality.duplicate_count), """
-    SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, n_chars FROM documents))
+    SELECT (SELECT count(*) FROM documents) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents))
       AS duplicates""")
 R.add("duplicate_rows", on("documents_nokey", quality.duplicate_rows), """
-    SELECT text, lang, n_chars, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1""")
-R.add("duplicate_rows_by_key", on("documents", lambda df: quality.duplicates_by_key(df.drop("source"), "doc_id")), """
+    SELECT text, lang, source, n_chars, count(*) AS copies FROM documents GROUP BY ALL HAVING count(*) > 1""")
+R.add("duplicate_rows_by_key", on("documents", lambda df: quality.duplicates_by_key(df, "doc_id")), """
     SELECT doc_id, first_key, copies FROM (
       SELECT doc_id, min(doc_id) OVER w AS first_key, count(*) OVER w AS copies FROM documents
-      WINDOW w AS (PARTITION BY text, lang, n_chars)) WHERE doc_id > first_key""")
+      WINDOW w AS (PARTITION BY text, lang, source, n_chars)) WHERE doc_id > first_key""")
 _tokens = quality.PLACEHOLDER_TOKENS
 R.add("placeholders", on("orders_tokens", quality.placeholders), "SELECT * FROM (" + union([
     f"""SELECT '{c}' AS "column", '{t}' AS token, count(*) FILTER (WHERE lower(trim({c})) = '{t.lower()}') AS count
@@ -124,10 +124,12 @@ R.add("nunique", on("lineitem_nulls", quality.nunique), per_column(
 # quality score of documents without key: no missing cells, some duplicates, a skewed length, uneven languages
 _doc_facts = """
     n AS (SELECT count(*) AS rows FROM documents),
-    dup AS (SELECT (SELECT rows FROM n) - count(*) AS d FROM (SELECT DISTINCT text, lang, n_chars FROM documents)),
+    dup AS (SELECT (SELECT rows FROM n) - count(*) AS d FROM (SELECT DISTINCT text, lang, source, n_chars FROM documents)),
     sk AS (SELECT CASE WHEN abs(round_even(skewness(n_chars) * 1e3, 0) / 1e3) > 1 THEN 1 ELSE 0 END AS s FROM documents),
     bal AS (SELECT 'lang' AS c, count(*) AS classes, min(k) AS lo, max(k) AS hi
             FROM (SELECT lang, count(*) AS k FROM documents GROUP BY lang)
+            UNION ALL SELECT 'source', count(*), min(k), max(k)
+            FROM (SELECT source, count(*) AS k FROM documents GROUP BY source)
             UNION ALL SELECT 'text', count(*), min(k), max(k)
             FROM (SELECT text, count(*) AS k FROM documents GROUP BY text)),
     imb AS (SELECT count(*) FILTER (WHERE classes BETWEEN 2 AND 20 AND lo / hi < 0.2) AS i,
@@ -144,6 +146,7 @@ R.add("readiness_score", on("documents_nokey", quality.readiness_score), f"""WIT
                       'count(*)')} AS p FROM documents, b),
     r AS (SELECT (CASE WHEN count(DISTINCT text) > 0.9 * count(*) OR count(DISTINCT text) <= 1 THEN 1 ELSE 0 END)
             + (CASE WHEN count(DISTINCT lang) > 0.9 * count(*) OR count(DISTINCT lang) <= 1 THEN 1 ELSE 0 END)
+            + (CASE WHEN count(DISTINCT source) > 0.9 * count(*) OR count(DISTINCT source) <= 1 THEN 1 ELSE 0 END)
             + (CASE WHEN count(DISTINCT n_chars) > 0.9 * count(*) OR count(DISTINCT n_chars) <= 1 THEN 1 ELSE 0 END) AS k
           FROM documents)
-    SELECT score, {rnd('greatest(0.0, 0.7 * score + 30.0 * (1 - k / 3.0) - p)', 1)} AS readiness FROM q, o, r""")
+    SELECT score, {rnd('greatest(0.0, 0.7 * score + 30.0 * (1 - k / 4.0) - p)', 1)} AS readiness FROM q, o, r""")
