@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.llm import tokens
-from sparkeda.llm.shared import ship, vocabulary
+from sparkeda.llm.shared import ship, through_python, vocabulary
 
 #: Texts of more code points are encoded in parts of this size, in parallel.
 LEAF = 16_384
@@ -148,7 +148,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, wind
     whole = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     short = _encoded(whole.filter(F.length("text") <= leaf), path)
     kind = whole.schema["doc_id"].dataType.simpleString()
-    long = whole.filter(F.length("text") > leaf).withColumn("h", F.xxhash64("text"))
+    long = through_python(whole.filter(F.length("text") > leaf).withColumn("h", F.xxhash64("text")), "doc_id")
+    sent = long.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -157,7 +158,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, wind
                 yield pd.DataFrame({"doc_id": pd.Series([doc] * len(at), dtype=batch["doc_id"].dtype), "h": h, "part": list(at),
                                     "text": [t[k:k + leaf] for k in at]})
 
-    parts = ship(long).mapInPandas(cut, f"doc_id {kind}, h long, part long, text string")
+    parts = ship(long).mapInPandas(cut, f"doc_id {sent}, h long, part long, text string")
     dealt = _encoded(parts.repartition("doc_id", "h", "part"), path)
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
@@ -168,8 +169,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF, wind
         ids = Joiner(library, table, window).tree([p.tolist() for p in ordered["ids"]])
         return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].repeat(copies), "ids": [ids] * copies})
 
-    joined = dealt.groupBy("doc_id", "h").applyInPandas(join, f"doc_id {kind}, ids array<int>")
-    return short.unionByName(joined)
+    joined = dealt.groupBy("doc_id", "h").applyInPandas(join, f"doc_id {sent}, ids array<int>")
+    return short.unionByName(joined.withColumn("doc_id", F.col("doc_id").cast(kind)))
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -41,6 +41,11 @@ def as_chain(turns: DataFrame, tree: str = "conv_id", order: str = "turn", role:
         "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
+def _named(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with a tree's id in a struct, so that a null id is a tree like any other in the joins."""
+    return nodes.withColumn("tree", F.struct(F.col("tree").alias("id")))
+
+
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): every leaf with each node on its way to the root; ``up`` counts steps from the leaf.
 
@@ -48,6 +53,10 @@ def paths(nodes: DataFrame) -> DataFrame:
     no cycle can arise. Each round of self-joins doubles the steps known, so a chain of n turns takes log2(n) rounds; the
     rounds move keys only and are cut by checkpoints.
     """
+    return _paths(_named(nodes)).withColumn("tree", F.col("tree.id"))
+
+
+def _paths(nodes: DataFrame) -> DataFrame:
     known = nodes.select("tree", "node", F.when(F.col("parent") < F.col("node"), F.col("parent")).alias("parent"))
     present = known.select("tree", F.col("node").alias("parent")).distinct()
     edges = keep(known.join(present, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("above")))
@@ -69,7 +78,11 @@ def ranked_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
 
     ``branches`` keeps that many paths a tree; None keeps all. Ranks come from one row per path.
     """
-    way = paths(nodes)
+    return _ranked(_named(nodes), branches).withColumn("tree", F.col("tree.id"))
+
+
+def _ranked(nodes: DataFrame, branches: int | None) -> DataFrame:
+    way = _paths(nodes)
     scored = way.join(nodes.select("tree", "node", F.coalesce("score", F.lit(0.0)).alias("score")), ["tree", "node"])
     leaf = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     rank = leaf.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).drop("score")
@@ -85,8 +98,8 @@ def format_paths(nodes: DataFrame, branches: int | None = None, loss_role: str =
     gives an empty table. ``loss_spans`` lists (start, length), in code points of ``formatted``, of the texts spoken by
     ``loss_role``. A conversation is one row of output and is put together in one task; nothing larger is.
     """
-    nodes = nodes.select(*_NODE)
-    turns = ranked_paths(nodes, branches).join(nodes.select(
+    nodes = _named(nodes.select(*_NODE))
+    turns = _ranked(nodes, branches).join(nodes.select(
         "tree", "node", (F.coalesce("role", F.lit("")) == loss_role).alias("loss"),
         F.concat(F.lit(OPEN), escape_role(F.coalesce("role", F.lit(""))), F.lit(COLON)).alias("head"),
         escape(F.coalesce("text", F.lit(""))).alias("body")), ["tree", "node"])
@@ -99,7 +112,7 @@ def format_paths(nodes: DataFrame, branches: int | None = None, loss_role: str =
             (before + F.length("head")).alias("start"), F.length("body").cast("bigint").alias("length")).alias("turn"))
     whole = placed.groupBy("tree", "leaf", "rank").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     return whole.select(
-        "tree", "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"),
+        F.col("tree.id").alias("tree"), "leaf", "rank", F.size("turns").cast("bigint").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("formatted"),
         F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"], t["length"])).alias("loss_spans"))
 

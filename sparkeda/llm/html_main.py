@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkeda.llm.shared import keep, ship
+from sparkeda.llm.shared import keep, ship, through_python
 
 #: Winning paths of up to this many hosts are sent to all tasks; more are joined by host.
 HOSTS_TO_ALL = 100_000
@@ -256,11 +256,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     paths = keep(host_paths(hosted))
     small = paths.limit(HOSTS_TO_ALL + 1).count() <= HOSTS_TO_ALL
     placed = hosted.join(F.broadcast(paths) if small else paths, "host", "left").select("page_id", "url", "path", "html")
-    kinds = {f.name: f.dataType.simpleString() for f in placed.schema}
+    kind, sent = placed.schema["page_id"].dataType.simpleString(), through_python(placed, "page_id")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = [Page(h).text(p) for h, p in zip(batch["html"], batch["path"])]
             yield batch[["page_id", "url"]].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return ship(placed).mapInPandas(read, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    found = ship(sent).mapInPandas(read, f"page_id {sent.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return found.withColumn("page_id", F.col("page_id").cast(kind))

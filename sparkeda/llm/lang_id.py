@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkeda.llm.shared import lot, ship
+from sparkeda.llm.shared import lot, ship, through_python
 
 #: Letter triples are hashed into this many slots, so a model holds that many numbers per language whatever it is learned from.
 SLOTS = 1 << 16
@@ -212,21 +212,23 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     ``lang_pred`` is a learned language, or ``und`` with score 0 where the text is null or has no letter; ``score`` is the share
     of letters in spans of that language. Only the text is looked at.
     """
-    rows = docs.select(F.struct(*(carry or []), F.lit(0).alias("lang_id")).alias("rest"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    flat = rows.select(F.col("text"), *(F.col("rest")[c].alias(f"c{i}") for i, c in enumerate(carry or [])))
+    carry = carry or []
+    # the text goes to Python and back once, also where it is carried
+    given = docs.select(F.col(text).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text))
+    flat = through_python(given, *given.columns[1:])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = label_texts(batch["text"].tolist(), shared.value, switch)
-            rest = batch.drop(columns="text")
-            yield rest.assign(lang_pred=[m[0] for m in made], score=[m[1] for m in made],
+            made = label_texts([t or "" for t in batch["text"].tolist()], shared.value, switch)
+            yield batch.assign(lang_pred=[m[0] for m in made], score=[m[1] for m in made],
                               spans=[[{"lang": s[0], "start": s[1], "length": s[2]} for s in m[2]] for m in made])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in flat.schema if f.name != "text")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in flat.schema)
     out = ship(flat).mapInPandas(
         run, f"{fields}lang_pred string, score double, spans array<struct<lang: string, start: long, length: long>>")
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(carry or [])), "lang_pred", "score", "spans")
+    back = [F.col("text").alias(c) if c == text else F.col(f"c{i}").cast(given.schema[f"c{i}"].dataType).alias(c) for i, c in enumerate(carry)]
+    return out.select(*back, "lang_pred", "score", "spans")
 
 
 def held_out(key: Column) -> Column:

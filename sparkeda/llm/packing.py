@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkeda.llm import tokens
-from sparkeda.llm.shared import keep, ship, texts, vocabulary
+from sparkeda.llm.shared import keep, ship, texts, through_python, vocabulary
 
 #: Pieces packed together in one task. The number of groups grows with the input, a group's work does not.
 GROUP = 16_384
@@ -40,8 +40,9 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, key:
             yield made
 
     plain = ship(texts(docs, key, text))
-    kind = plain.schema["doc_id"].dataType.simpleString()
-    return plain.mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    kind, sent = plain.schema["doc_id"].dataType.simpleString(), through_python(plain, "doc_id")
+    made = sent.mapInPandas(cut, f"doc_id {sent.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return made.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def place(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,15 +86,18 @@ def pack(parts: DataFrame, size: int = 4096, group: int = GROUP) -> DataFrame:
     held = keep(ship(parts))
     groups = max(1, -(-held.count() // group))
     names = parts.columns
-    dealt = held.withColumn("group", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("long"))
+    # the place in the checkpoint parts equal rows and is the same if a task runs again
+    dealt = held.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *names), F.lit(groups)).cast("long"))
+    sent = through_python(dealt, *(n for n in names if n != "length"))
 
     def fill(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", *names], ascending=False, ignore_index=True)
         sequence, offset = place(rows["length"].to_numpy(), size)
         return rows.assign(sequence_id=rows["group"] * (1 << 32) + sequence, offset=offset).drop(columns="group")
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return dealt.groupBy("group").applyInPandas(fill, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema if f.name != "group")
+    filled = sent.groupBy("group").applyInPandas(fill, f"{schema}, sequence_id long, offset long")
+    return filled.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in parts.schema), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = 4096, end: int = 1,

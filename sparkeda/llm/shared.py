@@ -18,6 +18,12 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def through_python(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with whole numbers of the named columns as text: where one is null, pandas would round the others beyond 2 ** 53."""
+    whole = ("tinyint", "smallint", "int", "bigint")
+    return df.withColumns({n: F.col(n).cast("string") for n in names if df.schema[n].dataType.simpleString() in whole})
+
+
 def lot(key: Column, parts: int) -> Column:
     """CRC-32 of the key as text, modulo ``parts``: the seeded split of the operators that learn."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
@@ -47,13 +53,13 @@ _SHIPPED: set[str] = set()
 
 
 def ship(df: DataFrame) -> DataFrame:
-    """``df``, after this folder's code has been sent to the executors, once per application, for functions that run in Python."""
+    """``df``, after the package's code has been sent to the executors, once per application, for functions that run in Python."""
     sc = df.sparkSession.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = Path(__file__).resolve().parents[1]
         archive = Path(tempfile.mkdtemp(prefix="code-")) / f"{root.name}.zip"
         with zipfile.ZipFile(archive, "w") as z:
-            for source in [root / "__init__.py", *sorted(Path(__file__).parent.glob("*.py"))]:
+            for source in sorted(root.rglob("*.py")):
                 z.write(source, source.relative_to(root.parent))
         sc.addPyFile(str(archive))
         _SHIPPED.add(sc.applicationId)

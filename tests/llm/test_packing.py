@@ -55,7 +55,8 @@ PARTS = ["a", "The", "ÉÉ", "e\u0301", "\u0301", "İ", "ΑΣ", ".", "'s", "12",
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PARTS), min_size=1, max_size=5).map("".join), max_size=30))
-def test_joined_stretches(stretches, library=tokens.load(vocabulary("word_bpe_49k.json"))):  # noqa: B008 - loaded once
+def test_joined_stretches(stretches):
+    library, *_ = tokens.remembered(vocabulary("word_bpe_49k.json"), tokens.encode_each)
     assert tokens.encode_joined(library, stretches) == tokens.encode_each(library, stretches)
     text = " ".join(stretches)
     assert b"".join(tokens.encode_each(library, tokens.bare_stretches(text))) == tokens.as_bytes(
