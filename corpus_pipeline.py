@@ -14,6 +14,12 @@ from sparkeda.llm.shared import WORD, shared_folder
 LANGUAGE_SHARE = 0.5
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns under names that no operator uses, and these names."""
+    at = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the threshold table; null and empty texts go."""
     return quality_rules.passing(docs)
@@ -27,8 +33,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = lang_id.learn_held_out(docs)
     if not model.langs:
         return docs
-    found = lang_id.predict(docs, model, carry=docs.columns)
-    return found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(*docs.columns)
+    plain, at = _numbered(docs)
+    found = lang_id.predict(plain, model, text=at["text"], carry=plain.columns)
+    stays = found.filter((F.col("lang_pred") != lang_id.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE))
+    return stays.select(*(F.col(at[c]).alias(c) for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +44,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the text. A document that has lost lines goes only if no word is left in it; short lines alone are a text too.
     """
-    other = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    found = line_dedup.dedup(docs, carry=other).filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
-    return found.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    plain, at = _numbered(docs)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    other = [at[c] for c in docs.columns if c not in made]
+    found = line_dedup.dedup(plain, at["doc_id"], at["text"], other).filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD))
+    return found.select(*(made.get(c, F.col(at[c])).alias(c) for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
