@@ -100,3 +100,27 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         y, ln = math.log(1 - w), math.log(n)
         mean, sd = _poly(LARGE_MEAN, ln), math.exp(_poly(LARGE_LOG_SD, ln))
     return w, 0.5 * math.erfc((y - mean) / sd / math.sqrt(2))
+
+
+# The tail of the Kolmogorov-Smirnov distance to a normal with estimated mean and deviation, by Dallal and Wilkinson
+# (1986) up to a probability of 0.1 and by polynomials in Stephens' (1974) modified distance above it.
+LILLIEFORS_TAIL = (-7.01256, 2.78019, 2.99587, -0.122119, 0.974598, 1.67997)
+LILLIEFORS_LOW = (2.76773, -19.828315, 80.709644, -138.55152, 81.218052)
+LILLIEFORS_HIGH = (-4.901232, 40.662806, -97.490286, 94.029866, -32.355711)
+STEPHENS = (0.01, 0.85)
+
+
+def lilliefors_p(d: Column, n: Column) -> Column:
+    """Probability of a distance of at least ``d`` of ``n`` values to the normal fitted to them, as a column; NULL below 5 values.
+
+    Beyond 100 values the distance is taken to that of 100 values with the same modified distance, on which the tail depends.
+    """
+    n = n.cast("double")
+    scale = lambda m: F.sqrt(m) - STEPHENS[0] + STEPHENS[1] / F.sqrt(m)
+    modified, most = scale(n) * d, F.least(n, F.lit(100.0))
+    at = modified / scale(most)
+    a, b, c, e, f, g = LILLIEFORS_TAIL
+    tail = F.exp(a * at * at * (most + b) + c * at * F.sqrt(most + b) + e + f / F.sqrt(most) + g / most)
+    power = lambda k: reduce(lambda x, c: x * modified + c, map(F.lit, k[::-1]))
+    near = F.when(modified <= 0.302, 1.0).when(modified <= 0.5, power(LILLIEFORS_LOW)).when(modified <= 0.9, power(LILLIEFORS_HIGH)).otherwise(tail)
+    return F.when(n >= 5, F.least(F.lit(1.0), F.when(tail > 0.1, near).otherwise(tail)))

@@ -230,12 +230,13 @@ def normality_shapiro(
 
 
 def normality_ks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Kolmogorov-Smirnov distance to the fitted normal: ``(column, n, d, scaled_d)``.
+    """Kolmogorov-Smirnov distance to the fitted normal: ``(column, n, d, scaled_d, p_value, is_normal)``, any size.
 
     The empirical distribution needs each value's rank, taken by ranges rather than by one sort.
-    ``scaled_d`` is sqrt(n) * d, to compare with the usual critical values (1.36 at 5 %).
+    ``scaled_d`` is sqrt(n) * d; ``p_value`` allows for the mean and deviation being estimated, as critical values for a known
+    normal (1.36 for ``scaled_d`` at 5 %) do not. Constant columns are absent.
     """
-    from sparkeda.functions.normal import normal_cdf
+    from sparkeda.functions.normal import lilliefors_p, normal_cdf
     from sparkeda.functions.ordering import running_totals
 
     counted = numeric_long(df, cols).groupBy("column", "value").agg(F.count("*").alias("times"))
@@ -251,7 +252,8 @@ def normality_ks(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         ranked.join(F.broadcast(scale), "column").withColumn("cdf", cdf)
         .groupBy("column").agg(F.max("nn").alias("n"), F.max(gap).alias("d"))
         .select("column", "n", round_to(F.col("d"), 5).alias("d"),
-                round_to(F.sqrt(F.col("n").cast("double")) * F.col("d"), 3).alias("scaled_d"))
+                round_to(F.sqrt(F.col("n").cast("double")) * F.col("d"), 3).alias("scaled_d"),
+                round_to(lilliefors_p(F.col("d"), F.col("n")), 4).alias("p_value"), (lilliefors_p(F.col("d"), F.col("n")) > 0.05).alias("is_normal"))
     )
 
 

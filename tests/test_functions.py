@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkeda.functions import ordering, sketch, tails
 from sparkeda.functions.kinds import kind_of, numeric_columns, round_to, string_columns
 from sparkeda.functions.longform import numeric_long, string_long
-from sparkeda.functions.normal import inverse_normal, normal_cdf, shapiro_wilk
+from sparkeda.functions.normal import inverse_normal, lilliefors_p, normal_cdf, shapiro_wilk
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -169,6 +169,19 @@ def test_shapiro_published_values():
     assert shapiro_wilk(normal)[0] > 0.999
 
 
+def test_lilliefors_published_values(spark):
+    """Critical values of Lilliefors' tables, and Stephens' for large samples; p falls as the distance grows."""
+    table = {(20, 0.15): 0.167, (20, 0.05): 0.192, (20, 0.01): 0.223, (30, 0.2): 0.131, (30, 0.05): 0.159, (30, 0.01): 0.185}
+    large = {(n, p): x / (n ** 0.5 - 0.01 + 0.85 / n ** 0.5) for n in (100, 1000, 10 ** 6) for p, x in ((0.15, 0.775), (0.1, 0.819), (0.05, 0.895), (0.01, 1.035))}
+    rows = [(n, p, d) for (n, p), d in {**table, **large}.items()]
+    for r in spark.createDataFrame(rows, "n long, p double, d double").select("*", lilliefors_p(F.col("d"), F.col("n")).alias("got")).collect():
+        assert r["got"] == pytest.approx(r["p"], rel=0.12), r
+    falling = [r[0] for r in spark.range(1, 400).select(lilliefors_p(F.col("id") / 2000.0, F.lit(500))).collect()]
+    assert falling[0] == 1.0 and falling[-1] < 1e-6
+    assert all(a >= b - 0.002 for a, b in zip(falling, falling[1:]))
+    assert spark.range(1).select(lilliefors_p(F.lit(0.3), F.lit(4))).first()[0] is None
+
+
 def test_tails_match_tables():
     assert tails.t_two_sided(2.228, 10) == pytest.approx(0.05, abs=1e-4)
     assert tails.t_two_sided(0.0, 5) == pytest.approx(1.0)

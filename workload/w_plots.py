@@ -121,7 +121,8 @@ R.add("qq_line", on("events", plot.qq_line), f"""
 
 
 def ks_sql(table: str, cols: list[str]) -> str:
-    z = "abs(z)"
+    z, t = "abs(z)", normal.LILLIEFORS_TAIL
+    tail = f"{t[0]} * e * e * (m + {t[1]}) + {t[2]} * e * sqrt(m + {t[1]}) + {t[3]} + {t[4]} / sqrt(m) + {t[5]} / m"
     hart = f"exp(-z * z / 2) * {_horner(z, normal.HART_NUM)} / {_horner(z, normal.HART_DEN)}"
     deep = f"exp(-z * z / 2) / ({z} + 1 / ({z} + 2 / ({z} + 3 / ({z} + 0.65)))) / sqrt(2 * pi())"
     return f"""
@@ -134,8 +135,14 @@ def ks_sql(table: str, cols: list[str]) -> str:
     p AS (SELECT *, CASE WHEN z > 0 THEN 1 - tail ELSE tail END AS cdf FROM t),
     d AS (SELECT "column", any_value(n) AS n,
             max(greatest(abs(cdf - CAST(upto - k AS DOUBLE) / n), abs(CAST(upto AS DOUBLE) / n - cdf))) AS d
-          FROM p GROUP BY 1)
-    SELECT "column", n, {rnd('d', 5)} AS d, {rnd('sqrt(CAST(n AS DOUBLE)) * d', 3)} AS scaled_d FROM d"""
+          FROM p GROUP BY 1),
+    s AS (SELECT *, (sqrt(n) - 0.01 + 0.85 / sqrt(n)) * d AS x, least(n, 100)::DOUBLE AS m FROM d),
+    w AS (SELECT *, x / (sqrt(m) - 0.01 + 0.85 / sqrt(m)) AS e FROM s),
+    q AS (SELECT *, exp({tail}) AS tail FROM w),
+    v AS (SELECT *, least(1.0, CASE WHEN tail <= 0.1 OR x > 0.9 THEN tail WHEN x <= 0.302 THEN 1.0
+            WHEN x <= 0.5 THEN {_horner('x', normal.LILLIEFORS_LOW[::-1])} ELSE {_horner('x', normal.LILLIEFORS_HIGH[::-1])} END)::DOUBLE AS p FROM q)
+    SELECT "column", n, {rnd('d', 5)} AS d, {rnd('sqrt(CAST(n AS DOUBLE)) * d', 3)} AS scaled_d, {rnd('p', 4)} AS p_value, p > 0.05 AS is_normal
+    FROM v"""
 
 
 
@@ -172,8 +179,7 @@ def shapiro_sql(table: str, cols: list[str]) -> str:
 
 R.add("normality_shapiro", on("supplier", stats.normality_shapiro),
       shapiro_sql("supplier", ["s_suppkey", "s_nationkey", "s_acctbal"]))
-R.add("normality_ks", on("events", lambda df: stats.normality_ks(df, ["value", "user_id"])),
-      ks_sql("events", ["user_id", "value"]))
+R.add("normality_ks", on("events", stats.normality_ks), ks_sql("events", EVENTS_NUMBERS))
 R.add("bar_counts", on("part", plot.bar_counts), top_sql("part", PART_TEXTS, 15))
 R.add("pie_shares", on("lineitem", plot.pie_shares), f"""
     SELECT "column", value, k AS count, {rnd('k * 100.0::DOUBLE / n', 1)} AS share_pct FROM (
