@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkeda.functions.kinds import quoted
@@ -81,10 +82,24 @@ def read_table(
 
 
 def read_text_preview(spark: SparkSession, path: str, n: int = 1000) -> DataFrame:
-    """``(path, characters, preview)``: each text file whole, shown up to ``n`` characters."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    shown = F.concat(F.substring("value", 1, n), F.when(F.length("value") > n, "...").otherwise(""))
-    return files.select("path", F.length("value").cast("long").alias("characters"), shown.alias("preview"))
+    """``(path, characters, preview)``: each text file's number of characters and its first ``n``; empty files are left out.
+
+    Files are read by lines in as many tasks as they have blocks; only a single line has to fit a task. Line feeds are what the
+    file's bytes hold beyond its lines. A line that starts in a block from byte 4 n on lies behind the first n characters, and
+    more than n lines are never needed, cut to n characters each.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    held = lines.groupBy("path").agg(
+        (F.sum(F.length("value").cast("long")) + F.max("size") - F.sum(F.octet_length("value").cast("long"))).alias("characters"))
+    first = lines.where(F.col("block") <= 4 * n).select("path", "block", "at", F.left("value", F.lit(n)).alias("line"))
+    first = first.withColumn("no", F.row_number().over(W.partitionBy("path").orderBy("block", "at"))).where(F.col("no") <= n + 1)
+    shown = first.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("lines")).select(
+        "path", F.concat(F.array_join(F.transform("lines", lambda r: r["line"]), "\n"), F.lit("\n")).alias("start"))
+    more = F.when(F.col("characters") > n, "...").otherwise("")
+    return held.join(shown, "path").select(
+        "path", "characters", F.concat(F.left("start", F.least(F.col("characters"), F.lit(n)).cast("int")), more).alias("preview"))
 
 
 def file_manifest(spark: SparkSession, path: str, by: str = "name_size") -> DataFrame:
