@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparkeda.functions.ordering import running_totals
-from sparkeda.llm.shared import WORD, keep
+from sparkeda.llm.shared import WORD, keep, ship
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     entries = keep(sized(docs, key, text, source))
     sources = keep(weighted(entries.groupBy(*_SOURCE).agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))))
     aims = keep(targets(sources).select(*_SOURCE, "source_size", "target"))
-    lengths = entries.groupBy(*_LENGTH).agg(F.sum("copies").alias("docs"))
+    lengths = ship(entries).groupBy(*_LENGTH).agg(F.sum("copies").alias("docs"))
     plan = lengths.filter("size > 0").join(aims, _SOURCE).groupBy(*_SOURCE).applyInPandas(
         _fit, "unnamed boolean, source string, size long, passes long, extra long")
 
