@@ -17,6 +17,8 @@ TITLE_CHARS, RECENT, RECENT_CHARS = 50, 6, 200
 # Fenced code, fenced JSON and brace patterns.
 PYTHON_FENCE = r"(?s)```python\s*\n(.*?)```"
 ANY_FENCE = r"(?s)```\s*\n(.*?)```"
+# A line that starts with a capital is prose unless it holds one of these.
+CODE_MARKS = ["import", "from ", "result", "df", "plt", "sns", "pd.", "np."]
 JSON_FENCE = r"(?s)```json\s*\n(.*?)```"
 BRACES = r"(\{[\s\S]*?\})"
 
@@ -73,6 +75,30 @@ def extract_code_blocks(log: DataFrame) -> DataFrame:
     )
 
 
+def answer_code(log: DataFrame) -> DataFrame:
+    """``(conv_id, turn, code)``: the code that each turn answers with; null and blank texts have none.
+
+    That is the first fenced block, marked ones before others. Without a whole block it is what follows the prose at the start:
+    fence lines go, and code begins at the first line that no capital opens, that holds one of ``CODE_MARKS``, or that an
+    opening fence precedes. If nothing is left, it is the text.
+    """
+    tidy = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    block = F.coalesce(*(F.get(F.regexp_extract_all("text", F.lit(fence), F.lit(1)), F.lit(0)) for fence in (PYTHON_FENCE, ANY_FENCE)))
+    fenced = lambda x: F.startswith(tidy(x), F.lit("```"))
+    marked = "|".join(m.replace(".", r"\.") for m in CODE_MARKS)
+    prose = lambda x: tidy(x).rlike(r"^\p{Lu}") & ~tidy(x).rlike(marked)
+    opened = lambda i: F.size(F.filter(F.slice("lines", F.lit(1), i), fenced)) % 2 == 1
+    starts = F.transform("lines", lambda x, i: ~fenced(x) & (opened(i) | ~prose(x)))
+    first = F.array_position(starts, True)
+    kept = F.filter(F.when(first > 0, F.slice("lines", F.greatest(first, F.lit(1)).cast("int"), F.size("lines"))), lambda x: ~fenced(x))
+    left = F.when(first > 0, tidy(F.array_join(kept, "\n"))).otherwise(F.col("whole"))
+    return (
+        log.select("conv_id", "turn", "text", tidy(F.col("text")).alias("whole")).where("whole <> ''")
+        .select("conv_id", "turn", "whole", block.alias("block"), F.split("whole", "\n", -1).alias("lines"))
+        .select("conv_id", "turn", F.when(F.col("block").isNotNull(), tidy(F.col("block"))).otherwise(left).alias("code"))
+    )
+
+
 def extract_json_payloads(log: DataFrame) -> DataFrame:
     """``(conv_id, turn, payload)``: the first text that parses as JSON: all of it, a json fence, then braces."""
     tidy = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")

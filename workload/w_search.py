@@ -102,6 +102,19 @@ R.add("extract_code_blocks", on("conversations_code", chatlog.extract_code_block
         ELSE {_all(chatlog.ANY_FENCE)} END AS blocks FROM {LOG} WHERE contains(text, '```'))
     SELECT conv_id, turn, CAST(i AS BIGINT) AS block, {_trim('blocks[i + 1]')} AS code
     FROM (SELECT *, unnest(range(len(blocks))) AS i FROM b)""")
+_prose = "(regexp_matches({x}, '^\\p{{Lu}}') AND NOT regexp_matches({x}, '" + "|".join(m.replace(".", "[.]") for m in chatlog.CODE_MARKS) + "'))"
+R.add("answer_code", on("conversations_code", chatlog.answer_code), f"""
+    WITH t AS (SELECT conv_id, turn, {_trim('text')} AS whole, {_all(chatlog.PYTHON_FENCE)}[1] AS a, {_all(chatlog.ANY_FENCE)}[1] AS b FROM {LOG}),
+    l AS (SELECT *, string_split(whole, chr(10)) AS lines FROM t WHERE whole <> ''),
+    e AS (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM l),
+    x AS (SELECT conv_id, turn, whole, coalesce(a, b) AS block, i, lines[i] AS line, {_trim('lines[i]')} AS s FROM e),
+    f AS (SELECT *, starts_with(s, '```') AS fence,
+            coalesce(sum(starts_with(s, '```')::INT) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM x),
+    g AS (SELECT *, min(i) FILTER (WHERE NOT fence AND (before % 2 = 1 OR NOT {_prose.format(x='s')})) OVER (PARTITION BY conv_id, turn) AS first FROM f),
+    h AS (SELECT conv_id, turn, any_value(block) AS block, any_value(whole) AS whole,
+            string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT fence AND i >= first) AS kept FROM g GROUP BY conv_id, turn)
+    SELECT conv_id, turn, CASE WHEN block IS NOT NULL THEN {_trim('block')} WHEN kept IS NOT NULL THEN {_trim('kept')} ELSE whole END AS code FROM h""")
 R.add("extract_json_payloads", on("conversations_code", chatlog.extract_json_payloads), f"""
     WITH t AS (SELECT conv_id, turn, list_transform(list_concat([text], {_all(chatlog.JSON_FENCE)}, {_all(chatlog.BRACES)}),
         lambda x: {_trim('x')}) AS tries FROM {LOG}),
