@@ -81,12 +81,14 @@ def read_table(
     return known.select(*out)
 
 
-def read_text_preview(spark: SparkSession, path: str, n: int = 1000) -> DataFrame:
+def read_text_preview(spark: SparkSession, path: str, n: int = 1000, folders: bool = False) -> DataFrame:
     """``(path, characters, preview)``: each text file's number of characters and its first ``n``; empty files are left out.
 
+    With ``folders`` the files of a folder are one text, in the order of their names, as Spark writes one in parts.
+
     Files are read by lines in as many tasks as they have blocks; only a single line has to fit a task. Line feeds are what the
     file's bytes hold beyond its lines. A line that starts in a block from byte 4 n on lies behind the first n characters, and
-    more than n lines are never needed, cut to n characters each.
+    more than n lines are never needed, cut to n characters each, nor more than n files of a folder.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"),
@@ -97,25 +99,36 @@ def read_text_preview(spark: SparkSession, path: str, n: int = 1000) -> DataFram
     first = first.withColumn("no", F.row_number().over(W.partitionBy("path").orderBy("block", "at"))).where(F.col("no") <= n + 1)
     shown = first.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("lines")).select(
         "path", F.concat(F.array_join(F.transform("lines", lambda r: r["line"]), "\n"), F.lit("\n")).alias("start"))
-    more = F.when(F.col("characters") > n, "...").otherwise("")
-    return held.join(shown, "path").select(
-        "path", "characters", F.concat(F.left("start", F.least(F.col("characters"), F.lit(n)).cast("int")), more).alias("preview"))
+    begun = held.join(shown, "path").select("path", "characters", F.left("start", F.least(F.col("characters"), F.lit(n)).cast("int")).alias("start"))
+    if folders:
+        named = begun.select(_folder("path").alias("folder"), "path", "characters", "start")
+        named = named.withColumn("no", F.row_number().over(W.partitionBy("folder").orderBy("path")))
+        needed = F.when(F.col("no") <= n, F.struct("no", "start"))
+        begun = named.groupBy(F.col("folder").alias("path")).agg(F.sum("characters").alias("characters"), F.sort_array(F.collect_list(needed)).alias("starts"))
+        begun = begun.select("path", "characters", F.left(F.array_join(F.transform("starts", lambda r: r["start"]), ""), F.lit(n)).alias("start"))
+    return begun.select("path", "characters", F.concat("start", F.when(F.col("characters") > n, "...").otherwise("")).alias("preview"))
+
+
+def _folder(path: str) -> Column:
+    return F.regexp_replace(path, "/[^/]*$", "")
 
 
-def file_manifest(spark: SparkSession, path: str, by: str = "name_size") -> DataFrame:
+def file_manifest(spark: SparkSession, path: str, by: str = "name_size", folders: bool = False) -> DataFrame:
     """``(name, extension, kind, bytes)`` of every file below ``path``; the contents are not read.
 
-    A file counts as seen when its name and size (or with ``by='name'`` its name) came before, in the order of paths.
+    A file counts as seen when its name and size (or with ``by='name'`` its name) came before, in the order of paths. With
+    ``folders`` the files of a folder that have one extension are one file with the folder's name, as Spark writes one in parts.
     """
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        .select("path", "length")
+        .select("path", F.col("length").alias("bytes"), F.lower(F.element_at(F.split(last("path"), r"\."), -1)).alias("extension"))
     )
-    name = F.element_at(F.split("path", "/"), -1)
-    extension = F.lower(F.element_at(F.split(name, r"\."), -1))
+    if folders:
+        listed = listed.groupBy(_folder("path").alias("path"), "extension").agg(F.sum("bytes").alias("bytes"))
     kinds = F.create_map(*[F.lit(x) for pair in FILE_KINDS.items() for x in pair])
-    named = listed.select("path", name.alias("name"), extension.alias("extension"), F.col("length").alias("bytes"))
-    keys = ["name", "bytes"] if by == "name_size" else ["name"]
+    named = listed.select("path", last("path").alias("name"), "extension", "bytes")
+    keys = (["name", "bytes"] if by == "name_size" else ["name"]) + (["extension"] if folders else [])
     first = named.groupBy(*keys).agg(F.min(F.struct("path", "extension", "bytes")).alias("first")).select("name", "first.*")
     return first.select("name", "extension", F.coalesce(kinds[F.col("extension")], F.lit("other")).alias("kind"), "bytes")
 

@@ -36,13 +36,21 @@ R.add("read_table", read_back, """
 
 
 def previews(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written as text files, one per language, and each file shown."""
-    return files.read_text_preview(spark, f"{_by_language(spark, d)}/*").select("characters", "preview")
+    """Documents written as texts, one per language, and each text shown."""
+    return files.read_text_preview(spark, f"{_by_language(spark, d)}/*", folders=True).select("characters", "preview")
+
+
+#: Bytes of text that a task sorts and writes.
+PART_BYTES = 1 << 27
 
 
 def _by_language(spark: SparkSession, d: str) -> str:
+    """One text per language by document, in a folder each; large ones in several parts, each of a range of the documents."""
     path = files.new_path(spark, "texts")
-    rows = load(spark, d, "documents").repartition("lang").sortWithinPartitions("lang", "doc_id")
+    docs = load(spark, d, "documents")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    order = ["lang", "doc_id", F.xxhash64("text")]
+    rows = docs.repartitionByRange(size // PART_BYTES + 1, *order).sortWithinPartitions(*order)
     rows.select("lang", F.col("text").alias("value")).write.partitionBy("lang").text(path)
     return path
 
@@ -54,7 +62,7 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     rows.write.csv(f"{path}/c")
     rows.select(F.to_json(F.struct("r_name")).alias("value")).write.text(f"{path}/t")
     rows.write.json(f"{path}/j")
-    return files.file_manifest(spark, path).select("extension", "kind", "bytes")
+    return files.file_manifest(spark, path, folders=True).select("extension", "kind", "bytes")
 
 
 R.add("read_text_preview", previews, """
