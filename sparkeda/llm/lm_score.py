@@ -27,6 +27,8 @@ HOT = 1 << 15
 HOT_BYTES = 64
 #: Longer words are scored one by one.
 BATCH_CHARS = 48
+#: Products of probabilities below this are formed in log space, where nothing becomes 0.
+LEAST = 1e-250
 #: Words counted by a task before it hands them on.
 COUNTED_AT_ONCE = 300_000
 _NONE = -math.inf
@@ -81,12 +83,12 @@ class Lattice:
             self.tables.append((key[order], np.array([i for _, i in own], np.int64)[order], maybe))
 
     def _ids(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Per piece length: the piece that starts at each place of each word, or -1."""
+        """Per piece length: the piece that starts at each place (rows) of each word (columns), or -1."""
         out = []
         key = np.zeros(codes.shape, np.uint64)
-        width = codes.shape[1]
+        width = len(codes)
         for k in range(1, min(self.longest, width) + 1):
-            key = key[:, :width - k + 1] * _MIX + codes[:, k - 1:]
+            key = key[:width - k + 1] * _MIX + codes[k - 1:]
             known, ids, maybe = self.tables[k - 1]
             found = np.full(key.shape, -1, np.int64)
             if len(known):
@@ -101,38 +103,48 @@ class Lattice:
         return self.bytes[list((chr(START) if code == LITERAL else chr(code)).encode("utf-8", "replace"))]
 
     def _edges(self, codes: np.ndarray, logp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Per piece length its ids and probabilities, 0 where there is no piece."""
         ids = self._ids(codes)
-        weights = [np.where(i >= 0, logp[i], _NONE) for i in ids]
+        chance = np.append(np.exp(logp), 0.0)                # -1 finds the last
+        weights = [chance[i] for i in ids]
         bare = ids[0] < 0
         if bare.any():
             missing, back = np.unique(codes[bare], return_inverse=True)
-            spelt = np.array([logp[self._spelt(int(c))].sum() for c in missing])
+            spelt = np.array([np.exp(logp[self._spelt(int(c))].sum()) for c in missing])
             weights[0][bare] = spelt[back]
         return ids, weights
 
     def _batch(self, codes: np.ndarray, logp: np.ndarray, weight: np.ndarray | None, total: np.ndarray | None) -> np.ndarray:
-        """Marginals of words of one length, by forward recursion in log space; with weights also adds expected counts."""
-        n, width = codes.shape
+        """Marginals of words (columns) of one length, by forward recursion; with weights also adds expected counts.
+
+        Probabilities are multiplied as they are. Words that come below ``LEAST`` are gone through again one by one, in log space.
+        """
+        width, n = codes.shape
         ids, edge = self._edges(codes, logp)
-        ahead = np.full((n, width + 1), _NONE)
-        ahead[:, 0] = 0.0
+        ahead = np.zeros((width + 1, n))
+        ahead[0] = 1.0
         for j in range(1, width + 1):
             for k in range(1, min(len(edge), j) + 1):
-                ahead[:, j] = np.logaddexp(ahead[:, j], ahead[:, j - k] + edge[k - 1][:, j - k])
+                ahead[j] += ahead[j - k] * edge[k - 1][j - k]
+        low = ahead[width] < LEAST
         if total is not None:
-            behind = np.full((n, width + 1), _NONE)
-            behind[:, width] = 0.0
+            behind = np.zeros((width + 1, n))
+            behind[width] = np.where(low, 0.0, weight / np.where(low, 1.0, ahead[width]))
             for j in range(width - 1, -1, -1):
                 for k in range(1, min(len(edge), width - j) + 1):
-                    behind[:, j] = np.logaddexp(behind[:, j], behind[:, j + k] + edge[k - 1][:, j])
+                    behind[j] += behind[j + k] * edge[k - 1][j]
             for k in range(1, len(edge) + 1):
-                share = np.exp(ahead[:, :width - k + 1] + edge[k - 1] + behind[:, k:] - ahead[:, width:]) * weight[:, None]
+                share = ahead[:width - k + 1] * edge[k - 1] * behind[k:]
                 own = ids[k - 1] >= 0
                 total += np.bincount(ids[k - 1][own], weights=share[own], minlength=self.size)
                 if k == 1 and not own.all():
                     for code, x in zip(codes[~own], share[~own]):
                         np.add.at(total, self._spelt(int(code)), x)
-        return ahead[:, width]
+        with np.errstate(divide="ignore"):
+            found = np.log(ahead[width])
+        for r in np.flatnonzero(low):
+            found[r] = self._long(codes[:, r].tolist(), logp, 0.0 if weight is None else float(weight[r]), total)
+        return found
 
     def _long(self, codes: list[int], logp: np.ndarray, weight: float, total: np.ndarray | None) -> float:
         """The same for one word of any length, place by place."""
@@ -168,25 +180,25 @@ class Lattice:
 
     def marginals(self, found: list[bytes], logp: np.ndarray, weight: np.ndarray | None = None, total: np.ndarray | None = None) -> np.ndarray:
         """Natural log-probability of each word; ``total`` gathers expected piece counts under ``weight`` copies of each."""
-        coded = []
-        for w in found:
-            codes = np.frombuffer(w.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-            if (codes == START).any():
-                codes = np.where(codes == START, np.uint32(LITERAL), codes)
-            coded.append(codes)
-        sizes = np.array([len(c) for c in coded], np.int64)
+        if not found:
+            return np.zeros(0)
+        flat = np.frombuffer(b"\n".join(found).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)    # words hold no line feed
+        flat = np.where(flat == START, LITERAL, flat).astype(np.uint64)
+        ends = np.append(np.flatnonzero(flat == 10), len(flat))
+        starts = np.append(0, ends[:-1] + 1)
+        sizes = ends - starts
         out = np.zeros(len(found))
         for size in np.unique(sizes):
             rows = np.flatnonzero(sizes == size)
             if size > BATCH_CHARS:
                 for r in rows:
-                    out[r] = self._long([START, *coded[r].tolist()], logp, 0.0 if weight is None else float(weight[r]), total)
+                    out[r] = self._long([START, *flat[starts[r]:ends[r]].tolist()], logp, 0.0 if weight is None else float(weight[r]), total)
                 continue
             step = max(1, 400_000 // int(size + 1))
             for a in range(0, len(rows), step):
                 part = rows[a:a + step]
-                codes = np.full((len(part), size + 1), START, np.uint64)
-                codes[:, 1:] = np.stack([coded[r] for r in part])
+                codes = np.full((size + 1, len(part)), START, np.uint64)
+                codes[1:] = flat[starts[part] + np.arange(size)[:, None]]
                 out[part] = self._batch(codes, logp, None if weight is None else weight[part], total)
         return out
 

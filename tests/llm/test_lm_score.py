@@ -103,3 +103,18 @@ def test_empty_and_nothing_learned(spark, none):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = m.score_held_out(make_docs(spark, [(held, "a word")])).first()
     assert row.held_out and row.train_tokens == 0 and row.n_known == 0 and row.n_tokens == 3 and row.score < 0
+
+
+@pytest.mark.parametrize("least", [1e-250, 1.1])
+def test_products_and_sums_of_logarithms_agree(monkeypatch, least):
+    """Whether a word's probabilities are multiplied or go through logarithms; words beyond the range of doubles are not lost."""
+    found = [b"the", "schön".encode(), "▁x▁".encode(), "\U000e0001漢".encode(), b"ab" * 20, "\U000e0001".encode() * 40, b"q" * 90, b"\xff\xfe"]
+    counts = np.arange(1.0, len(found) + 1)
+    monkeypatch.setattr(m, "LEAST", least)
+    total, want = np.zeros(LATTICE.size), np.zeros(LATTICE.size)
+    got = LATTICE.marginals(found, LATTICE.first, counts, total)
+    for w, n, value in zip(found, counts, got):
+        codes = [m.START, *(m.LITERAL if c == "▁" else ord(c) for c in w.decode("utf-8", "replace"))]
+        assert LATTICE._long(codes, LATTICE.first, n, want) == pytest.approx(value)
+    assert np.isfinite(got).all() and got.min() < -600 and total == pytest.approx(want)
+    assert len(LATTICE.marginals([], LATTICE.first)) == 0
