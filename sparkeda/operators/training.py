@@ -429,18 +429,36 @@ def auto_tune(prep: Prepared, tries: int = 5, seed: int = 42) -> DataFrame:
 def learning_curve(
     prep: Prepared, key: str, name: str = "decision_tree", shares: Sequence[float] = (0.2, 0.4, 0.6, 0.8, 1.0), seed: int = 42
 ) -> DataFrame:
-    """``(share, rows, train_score, test_score)`` for nested parts of the training rows, picked by key hash."""
-    def work() -> DataFrame:
-        score, rows = _evaluator(prep.task), []
-        for share in shares:
-            part = prep.train.where(drawn(key, share, seed))
-            model = candidates(prep.task, prep.classes)[name].fit(part)
-            rows.append((float(share), part.count(), float(score.evaluate(model.transform(part))),
-                         float(score.evaluate(model.transform(prep.test)))))
-        return prep.train.sparkSession.createDataFrame(
-            rows, "share double, rows long, train_score double, test_score double")
+    """``(share, rows, train_score, test_score)`` for nested parts of the training rows, picked by key hash.
 
-    return _held(prep, work)
+    Rows of either side are predicted by all models in one pass. For classes only the counts of equal labels and predictions
+    are kept, which weigh the scores.
+    """
+    score = _evaluator(prep.task).setWeightCol("__n")
+    within = sum((drawn(key, share, seed).cast("int") for share in shares), F.lit(0))       # a key drawn for a share is drawn for all larger ones
+    train = prep.train.select(LABEL, FEATURES, within.alias("__within")).persist()
+    inside = [F.col("__within") >= sum(other >= share for other in shares) for share in shares]
+
+    def counted(frame: DataFrame, models: Sequence[Transformer]) -> DataFrame:
+        for i, model in enumerate(models):
+            frame = model.transform(frame).select(*frame.columns, F.col("prediction").alias(f"__said_{i}"))
+        kept = frame.drop(FEATURES)
+        if prep.task == "classification":
+            return kept.groupBy(*kept.columns).agg(F.count("*").cast("double").alias("__n"))
+        return kept.withColumn("__n", F.lit(1.0))
+
+    try:
+        models = [candidates(prep.task, prep.classes)[name].fit(train.where(part)) for part in inside]
+        seen, held_out = counted(train, models).persist(), counted(prep.test.select(LABEL, FEATURES), models).persist()
+        rows = []
+        for i, (share, part) in enumerate(zip(shares, inside)):
+            own, said = seen.where(part), score.copy().setPredictionCol(f"__said_{i}")
+            rows.append((float(share), int(own.agg(F.sum("__n")).first()[0] or 0), float(said.evaluate(own)), float(said.evaluate(held_out))))
+        seen.unpersist()
+        held_out.unpersist()
+    finally:
+        train.unpersist()
+    return prep.train.sparkSession.createDataFrame(rows, "share double, rows long, train_score double, test_score double")
 
 
 def feature_importance(prep: Prepared, model: Transformer) -> DataFrame:
