@@ -85,3 +85,20 @@ def test_part_of_a_forest_is_a_forest_of_its_own(spark):
     assert not np.allclose(part, own)
     error = lambda p: ((p - y) ** 2).mean() / y.var()
     assert error(part) == pytest.approx(error(own), abs=0.1)
+
+
+def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """A compact file is one part with all rows; fits get it in parts of a bounded number of rows, the same ones in every run."""
+    prep = training.prepare(rows(spark, 0, 900), "target", "id")
+    monkeypatch.setattr(training, "ROWS_AT_ONCE", 100)
+    def parts(frame):
+        return frame.rdd.glom().map(lambda part: [r["id"] for r in part]).collect()
+
+    whole, once, again = (parts(p.train) for p in (prep, training.dealt(prep), training.dealt(prep)))
+    assert len(whole) == 1 and max(map(len, once)) < 200
+    assert once == again and sorted(i for part in once for i in part) == sorted(whole[0])
+    seen = training._held(prep, lambda held: held.train.rdd.getNumPartitions())
+    assert seen == len(once) == -(-len(whole[0]) // 100)
+    assert training.dealt(training.dealt(prep)).train.rdd.getNumPartitions() == seen
+    monkeypatch.undo()
+    assert training.dealt(prep) is prep
