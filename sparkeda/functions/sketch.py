@@ -25,8 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])      # executors nee
 
 #: Values that a sketch keeps. A million values leave an interval of about a thousandth of them.
 MOST = 1 << 12
-#: Cells of a task that are sorted at once, over all columns, and rows at most.
-CELLS, ROWS = 1 << 23, 1 << 20
+#: Cells of a task that are sorted at once, over all columns, and rows at most. An executor holds them several times for each core.
+CELLS, ROWS = 1 << 20, 1 << 17
 #: Sketches of a column that a task merges at once; tasks whose sketches meet first.
 PENDING, TASKS = 16, 256
 

@@ -202,3 +202,22 @@ def test_round_to(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "x double").select(round_to(F.col("x"), 2)).collect()]
     assert got == list(np.round([r[0] for r in rows], 2) + 0.0)
     assert math.copysign(1, got[2]) == 1
+
+
+def test_a_task_that_sketches_holds_few_values(monkeypatch):
+    """However many rows a task reads: an executor holds this for each of its cores."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: SimpleNamespace(partitionId=lambda: 0)))
+    draw = np.random.default_rng(1)
+    batches = (pa.RecordBatch.from_arrays([pa.array(draw.random(10_000)) for _ in range(8)], [f"c{i}" for i in range(8)]) for _ in range(120))
+    tracemalloc.start()
+    made = list(sketch._task(8, sketch.MOST)(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made) == 8 and all(sum(m.column("weights")[0].as_py()) == 1_200_000 for m in made)
+    assert peak < 40_000_000
