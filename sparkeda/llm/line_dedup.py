@@ -13,8 +13,8 @@ THRESHOLD = 1
 MIN_CHARS = 20
 #: Groups of up to this many lines are compared pair by pair; larger ones are first split by finer segments.
 PAIRS_UP_TO = 32
-#: Places in the filter that thins a table before a join; its broadcast holds that many numbers at most.
-PLACES = 1 << 20
+#: Places in the filter that thins a table before a join; its broadcast holds 64 of them as one number.
+PLACES = 1 << 26
 
 _DOC, _LINE = ["doc_id", "h"], ["d1", "d2"]
 
@@ -78,18 +78,23 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 def _thinned(table: DataFrame, by: list[str], wanted: DataFrame) -> DataFrame:
     """``table`` without most rows whose key is not in ``wanted``: a semi-join on a bounded number of places."""
-    place = (F.xxhash64(*by) % PLACES).alias("place")
-    return table.withColumn("place", place).join(
-        F.broadcast(wanted.select(place).distinct()), "place", "left_semi").drop("place")
+    place = F.pmod(F.xxhash64(*by), F.lit(PLACES))
+    slot, bit = F.shiftrightunsigned(place, 6), F.pmod(place, F.lit(64)).cast("int")
+    taken = wanted.select(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("at"))
+    bits = taken.groupBy("slot").agg(F.bit_or("at").alias("bits"))
+    return table.withColumns({"slot": slot, "bit": bit}).join(F.broadcast(bits), "slot").filter(
+        F.getbit("bits", "bit") == 1).drop("slot", "bit", "bits")
 
 
 def lines_at(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(d1, d2, doc_id, h, no, n, line) for some of the distinct lines: their texts, read at their first places."""
-    by_doc = lines.groupBy(*_DOC).agg(F.collect_list(F.struct(*_LINE, "no", "n")).alias("at"))
-    some = _thinned(docs, _DOC, by_doc).dropDuplicates(_DOC)
-    found = some.alias("t").join(by_doc.alias("w"), F.expr("t.doc_id <=> w.doc_id AND t.h = w.h")).select(
-        "t.doc_id", "t.h", F.split("t.text", "\n", -1).alias("all"), F.explode("w.at").alias("at"))
-    return found.select("doc_id", "h", "at.*", F.get("all", F.col("at.no")).alias("line"))
+    """(d1, d2, line) for some of the distinct lines: their texts, read at their first places.
+
+    Lines are thinned where they stand, and copies of a row merged, before the shuffle: whole texts stay where they are.
+    """
+    at = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
+    some = _thinned(at, [*_DOC, "no"], lines).select(
+        F.xxhash64(F.lit(0), "line").alias("d1"), F.xxhash64(F.lit(1), "line").alias("d2"), "line").dropDuplicates(_LINE)
+    return some.join(lines.select(*_LINE), _LINE, "left_semi")
 
 
 def candidates(docs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -123,7 +128,7 @@ def candidates(docs: DataFrame, lines: DataFrame) -> DataFrame:
         if hot.isEmpty():
             return found.distinct()
         hot = hot.drop("key", "members")
-        texts = lines_at(docs, hot.withColumn("n", F.lit(0)).select(*_LINE, "doc_id", "h", "no", "n").distinct()).select(*_LINE, "line")
+        texts = lines_at(docs, hot.select(*_LINE, "doc_id", "h", "no").distinct())
         rows = hot.join(texts, _LINE).select(
             *_LINE, "doc_id", "h", "no", "form", (F.col("windows") * 2).alias("windows"), F.explode(F.expr("array(j * 2, j * 2 + 1)")).alias("j"),
             "line").withColumn("key", _key("line", "form", "windows", "j")).drop("line").filter("key IS NOT NULL").distinct()
@@ -132,8 +137,8 @@ def candidates(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def links(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """The candidate pairs that are within ``THRESHOLD`` edits."""
     pairs = keep(candidates(docs, lines))
-    ends = pairs.select("a.*").unionByName(pairs.select("b.*")).distinct().withColumn("n", F.lit(0))
-    line = lines_at(docs, ends).select(*_LINE, "line")
+    ends = pairs.select("a.*").unionByName(pairs.select("b.*")).distinct()
+    line = lines_at(docs, ends)
     named = pairs.join(line.select(F.struct(*_LINE).alias("la"), F.col("line").alias("left")), F.expr("struct(a.d1, a.d2) = la")).join(
         line.select(F.struct(*_LINE).alias("lb"), F.col("line").alias("right")), F.expr("struct(b.d1, b.d2) = lb"))
     return named.filter(F.expr(edit_distance("left", "right", THRESHOLD)) <= THRESHOLD).select("a", "b")

@@ -84,3 +84,15 @@ def test_odd_rows(spark):
 
 def test_empty(none):
     assert d.dedup(none).count() == 0
+
+
+def test_lines_are_read_without_shuffling_whole_texts(spark):
+    other = "\n".join(article(i, lines=1, n=9) for i in range(10, 60))
+    docs = make_docs(spark, [(None, other, "en"), (1, "short\n" + article(1, lines=1, n=9) + "\n" + other, "en"), (1, other, "en"), (1, other, "en")])
+    own = d._documents(docs, "doc_id", "text")
+    first = d.distinct_lines(own).filter("doc_id IS NULL AND no % 25 = 3 OR doc_id = 1")
+    found = d.lines_at(own, first.select("d1", "d2", "doc_id", "h", "no"))
+    assert sorted(r.line for r in found.collect()) == sorted([article(1, lines=1, n=9), *(other.split("\n")[i] for i in (3, 28))])
+    held = {(r.d1, r.d2): r.line for r in found.collect()}
+    assert all(spark.range(1).selectExpr(f"xxhash64(0, '{x}') AS a", f"xxhash64(1, '{x}') AS b").first() == k for k, x in held.items())
+    assert "text" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x)
