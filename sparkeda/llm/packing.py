@@ -15,23 +15,18 @@ from sparkeda.llm.shared import keep, ship, texts, through_python, vocabulary
 
 #: Pieces packed together in one task. The number of groups grows with the input, a group's work does not.
 GROUP = 16_384
-#: Stretches of text that a worker remembers: the work here is little else than encoding, so more of them than elsewhere.
-REMEMBERED = 1_000_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 4096, end: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and its end id, cut only where it exceeds ``size``."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = tokens.remembered(tokenizer, tokens.encode_joined)
         close = tokens.as_bytes([end])
         for batch in batches:
             ids, whole = batch["doc_id"].tolist(), batch["text"].tolist()
             out = []
             for a, b in tokens.blocks(whole):
-                parts = [tokens.bare_stretches(t) for t in whole[a:b]]
-                found = tokens.known((s for p in parts for s in p), *state, room=REMEMBERED)
-                for doc, p in zip(ids[a:b], parts):
-                    data = b"".join([found[s] for s in p]) + close
+                for doc, data in zip(ids[a:b], tokens.encode_bare(tokenizer, whole[a:b])):
+                    data += close
                     for piece, at in enumerate(range(0, len(data), 4 * size)):
                         run = data[at:at + 4 * size]
                         out.append((doc, piece, at // 4, len(run) // 4, zlib.crc32(run)))

@@ -103,3 +103,24 @@ def test_empty(none):
 def test_query_is_the_operator(spark):
     docs = make_docs(spark, [(1, "a b"), (2, "c")])
     assert p.pack_documents(docs).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_words_are_encoded_once_each_and_as_in_whole_texts():
+    path = vocabulary("word_bpe_49k.json")
+    texts = [
+        "", " \n\t ", "it's 'st x''s ''re IT'S ('S we'llama", "a1b22 3.14, ...!? #*$ÀÉßÿ×÷ ŁÓDŹ ŉ ſ", "“Word” – word… word's", "<|startoftext|>word <|endoftext|>",
+        "İstanbul ΑΣ ªµº ¹²³ 日本語 é   x\x1cy z \x00 🙂", "<|startoftext |> word</w> \r\n\fword", "zqxzqx-vwkvwk_ZQXZQX"]
+    library = tokens.load(path)
+    want = [tokens.as_bytes(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert tokens.encode_bare(path, texts) == want == tokens.encode_bare(path, texts)
+    _, _, words = tokens.table_of(path, tokens.word_ends)
+    before = set(words)
+    tokens.encode_bare(path, ["Qvjxk, qvjxk. (QVJXK) qvjxk; 'qvjxk'"])
+    assert {w for w in set(words) - before if w.isalpha()} == {"qvjxk"}
+    room, words_before = tokens.WORDS, len(words)
+    tokens.WORDS = words_before
+    try:
+        assert tokens.encode_bare(path, ["qvjxw qvjxw"]) == [tokens.as_bytes(library.encode("qvjxw qvjxw", add_special_tokens=False).ids)]
+        assert len(words) == words_before
+    finally:
+        tokens.WORDS = room
