@@ -38,8 +38,8 @@ OPEN_FROM = 0.01
 SWITCH = 12.0
 SMOOTH = 0.5
 UNKNOWN = "und"
-#: Code points scored at a time by one task.
-AT_ONCE = 3_000_000
+#: Code points scored at a time by one task, each of which takes some 50 bytes meanwhile.
+AT_ONCE = 1_000_000
 
 _TABLES: list[np.ndarray] = []
 

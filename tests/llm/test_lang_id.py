@@ -85,3 +85,19 @@ def test_accuracy_on_the_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = l.identify(docs).join(docs, "doc_id").filter("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+
+
+def test_a_block_of_texts_takes_little_memory():
+    import tracemalloc
+
+    l._tables()
+    rng = np.random.default_rng(1)
+    model = l.Model([f"l{i}" for i in range(10)], rng.random((l.SLOTS, 10), np.float32), np.ones((len(l.SCRIPTS) + 1, 10), bool))
+    texts = ["Some words of a text to be labelled. " * 85] * 1000
+    part = next(l._blocks(texts, l.AT_ONCE))
+    for work in (lambda: l.label_texts(texts, model), lambda: l.letters(texts[part])):
+        tracemalloc.start()
+        work()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 60e6
