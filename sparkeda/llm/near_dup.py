@@ -8,8 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sparkeda.llm.shared import keep, ship, texts
 
@@ -21,6 +23,8 @@ SKETCHES, SAMPLED = 40, 2
 PLACES = 1 << 20
 #: Groups of up to this many texts are compared pair by pair; larger ones are first split by rare words.
 PAIRS_UP_TO = 32
+#: Runs of words are counted in this many slots; the counts are collected and broadcast.
+SLOTS = 1 << 22
 
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
@@ -78,11 +82,40 @@ def sketch(text: str) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _unlike(a: list, b: list, k: int) -> bool:
+    """Whether the words, or runs of two words, that the texts share in any order rule out ``k`` edits; an edit changes one or two of them."""
+    longer = max(len(a), len(b))
+    if longer - sum((Counter(a) & Counter(b)).values()) > k:
+        return True
+    return longer - 1 - sum((Counter(zip(a, a[1:])) & Counter(zip(b, b[1:]))).values()) > 2 * k
+
+
+def _within_by_columns(a: list, b: list, k: int) -> bool:
+    """Whether the edit distance is at most ``k``: a column of the table of distances a step, as bits of two whole numbers (Hyyro 2003)."""
+    n, m = len(a), len(b)
+    at: dict = {}
+    for i, word in enumerate(a):
+        at[word] = at.get(word, 0) | 1 << i
+    every, last = (1 << n) - 1, n - 1
+    up, down, distance = every, 0, n
+    for j, word in enumerate(b):
+        same = at.get(word, 0)
+        across = (((same & up) + up) ^ up) | same
+        right, left = down | (every & ~(across | up)), up & across
+        distance += (right >> last & 1) - (left >> last & 1)
+        if distance - (m - 1 - j) > k:
+            return False
+        right = (right << 1 | 1) & every
+        up, down = (left << 1 & every) | (every & ~(same | down | right)), right & (same | down)
+    return distance <= k
+
+
 def within(a: list, b: list, k: int) -> bool:
     """Whether at most ``k`` words inserted, deleted or replaced turn ``a`` into ``b``.
 
     First what both share at their ends is cut, and the words they share in any order bound the distance from below. Then a
-    band of diagonals grows by one on either side with each edit, and only the furthest place on each is kept.
+    band of diagonals grows by one on either side with each edit, and only the furthest place on each is kept. That is fast where
+    few edits do; after as many steps as the texts have words, whole columns take over.
     """
     start = 0
     short = min(len(a), len(b))
@@ -93,10 +126,12 @@ def within(a: list, b: list, k: int) -> bool:
         stop += 1
     a, b = a[start:len(a) - stop], b[start:len(b) - stop]
     n, m = len(a), len(b)
-    if max(n, m) - sum((Counter(a) & Counter(b)).values()) > k or abs(n - m) > k:
+    if abs(n - m) > k or _unlike(a, b, k):
         return False
     far = {0: -1}
     for edits in range(k + 1):
+        if edits * edits > n and n:
+            return _within_by_columns(a, b, k)
         now = {}
         for d in range(-min(edits, m), min(edits, n) + 1):
             x = max(far.get(d, -2) + 1, far.get(d - 1, -2) + 1, far.get(d + 1, -2)) if edits else 0
@@ -183,12 +218,30 @@ def grams(text: str, q: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _counted(own: DataFrame) -> np.ndarray:
+    """Per slot the runs in ``grams`` that fall into it, at most 65,535."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            slot, n = np.unique(batch.column("grams").flatten().to_numpy(zero_copy_only=False) % SLOTS, return_counts=True)
+            total[slot] += n.astype(np.int32)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int32())], ["slot", "n"])
+
+    counts = ship(own).select("grams").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
+    common = counts.filter("n > 1").select("slot", F.least("n", F.lit(65535)).cast("int").alias("n")).toArrow()
+    out = np.ones(SLOTS, np.uint16)
+    out[common["slot"].to_numpy()] = common["n"].to_numpy()
+    return out
+
+
 def _rare(docs: DataFrame, members: DataFrame, q: int) -> DataFrame:
     """(token, node, comp, size): per member its rarest runs of ``q`` words, one of which every near text has too.
 
     An edit changes at most q runs, so near texts of n words share at least n (1 - 0.2 q) - q + 1 of them. In any common order, here
-    from rare to frequent, a text then meets a near one in all but that many of its runs plus one. Runs that one text alone has
-    are counted and not joined.
+    from rare to frequent by the counts of their slots, a text then meets a near one in all but that many of its runs plus one. A run
+    that is alone in its slot is in one text only and left out. A member's runs are put in order where it stands, only those it has
+    to meet by become rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,13 +254,26 @@ def _rare(docs: DataFrame, members: DataFrame, q: int) -> DataFrame:
     some = docs.select(*_NODE, "text").withColumn("place", place).join(
         F.broadcast(members.select("node.d1", "node.d2").select(place).distinct()), "place", "left_semi").drop("place")
     read = ship(some).dropDuplicates(_NODE).select(*_NODE, "text").mapInArrow(run, "d1 long, d2 long, grams array<long>")
-    own = read.join(members.select("node.d1", "node.d2", "node", "comp"), _NODE)
-    rows = keep(own.select("node", "comp", F.size("grams").alias("total"), F.explode("grams").alias("token")))
-    common = rows.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    least = F.ceil(F.col("node.n") * (1 - (1 - SIMILAR) * q) - q + 1 - 1e-6)
-    kept = rows.join(common, "token").groupBy("node", "comp", "total").agg(F.sort_array(F.collect_list(F.struct("size", "token"))).alias("of"))
-    length = F.least(F.size("of"), F.greatest(F.lit(0), F.size("of") - F.greatest(least, F.lit(1)) + 1)).cast("int")
-    cut = keep(kept.select("node", "comp", F.explode(F.slice("of", 1, length)).alias("of")).select("node", "comp", "of.token"))
+    own = keep(read.join(members.select("node.d1", "node.d2", "node", "comp"), _NODE).select("node", "comp", "grams"))
+    counts = own.sparkSession.sparkContext.broadcast(_counted(own))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column("grams")
+            token, text = of.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(of)), pa.compute.list_value_length(of))
+            size = counts.value[token % SLOTS]
+            token, text, size = (x[size > 1] for x in (token, text, size))
+            order = np.lexsort((token, size, text))
+            token, text = token[order], text[order]
+            held = np.bincount(text, minlength=len(of))
+            least = np.ceil(batch.column("n").to_numpy() * (1 - (1 - SIMILAR) * q) - q + 1 - 1e-6).astype(np.int64)
+            wanted = np.maximum(0, np.minimum(held, held - np.maximum(least, 1) + 1))
+            kept = np.flatnonzero(np.arange(len(text)) - (np.cumsum(held) - held)[text] < wanted[text])
+            rows = batch.select(["node", "comp"]).take(pa.array(text[kept]))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(token[kept], pa.int64())], ["node", "comp", "token"])
+
+    kinds = StructType([own.schema["node"], own.schema["comp"], StructField("token", LongType())])
+    cut = keep(ship(own).select("node", "comp", "node.n", "grams").mapInArrow(first, kinds))
     return keep(cut.join(cut.groupBy("token").agg(
         F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high"), "token")).drop("low", "high")
 

@@ -136,3 +136,39 @@ def test_hot_keys_lose_no_pair(spark, rows):
     most = classes_by_all_pairs(rows, lambda a, b: True)
     assert all(got[i] == got[least[i]] for i in got)             # no near pair that shares a key is apart
     assert all(most[i] == most[got[i]] for i in got)             # and all are linked by near pairs
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abc"), min_size=1, max_size=14), st.lists(st.sampled_from("abc"), max_size=14), st.integers(0, 6))
+def test_alignment_by_columns(a, b, k):
+    assert n._within_by_columns(a, b, k) == (distance(a, b) <= k)
+
+
+def test_many_edits_are_aligned_by_columns(monkeypatch):
+    """The band takes as many steps as the square of the edits, so it is left after as many as there are words."""
+    rng = random.Random(3)
+    a = [rng.choice("abcdefgh") for _ in range(300)]
+    b = [rng.choice("abcdefgh") if rng.random() < 0.3 else x for x in a]
+    calls = []
+    by_columns = n._within_by_columns
+    monkeypatch.setattr(n, "_within_by_columns", lambda *args: calls.append(1) or by_columns(*args))
+    far = distance(a, b)
+    assert 20 < far < 100
+    assert [n.within(a, b, k) for k in (far - 1, far, far + 1)] == [False, True, True]
+    assert len(calls) >= 2
+
+
+def test_only_rare_runs_become_rows(spark, monkeypatch):
+    """Members of large groups have some hundred runs of words each; no table has a row for each of them."""
+    rows = letters(75)
+    made = []
+
+    def counted(df):
+        kept = keep(df)
+        made.append(kept.count())
+        return kept
+
+    keep = n.keep
+    monkeypatch.setattr(n, "keep", counted)
+    assert n.classes(make_docs(spark, rows)).count() == len(rows)
+    assert max(made) < sum(len(n.grams(t, 2)) for _, t in rows) / 2
