@@ -219,19 +219,37 @@ def grams(text: str, q: int) -> np.ndarray:
 
 
 def _counted(own: DataFrame) -> np.ndarray:
-    """Per slot the runs in ``grams`` that fall into it, at most 65,535."""
+    """Per slot the runs in ``grams`` that fall into it, at most 65,535. A task hands on a row for each block of slots, not for each slot."""
+    of_block = 1 << 16
+    kinds = "block int, slots array<int>, n array<long>"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int32)
+        total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             slot, n = np.unique(batch.column("grams").flatten().to_numpy(zero_copy_only=False) % SLOTS, return_counts=True)
-            total[slot] += n.astype(np.int32)
+            total[slot] += n
         slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot], pa.int32())], ["slot", "n"])
+        ends = pa.array(np.searchsorted(slot, np.arange(0, SLOTS + 1, of_block)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(len(ends) - 1), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(slot, pa.int32())),
+             pa.ListArray.from_arrays(ends, pa.array(total[slot], pa.int64()))], ["block", "slots", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, slots, n in zip(batch.column("block").to_pylist(), batch.column("slots"), batch.column("n")):
+                own = total.setdefault(block, np.zeros(of_block, np.int64))
+                own[slots.values.to_numpy() - block * of_block] += n.values.to_numpy()
+        for block, own in total.items():
+            slot = np.flatnonzero(own > 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int32()), pa.array([slot + block * of_block], pa.list_(pa.int32())),
+                 pa.array([np.minimum(own[slot], 65535)], pa.list_(pa.int64()))], ["block", "slots", "n"])
 
-    counts = ship(own).select("grams").mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n"))
-    common = counts.filter("n > 1").select("slot", F.least("n", F.lit(65535)).cast("int").alias("n")).toArrow()
+    counts = ship(own).select("grams").mapInArrow(run, kinds).repartition("block").mapInArrow(add, kinds).toArrow()
     out = np.ones(SLOTS, np.uint16)
-    out[common["slot"].to_numpy()] = common["n"].to_numpy()
+    for slots, n in zip(counts["slots"], counts["n"]):
+        out[slots.values.to_numpy()] = n.values.to_numpy()
     return out
 
 
