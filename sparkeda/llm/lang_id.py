@@ -6,11 +6,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - used as pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from sparkeda.llm.shared import lot, ship, through_python
+from sparkeda.llm.shared import lot, ship
 
 #: Letter triples are hashed into this many slots, so a model holds that many numbers per language whatever it is learned from.
 SLOTS = 1 << 16
@@ -104,6 +106,16 @@ def _blocks(texts: list[str], size: int) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch a few at a time, of about ``AT_ONCE`` bytes of text: only so many are Python texts at once."""
+    size = np.nan_to_num(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(float))
+    start = 0
+    for stop in np.append(np.flatnonzero(np.diff(np.cumsum(size) // AT_ONCE)) + 1, batch.num_rows):
+        if stop > start:
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """Counts letter triples and scripts of every row with a language and a text; all rows, in one pass.
 
@@ -112,22 +124,26 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model:
     """
     wide = SLOTS + len(SCRIPTS) + 1
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, rows in batch.groupby("lang")["text"]:
-                own = total.setdefault(lang, np.zeros(wide, np.int64))
-                whole = rows.tolist()
-                for part in _blocks(whole, AT_ONCE):
-                    found = letters(whole[part])
-                    own += np.bincount(found.slot, minlength=wide)
-                    own += np.bincount(found.script.astype(np.int64) + SLOTS, minlength=wide)
+            for part in _slices(batch):
+                by: dict[str, list[str]] = {}
+                for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                    by.setdefault(lang, []).append(text)
+                for lang, whole in by.items():
+                    own = total.setdefault(lang, np.zeros(wide, np.int64))
+                    for block in _blocks(whole, AT_ONCE):
+                        found = letters(whole[block])
+                        own += np.bincount(found.slot, minlength=wide)
+                        own += np.bincount(found.script.astype(np.int64) + SLOTS, minlength=wide)
         for lang, own in total.items():
             slot = np.flatnonzero(own)
-            yield pd.DataFrame({"lang": lang, "slot": slot, "n": own[slot]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int64()), pa.array(own[slot], pa.int64())], ["lang", "slot", "n"])
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = ship(rows).mapInPandas(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    counts = ship(rows).mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     table = np.zeros((wide, len(langs)))
     table[counts["slot"].to_numpy(np.int64), [langs.index(x) for x in counts["lang"]]] = counts["n"]
@@ -215,19 +231,21 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: list[str]
     carry = carry or []
     # the text goes to Python and back once, also where it is carried
     given = docs.select(F.col(text).alias("text"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text))
-    flat = through_python(given, *given.columns[1:])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    spans = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = label_texts([t or "" for t in batch["text"].tolist()], shared.value, switch)
-            yield batch.assign(lang_pred=[m[0] for m in made], score=[m[1] for m in made],
-                              spans=[[{"lang": s[0], "start": s[1], "length": s[2]} for s in m[2]] for m in made])
-
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in flat.schema)
-    out = ship(flat).mapInPandas(
-        run, f"{fields}lang_pred string, score double, spans array<struct<lang: string, start: long, length: long>>")
-    back = [F.col("text").alias(c) if c == text else F.col(f"c{i}").cast(given.schema[f"c{i}"].dataType).alias(c) for i, c in enumerate(carry)]
+            for part in _slices(batch):
+                made = label_texts([t or "" for t in part.column("text").to_pylist()], shared.value, switch)
+                found = [[dict(zip(("lang", "start", "length"), s)) for s in m[2]] for m in made]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64()),
+                     pa.array(found, spans)], [*part.schema.names, "lang_pred", "score", "spans"])
+
+    made = "lang_pred string, score double, spans array<struct<lang: string, start: long, length: long>>"
+    out = ship(given).mapInArrow(run, StructType([*given.schema.fields, *StructType.fromDDL(made).fields]))
+    back = [F.col("text" if c == text else f"c{i}").alias(c) for i, c in enumerate(carry)]
     return out.select(*back, "lang_pred", "score", "spans")
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from sparkeda.llm import lang_id as l
 from tests.llm.conftest import article, french, make_docs
@@ -101,3 +102,15 @@ def test_a_block_of_texts_takes_little_memory():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 60e6
+
+
+def test_only_a_slice_of_a_batch_becomes_python_texts(monkeypatch):
+    """Slices hold all rows once, in order, and no more bytes than a block and a row; null and empty texts take none."""
+    monkeypatch.setattr(l, "AT_ONCE", 100)
+    whole = [None, "", "é" * 30, "a" * 250, "b" * 99, "c", None, *["dd" * 20] * 40, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(whole, pa.string()), pa.array(range(len(whole)))], ["text", "at"])
+    parts = [p.to_pydict() for p in l._slices(batch)]
+    assert [x for p in parts for x in p["at"]] == list(range(len(whole)))
+    size = [[len((t or "").encode()) for t in p["text"]] for p in parts]
+    assert all(sum(s) - max(s) <= 100 for s in size) and len(parts) > 10
+    assert list(l._slices(batch.slice(0, 0))) == []
