@@ -28,6 +28,7 @@ from sparkeda.functions.longform import empty_like
 from sparkeda.functions.lots import drawn
 from sparkeda.operators.ensembles import ensembles, nested_scores
 from sparkeda.operators.metrics import classification_report, regression_metrics
+from sparkeda.operators.regrowth import Fit, blocks, errors
 
 # The search grids.
 FOREST_TREES = [50, 100]
@@ -42,6 +43,10 @@ FOLDS = 3
 #: Training rows of a task. Fits hold a row as some hundred bytes, and a compact file has far more rows than that in one part.
 ROWS_AT_ONCE = 100_000
 
+#: Rows and numbers in them (zeros not counted) up to which a task holds all rows of a fit of a search.
+ENTRIES_AT_ONCE = 12_000_000
+SHARED_OUT = ("gradient_boosting", "random_forest")
+
 LABEL, FEATURES = "__label", "__features"
 T = TypeVar("T")
 
@@ -365,6 +370,9 @@ def grid_search(prep: Prepared, names: Sequence[str] | None = None, folds: int =
     Folds are drawn as Spark's cross validation does. Numbers of trees and depths of one model are scored from one fit (see
     :mod:`sparkeda.operators.ensembles`), and all fits of all models and folds run in one pool, the longest first. The best setting of
     each model is fitted again on all training rows.
+
+    Forests and boosting of numbers are grown by :mod:`sparkeda.operators.regrowth`, a fit in a task or a few, unless the rows have
+    more than ``ENTRIES_AT_ONCE`` numbers; then each fit is Spark's, over all tasks.
     """
     def work(prep: Prepared) -> DataFrame:
         draw = prep.train.withColumn("__draw", F.rand(seed)).persist()
@@ -384,21 +392,58 @@ def grid_search(prep: Prepared, names: Sequence[str] | None = None, folds: int =
             found = nested_scores(held_out, ensembles(model, prep.classes), sizes, depths, LABEL, FEATURES)
             return [(i, found[at]) for i, at in family.entries]
 
+        def shared_fit(name: str, family: Family, k: int) -> Fit:
+            own, model = family.fitted, spaces[name][0]
+            sizes = sorted({size for _, (size, _) in family.entries})
+            boosts = name == "gradient_boosting"
+            depths = [own["maxDepth"]] if boosts else sorted({depth for _, (_, depth) in family.entries})
+            least = model.getMinInstancesPerNode() if boosts else own["minInstancesPerNode"]
+            return Fit(k, sizes, depths, least, own["stepSize"] if boosts else None, model.getMaxBins(), model.getSeed(), folds)
+
+        def shared_folds(name: str) -> list[list[float]]:
+            jobs = [(family, k) for family in families(name, spaces[name][1]) for k in range(folds)]
+            out: list[list[float]] = [[] for _ in spaces[name][1]]
+            for (family, k), found in zip(jobs, errors(shared, [shared_fit(name, *job) for job in jobs])):
+                for i, (size, depth) in family.entries:
+                    n, off = found[size, family.fitted["maxDepth"] if name == "gradient_boosting" else depth]
+                    out[i].append(1.0 - off / (n * spread[k]))
+            return out
+
         def final(name: str, best: int) -> float:
+            if name in together:
+                (family,) = families(name, [spaces[name][1][best]])
+                ((n, off),) = errors(shared, [shared_fit(name, family, folds)])[0].values()
+                return off / n
             return float(tested.evaluate(_with(spaces[name][0], _settings(spaces[name][1][best])).fit(prep.train).transform(prep.test)))
 
         cost = list(NESTED)[::-1]                        # boosting takes the most rounds, then forests
-        jobs = sorted(((n, f, k) for n in chosen for f in families(n, spaces[n][1]) for k in range(folds)),
+        numbered = sum(((F.col("__draw") >= k / folds).cast("int") for k in range(1, folds)), F.lit(0)).alias("fold")
+        shared, together, spread = None, (), {}
+        if prep.task == "regression" and set(chosen) & set(SHARED_OUT):
+            rows_of = [frame.select(fold, F.col(LABEL).cast("double").alias("y"), FEATURES)
+                       for frame, fold in ((draw, numbered), (prep.test, F.lit(folds).alias("fold")))]
+            shared = blocks(rows_of[0].unionByName(rows_of[1])).persist()
+            rows_in, most = shared.agg(F.sum("rows"), F.max("most")).first()
+            if (rows_in or 0) * ((most or 0) + 1) <= ENTRIES_AT_ONCE:
+                together = tuple(n for n in SHARED_OUT if n in chosen)
+                spread = dict(draw.groupBy(numbered).agg(F.var_pop(LABEL)).collect())
+        jobs = sorted(((n, f, k) for n in chosen if n not in together for f in families(n, spaces[n][1]) for k in range(folds)),
                       key=lambda job: (job[0] != "gradient_boosting", cost.index(job[0]) if job[0] in cost else len(cost)))
         rows, scores, failed = [], {n: [[] for _ in spaces[n][1]] for n in chosen}, {}
         try:
             with ThreadPoolExecutor(parallelism) as pool:
+                grown = {n: pool.submit(shared_folds, n) for n in together}
                 for (name, _, _), run in [(job, pool.submit(fold, *job)) for job in jobs]:
                     try:
                         for i, value in run.result():
                             scores[name][i].append(value)
                     except Exception as exc:  # noqa: BLE001 - one failing model must not stop the rest
                         failed[name] = str(exc)[:200]
+                for name, run in grown.items():
+                    try:
+                        scores[name] = run.result()
+                    except Exception as exc:  # noqa: BLE001
+                        failed[name] = str(exc)[:200]
                 mean = {n: [sum(s) / folds for s in scores[n]] for n in chosen if n not in failed}
                 best = {n: max(range(len(m)), key=lambda i: m[i]) for n, m in mean.items()}
                 last = {n: pool.submit(final, n, i) for n, i in best.items()}
@@ -412,6 +457,8 @@ def grid_search(prep: Prepared, names: Sequence[str] | None = None, folds: int =
                         rows.append((name, len(grid), None, None, None, str(exc)[:200]))
         finally:
             draw.unpersist()
+            if shared is not None:
+                shared.unpersist()
         return prep.train.sparkSession.createDataFrame(
             rows, "model string, combinations long, best_params string, cv_score double, test_score double, error string")
 

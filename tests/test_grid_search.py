@@ -6,10 +6,11 @@ import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 
-from sparkeda.operators import ensembles, training
+from sparkeda.operators import ensembles, regrowth, training
 
 
 def rows(spark, classes, n=260):
@@ -102,3 +103,71 @@ def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
     assert training.dealt(training.dealt(prep)).train.rdd.getNumPartitions() == seen
     monkeypatch.undo()
     assert training.dealt(prep) is prep
+
+
+def mixed_rows(spark, n=1500):
+    """Sparse and dense vectors with negative, repeated, constant, empty and many-valued columns, in several parts."""
+    rng = random.Random(5)
+    out = []
+    for i in range(n):
+        x = [rng.gauss(0, 2), float(rng.random() < 0.1), rng.choice([-1.0, 0.0, 3.0]), 7.0, 0.0, -float(rng.random() < 0.5), float(rng.randrange(60)), rng.random() * (i % 3)]
+        y = 3 * (x[0] > 0.5) + 2 * x[2] + 5 * x[1] * x[5] + x[6] / 9 + rng.gauss(0, 0.3)
+        vector = Vectors.dense(x) if i % 4 else Vectors.sparse(len(x), [(j, v) for j, v in enumerate(x) if v])
+        out.append((i % 3 if i % 7 else 3, y, vector))
+    return spark.createDataFrame(out, ["fold", "y", "x"]).repartition(3, "y").cache()
+
+
+def fit(fold=1, sizes=(1,), depths=(2, 6), least=1, rate=None, bins=32):
+    return regrowth.Fit(fold, list(sizes), list(depths), least, rate, bins, 7, 3)
+
+
+@pytest.mark.parametrize("rate, least, bins", [(None, 4, 32), (None, 4, 8), (0.3, 1, 32)])
+def test_regrown_trees_are_spark_s(spark, rate, least, bins):
+    df, io = mixed_rows(spark), {"labelCol": "y", "featuresCol": "x", "minInstancesPerNode": least, "maxBins": bins}
+    for fold in (1, 3):                                  # a fold of the training rows, then the test rows
+        train, held = df.where((df.fold != fold) & (df.fold < 3)), df.where(df.fold == fold)
+        sizes, depths = ([1], [2, 6]) if rate is None else ([2, 5], [4])
+        (got,) = regrowth.errors(regrowth.blocks(df), [fit(fold, sizes, depths, least, rate, bins)])
+        assert set(got) == {(s, d) for s in sizes for d in depths}
+        for (size, depth), (n, off) in got.items():
+            spark_s = DecisionTreeRegressor(maxDepth=depth, **io) if rate is None else GBTRegressor(maxDepth=depth, maxIter=size, stepSize=rate, **io)
+            said = spark_s.fit(train).transform(held).select("y", "prediction").toPandas()
+            assert n == len(said) and off == pytest.approx(((said.y - said.prediction) ** 2).sum(), rel=1e-9)
+
+
+def test_sums_kept_or_not_give_the_same_trees(spark, monkeypatch):
+    """Wide levels are summed in parts, and what a level's sums do not fit is summed anew; forests are cut into tasks and slices."""
+    rows = regrowth.blocks(mixed_rows(spark)).cache()
+    fits = [fit(sizes=(1,), depths=(3, 30)), fit(sizes=(2, 4), depths=(5,), rate=0.1), fit(sizes=(3, 5), depths=(1, 9))]
+    whole = regrowth.errors(rows, fits)
+    # by value: tasks take this module's constants with its functions
+    for name, value in {"CELLS_AT_ONCE": 200, "CELLS_HELD": 500, "TREES_AT_ONCE": 1, "JUDGED_AT_ONCE": 100}.items():
+        monkeypatch.setattr(regrowth, name, value)
+    parts = regrowth.errors(rows, fits)
+    for one, other in zip(whole[:2], parts):
+        assert other == {at: (n, pytest.approx(off, rel=1e-9)) for at, (n, off) in one.items()}
+    assert {at: n for at, (n, _) in whole[2].items()} == {at: n for at, (n, _) in parts[2].items()}      # columns are drawn part by part
+
+
+def test_search_for_numbers_needs_no_fit_for_each_round(spark, small_grids, monkeypatch):
+    """Before, each level of each round of boosting was a job of its own; now a fit is a task's work."""
+    prep = training.prepare(rows(spark, 0), "target", "id")
+    names = ["random_forest", "gradient_boosting"]
+    monkeypatch.setattr(training, "ENTRIES_AT_ONCE", 0)
+    one_by_one = {r["model"]: r for r in training.grid_search(prep, names, parallelism=8).collect()}
+    monkeypatch.undo()
+    for name, values in {"FOREST_TREES": [2, 4], "TREE_DEPTHS": [5, 1], "LEAST_SPLIT": [2], "BOOST_TREES": [1, 4], "BOOST_RATES": [0.5], "BOOST_DEPTHS": [2]}.items():
+        monkeypatch.setattr(training, name, values)
+
+    def no_fit(*_):
+        raise AssertionError("fitted over all tasks")
+
+    for kind in (RandomForestRegressor, GBTRegressor):
+        monkeypatch.setattr(kind, "fit", no_fit)
+    got = {r["model"]: r for r in training.grid_search(prep, names, parallelism=8).collect()}
+    assert list(got) == list(one_by_one) == names
+    for name, row in got.items():
+        assert row["error"] is None and row["combinations"] == one_by_one[name]["combinations"]
+        if name != "random_forest":                      # forests are drawn otherwise
+            assert row["best_params"] == one_by_one[name]["best_params"]
+            assert (row["cv_score"], row["test_score"]) == pytest.approx((one_by_one[name]["cv_score"], one_by_one[name]["test_score"]), rel=1e-9)
